@@ -1 +1,6 @@
 """Registered queries with their SQL counterparts."""
+
+from bandwalk.catalog import bars  # noqa: F401
+from bandwalk.catalog.base import REGISTRY
+
+__all__ = ["REGISTRY"]
