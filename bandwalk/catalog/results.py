@@ -248,7 +248,7 @@ TOP = ("topq", """select n.* from norm n join (select window_id, quantile_cont(s
 
 
 def near_sql(params, radius: float) -> tuple[str, str]:
-    terms = " + ".join(f"(a.{p}_norm - b.{p}_norm) * (a.{p}_norm - b.{p}_norm)" for p in [*params[1:][::-1], params[0]])
+    terms = " + ".join(f"(a.{p}_norm - b.{p}_norm) * (a.{p}_norm - b.{p}_norm)" for p in params)
     keys = ", ".join(f"a.{p}" for p in params)
     return ("near", f"""select a.window_id, {keys}, count(distinct b.window_id) as nearby_windows
             from (select distinct window_id, {', '.join(params)}, {', '.join(p + '_norm' for p in params)} from topq) a

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from bandwalk.defaults import DEFAULTS
-from bandwalk.session import settled
+from bandwalk.session import settled, wide
 
 PARAMS4 = ("ma_window", "atr_window", "mult_x4", "sl_pct")
 PARAMS3 = PARAMS4[:3]
@@ -55,63 +57,101 @@ def top_quantile_per_window(
     return valid.join(cut, window).filter(F.col("score") >= F.col("_cut")).drop("_cut")
 
 
+def _cell(coordinates: Sequence[Column], side: float, base: int) -> Column:
+    """One number per grid cell; adding an offset code moves to another cell."""
+    code = F.lit(0).cast("bigint")
+    for x in coordinates:
+        code = code * base + F.floor(x / side) + 4
+    return code
+
+
+def _codes(offsets, base: int) -> Column:
+    codes = []
+    for offset in offsets:
+        code = 0
+        for o in offset:
+            code = code * base + o
+        codes.append(code)
+    return F.array(*[F.lit(c).cast("bigint") for c in codes])
+
+
+FINE = 4  # fine cells per radius
+
+
 def neighbour_windows(
     top: DataFrame, radius: float, params: Sequence[str] = PARAMS4, window: str = "window_id"
 ) -> DataFrame:
     """Add ``nearby_windows``: other windows with a point within ``radius``.
 
-    Squared distance is a sum over parameters, so the smallest distance from any
-    position to a window is found one parameter at a time: each step spreads the points
-    along one axis of the (stepped) parameter space and keeps the minimum. The work is
-    bounded by the size of that space, and no pair of points is ever formed.
+    Most answers follow from a fine grid alone: two cells whose farthest corners are
+    closer than the radius hold only close points. Each occupied (cell, window) marks the
+    cells it is sure to reach, which is bounded by the number of cells. Only the windows
+    a point's cell is not sure about are checked point by point, as a semi-join that
+    stops at the first match; no pair of points is emitted.
     """
     params = list(params)
     norms = [f"{p}_norm" for p in params]
-    limit = F.lit(radius)
     points = settled(top)
-    # Per axis, the distinct values with their normalised position: at most one per step.
-    axes = points.agg(
-        *[F.array_sort(F.collect_set(F.struct(F.col(p).alias("v"), F.col(n).alias("x")))).alias(p)
-          for p, n in zip(params, norms)]
+    n = wide(points.sparkSession)
+    keys = [window, *params]
+    base = int(FINE / radius) + 16
+    side, coarse_side = radius / FINE, radius * (1 + 1e-9)
+    reach = range(-FINE + 1, FINE)
+    sure = [
+        o for o in product(reach, repeat=len(params)) if sum((abs(d) + 1) ** 2 for d in o) < FINE**2
+    ]
+    around = list(product((-1, 0, 1), repeat=len(params)))
+    unique = points.select(*keys, *norms).distinct().repartition(n, *params)
+    placed = unique.select(
+        *keys,
+        *norms,
+        _cell([F.col(c) for c in norms], side, base).alias("_cell"),
+        _cell([F.col(c) for c in norms], coarse_side, base).alias("_coarse"),
+    )
+    reached = (
+        placed.select(F.col(window).alias("_w"), "_cell")
+        .distinct()
+        .select("_w", F.explode(_codes(sure, base)).alias("_o"), "_cell")
+        .select("_w", (F.col("_cell") + F.col("_o")).alias("_cell"))
+        .distinct()
+        .groupBy("_cell")
+        .agg(F.collect_set("_w").alias("_sure"))  # at most one entry per window
     )
-    # Spread the axes with few values first, the last one is matched by a join.
-    states = points.select(
+    every = points.agg(F.collect_set(window).alias("w")).scalar()
+    known = settled(placed.join(reached, "_cell").withColumn("_all", every))
+    unsure = known.select(
+        *keys, *norms, "_coarse", F.explode(F.array_except("_all", "_sure")).alias("_w")
+    ).select("*", F.explode(_codes(around, base)).alias("_o"))
+    # Renamed through select so that both sides of the self-join stay distinct.
+    others = placed.select(
         F.col(window).alias("_w"),
-        *params,
-        *[F.col(n).alias(f"_x_{p}") for p, n in zip(params, norms)],
-        F.lit(0.0).alias("_d2"),
-    ).dropDuplicates(["_w", *params])
-    last, spread_axes = params[0], params[1:][::-1]
-    for p in spread_axes:
-        others = [c for c in states.columns if c not in (p, f"_x_{p}", "_d2")]
-        step = F.col("_a.x") - F.col(f"_x_{p}")
-        states = (
-            states.withColumn("_axis", axes.select(p).scalar())
-            .withColumn("_a", F.explode("_axis"))
-            .select(*others, F.col("_a.v").alias(p), F.col("_a.x").alias(f"_x_{p}"),
-                    (F.col("_d2") + step * step).alias("_d2"))
-            .filter(F.sqrt("_d2") <= limit)
-            .groupBy(*others, p, f"_x_{p}")
-            .agg(F.min("_d2").alias("_d2"))
-        )
-    states = states.select(
-        "_w", *spread_axes, F.col(last).alias("_v"), F.col(f"_x_{last}").alias("_x"), "_d2"
+        F.col("_coarse").alias("_there"),
+        *[F.col(c).alias(f"_{c}") for c in norms],
     )
-    # Windows per line of the last axis, so a query point meets each window's line once.
-    lines = states.groupBy(*spread_axes, "_w").agg(F.collect_list(F.struct("_x", "_d2")).alias("_line"))
-    queries = points.select(window, *params, F.col(f"{last}_norm").alias("_q")).distinct()
-    near = F.exists(
-        "_line",
-        lambda s: F.sqrt(s["_d2"] + (s["_x"] - F.col("_q")) * (s["_x"] - F.col("_q"))) <= limit,
+    d2 = reduce(
+        lambda a, b: a + b,
+        [(F.col(f"_{c}") - F.col(c)) * (F.col(f"_{c}") - F.col(c)) for c in norms],
     )
-    counts = (
-        queries.join(lines, spread_axes)
-        .filter((F.col("_w") != F.col(window)) & near)
-        .groupBy(window, *params)
-        .agg(F.count("*").alias("nearby_windows"))
+    checked = (
+        unsure.select(
+            *keys, *norms, F.col("_w").alias("_ask"), (F.col("_coarse") + F.col("_o")).alias("_at")
+        )
+        .join(
+            others,
+            (F.col("_ask") == F.col("_w")) & (F.col("_at") == F.col("_there"))
+            & (F.sqrt(d2) <= F.lit(radius)),
+            "left_semi",
+        )
+        .groupBy(*keys)
+        .agg(F.countDistinct("_ask").alias("_more"))
     )
-    return points.join(counts, [window, *params], "left").withColumn(
-        "nearby_windows", F.coalesce("nearby_windows", F.lit(0)).cast("bigint")
+    counts = known.select(*keys, (F.size("_sure") - 1).alias("_few")).join(checked, keys, "left")
+    return points.join(
+        counts.select(
+            *keys,
+            (F.col("_few") + F.coalesce("_more", F.lit(0))).cast("bigint").alias("nearby_windows"),
+        ),
+        keys,
     )
 
 

@@ -36,7 +36,7 @@ from bandwalk.operators.series import (
     overlapping_blocks,
     seeded_weight,
 )
-from bandwalk.session import settled
+from bandwalk.session import settled, wide
 
 PARAMS = ("ma_window", "atr_window", "atr_mult", "sl_stop")
 
@@ -307,7 +307,13 @@ def _replay(blocks: DataFrame, work: DataFrame, keys: list[str], cfg: ReplayConf
             out[name] = value
         return out[names]
 
-    return bars.groupBy(*group).cogroup(work.groupBy(*group)).applyInPandas(run, schema)
+    n = wide(work.sparkSession)
+    return (
+        bars.repartition(n, *group)
+        .groupBy(*group)
+        .cogroup(work.repartition(n, *group).groupBy(*group))
+        .applyInPandas(run, schema)
+    )
 
 
 def replay_blocks(

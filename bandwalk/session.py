@@ -55,3 +55,15 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/bandwalk-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def wide(spark: SparkSession) -> int:
+    """Partitions for steps whose work outgrows their input bytes.
+
+    Adaptive execution sizes partitions by bytes; a small frame that is about to be
+    expanded or replayed thousands of times has to be spread by core count instead.
+    """
+    return max(
+        4 * spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
