@@ -41,4 +41,4 @@ BLOCK_BARS = 65_536
 # Rows per replay task and rows of run-up in which a replay synchronises.
 REPLAY_BLOCK_BARS = 8_192
 REPLAY_RUNUP_BARS = 1_024
-COMBOS_PER_TASK = 1_024
+COMBOS_PER_TASK = 4_200

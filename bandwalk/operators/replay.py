@@ -170,93 +170,139 @@ def _lagged_bank(bars: pd.DataFrame, work: pd.DataFrame, start: int, cfg: Replay
     return mid, atr, skip
 
 
+CHUNK_CELLS = 65_536  # bars x combinations computed together; fits the CPU cache
+
+
+def _flags(mid, width, high, low, columns):
+    """Open/close flags per bar and combination, and the fill price per distinct band."""
+    lower, upper = mid - width, mid + width
+    le, lx, se, sx = low <= lower, high >= mid, high >= upper, low <= mid
+    free = ~(le & se)  # both entries at once change nothing
+    px = np.where(se, upper, np.where(le, lower, mid))
+    open_l, close_l = le & ~lx & free, lx & ~le & free
+    open_s, close_s = se & ~sx & free, sx & ~se & free
+    return [f[:, columns] for f in (open_l, close_l, open_s, close_s)] + [px]
+
+
 def replay_block(
     bars: pd.DataFrame, work: pd.DataFrame, cfg: ReplayConfig, log: bool = False
 ) -> pd.DataFrame:
-    """Walk one block once; returns one row per combination."""
+    """Walk one block once; returns one row per combination.
+
+    Flags and the equity statistics are computed for many bars at a time. The walk itself
+    touches only the combinations that trade on a bar; equity is kept as ``a + b*close``.
+    """
     bars = bars.sort_values("pos", ignore_index=True)
-    blk = int(work["blk"].iloc[0])
-    own = blk * cfg.block_bars
+    own = int(work["blk"].iloc[0]) * cfg.block_bars
     start = max(0, own - cfg.lead)
     (mids, mi), (atrs, ai), skip = _lagged_bank(bars, work, start, cfg)
-    rows = bars.iloc[skip:]
-    ops, his, los, cls = (rows[c].to_numpy() for c in ("open", "high", "low", "close"))
-    c = len(work)
-    mult = work["atr_mult"].to_numpy(dtype=float)
+    ops, his, los, cls = (bars[c].to_numpy()[skip:] for c in ("open", "high", "low", "close"))
+    n, first = len(work), own - start
     stop = work["sl_stop"].to_numpy(dtype=float)
+    # Combinations that differ only in the stop share their bands.
+    bands, band = np.unique(
+        np.column_stack([mi, ai, work["atr_mult"].to_numpy(dtype=float)]), axis=0, return_inverse=True
+    )
+    band = band.ravel()
+    b_mi, b_ai, b_mult = bands[:, 0].astype(int), bands[:, 1].astype(int), bands[:, 2]
     size, fees = cfg.size, cfg.fees
     seeded = bool(work["seeded"].iloc[0])
-    side, p_in, at = np.zeros(c), np.ones(c), np.zeros(c, dtype=np.int64)
-    exact = np.full(c, start == 0 or seeded)
-    first = own - start
-    t0 = first if seeded else 0
+
+    side, p_in, at = np.zeros(n), np.ones(n), np.zeros(n, dtype=np.int64)
+    if seeded:
+        side = work["in_side"].to_numpy(dtype=float).copy()
+        p_in = np.where(side != 0, work["in_px"].to_numpy(dtype=float), 1.0)
+        at = work["in_pos"].to_numpy(dtype=np.int64).copy()
+    base, eq = np.ones(n), np.ones(n)
+    a, b = np.ones(n), np.zeros(n)
+    level_l, level_s = np.full(n, -np.inf), np.full(n, np.inf)
+    exact = np.full(n, start == 0 or seeded)
+    high, low, drop = np.ones(n), np.ones(n), np.zeros(n)
+    s1, s2 = np.zeros(n), np.zeros(n)
+    opened, closed, won, paid = (np.zeros(n) for _ in range(4))
     made = []
-    for t in range(t0, len(cls)):
-        if t == first:
-            if seeded:
-                side = work["in_side"].to_numpy(dtype=float)
-                p_in = np.where(side != 0, work["in_px"].to_numpy(dtype=float), 1.0)
-                at = work["in_pos"].to_numpy(dtype=np.int64)
+
+    def hold(i):
+        """Refresh what depends on the open position of combinations ``i``."""
+        s, p = side[i], p_in[i]
+        level_l[i] = np.where(s > 0, p * (1 - stop[i]), -np.inf)
+        level_s[i] = np.where(s < 0, p * (1 + stop[i]), np.inf)
+        a[i] = base[i] * np.where(s != 0, 1 - size * s - size * fees, 1.0)
+        b[i] = base[i] * size * s / p
+
+    everyone = np.arange(n)
+    hold(everyone)
+    step = max(4, CHUNK_CELLS // n)
+    edges = [*range(0 if not seeded else first, first, step), *range(first, len(cls), step), len(cls)]
+    for lo, hi in zip(edges, edges[1:]):
+        open_l, close_l, open_s, close_s, px = _flags(
+            mids[lo:hi][:, b_mi], b_mult * atrs[lo:hi][:, b_ai], his[lo:hi, None], los[lo:hi, None], band
+        )
+        if lo == first:
             resolved = exact.copy()
-            eq = np.ones(c)
             # Equity is counted from the mark one bar before the block.
-            mark = 1 + size * (side * (cls[t - 1] / p_in - 1) - fees) if t > 0 else np.ones(c)
+            mark = 1 + size * (side * (cls[lo - 1] / p_in - 1) - fees) if lo > 0 else np.ones(n)
             base = np.where((side != 0) & (mark > 0), 1 / np.where(mark > 0, mark, 1.0), 1.0)
-            high, low, drop = np.ones(c), np.ones(c), np.zeros(c)
-            mean, m2, n = np.zeros(c), np.zeros(c), 0
-            n_open, n_close, n_win, paid = (np.zeros(c) for _ in range(4))
-        mid = mids[t][mi]
-        width = mult * atrs[t][ai]
-        lower, upper = mid - width, mid + width
-        o, h, l = ops[t], his[t], los[t]
-        le, lx, se, sx = l <= lower, h >= mid, h >= upper, l <= mid
-        both = le & se
-        px = np.where(se, upper, np.where(le, lower, mid))
-        is_long, is_short = side > 0, side < 0
-        floor, ceil = p_in * (1 - stop), p_in * (1 + stop)
-        hit_l, hit_s = is_long & (l <= floor), is_short & (h >= ceil)
-        hit = hit_l | hit_s
-        act = ~(hit | both)
-        gone = hit | (act & ((is_long & lx & ~le) | (is_short & sx & ~se)))
-        p_out = np.where(hit_l, np.minimum(o, floor), np.where(hit_s, np.maximum(o, ceil), px))
-        new_l = act & le & ~lx & ~is_long
-        new_s = act & se & ~sx & ~is_short
-        new = new_l | new_s
-        if t >= first:
-            if gone.any():
-                ratio = np.where(gone, p_out / p_in, 1.0)
-                ret = size * (side * (ratio - 1) - fees - fees * ratio)
-                if log:
-                    for i in np.flatnonzero(gone):
-                        made.append((i, int(side[i]), int(at[i]), p_in[i], p_out[i], ret[i],
-                                     start + t, "stop" if hit[i] else "signal"))
-                live = gone & (eq > 0)
-                paid += np.where(live, base * size * fees * ratio, 0.0)
-                n_close += live
-                n_win += live & (ret > 0)
-                base = np.where(gone, np.maximum(base * (1 + ret), 0.0), base)
-            if new.any():
-                live = new & (eq > 0)
-                paid += np.where(live, base * size * fees, 0.0)
-                n_open += live
-        flat = (lx & sx & ~le & ~se)
-        exact |= flat
-        side = np.where(new_l, 1.0, np.where(new_s, -1.0, np.where(gone, 0.0, side)))
-        p_in = np.where(new, px, p_in)
-        at = np.where(new, start + t, at)
-        if t >= first:
-            now = np.where(side != 0, base * (1 + size * (side * (cls[t] / p_in - 1) - fees)), base)
-            now = np.where(eq > 0, np.maximum(now, 0.0), 0.0)
-            base = np.where(now > 0, base, 0.0)
-            r = np.where(eq > 0, now / np.where(eq > 0, eq, 1.0) - 1, 0.0)
-            n += 1
-            delta = r - mean
-            mean = mean + delta / n
-            m2 = m2 + delta * (r - mean)
-            eq = now
-            high = np.maximum(high, eq)
-            low = np.minimum(low, eq)
-            drop = np.maximum(drop, 1 - eq / high)
+            hold(everyone)
+        counted = lo >= first
+        marks = np.empty((hi - lo, n))
+        for t in range(lo, hi):
+            k = t - lo
+            is_long, is_short = side > 0, side < 0
+            hit = (los[t] <= level_l) | (his[t] >= level_s)
+            gone = (is_long & close_l[k]) | (is_short & close_s[k]) | hit
+            new = (open_l[k] & ~is_long) | (open_s[k] & ~is_short)
+            i = np.flatnonzero(gone)
+            if i.size:
+                s, stopped = side[i], hit[i]
+                at_stop = np.where(
+                    s > 0, np.minimum(ops[t], level_l[i]), np.maximum(ops[t], level_s[i])
+                )
+                out = np.where(stopped, at_stop, px[k, band[i]])
+                ratio = out / p_in[i]
+                ret = size * (s * (ratio - 1) - fees - fees * ratio)
+                if counted:
+                    live = eq[i] > 0
+                    paid[i] += np.where(live, base[i] * size * fees * ratio, 0.0)
+                    closed[i] += live
+                    won[i] += live & (ret > 0)
+                    base[i] = np.maximum(base[i] * (1 + ret), 0.0)
+                    if log:
+                        made.extend(
+                            zip(i, s.astype(int), at[i], p_in[i], out, ret, [start + t] * i.size,
+                                np.where(stopped, "stop", "signal"))
+                        )
+                side[i] = 0.0
+                new &= ~hit
+            j = np.flatnonzero(new)
+            if j.size:
+                side[j] = np.where(open_l[k, j], 1.0, -1.0)
+                p_in[j] = px[k, band[j]]
+                at[j] = start + t
+                if counted:
+                    live = eq[j] > 0
+                    opened[j] += live
+                    paid[j] += np.where(live, base[j] * size * fees, 0.0)
+            if i.size or j.size:
+                hold(i)
+                hold(j)
+            if counted:
+                eq = a + b * cls[t]
+                if (eq <= 0).any():  # ruined: equity stays at zero
+                    dead = np.flatnonzero(eq <= 0)
+                    eq[dead] = base[dead] = a[dead] = b[dead] = 0.0
+                marks[k] = eq
+        if not counted:
+            exact |= (close_l & close_s).any(axis=0)
+            continue
+        before = np.vstack([before[-1:] if lo > first else np.ones((1, n)), marks])
+        r = np.divide(marks, before[:-1], out=np.ones_like(marks), where=before[:-1] > 0) - 1
+        s1 += r.sum(axis=0)
+        s2 += (r * r).sum(axis=0)
+        peaks = np.maximum.accumulate(np.vstack([high, marks]), axis=0)[1:]
+        high, low = peaks[-1], np.minimum(low, marks.min(axis=0))
+        drop = np.maximum(drop, (1 - marks / peaks).max(axis=0))
+    count = len(cls) - first
     out = pd.DataFrame(
         {
             "combo_id": work["combo_id"].to_numpy(),
@@ -264,23 +310,30 @@ def replay_block(
             "out_side": side.astype(np.int32),
             "out_px": np.where(side != 0, p_in, np.nan),
             "out_pos": at,
-            "growth": eq, "high": high, "low": low, "drop": drop, "n": float(n),
-            "mean": mean, "m2": m2, "trades": n_open, "closed": n_close, "wins": n_win, "fees": paid,
+            "growth": eq, "high": high, "low": low, "drop": drop, "n": float(count),
+            "mean": s1 / count, "m2": np.maximum(s2 - s1 * s1 / count, 0.0),
+            "trades": opened, "closed": closed, "wins": won, "fees": paid,
         }
     )
     if log:
-        per = [[] for _ in range(c)]
-        for i, *rest in made:
-            per[i].append(dict(zip(("side", "entry_pos", "entry_px", "exit_px", "ret", "exit_pos", "reason"), rest)))
-        if own + (len(cls) - first) >= int(bars["len"].iloc[0]):
-            for i in np.flatnonzero(side):
-                per[i].append(dict(side=int(side[i]), entry_pos=int(at[i]), entry_px=p_in[i], exit_px=cls[-1],
-                                   ret=size * (side[i] * (cls[-1] / p_in[i] - 1) - fees),
-                                   exit_pos=start + len(cls) - 1, reason="open"))
-        out["log"] = per
+        out["log"] = _trade_log(made, bars, own, first, side, at, p_in, start, cls, cfg)
     return out
 
 
+def _trade_log(made, bars, own, first, side, at, p_in, start, cls, cfg: ReplayConfig) -> list[list[dict]]:
+    """Trades per combination; a trade still open at the end of the series is marked."""
+    names = ("side", "entry_pos", "entry_px", "exit_px", "ret", "exit_pos", "reason")
+    per = [[] for _ in side]
+    for i, *trade in made:
+        per[i].append({k: v.item() if hasattr(v, "item") else v for k, v in zip(names, trade)})
+    if own + (len(cls) - first) >= int(bars["len"].iloc[0]):
+        for i in np.flatnonzero(side):
+            ret = cfg.size * (side[i] * (cls[-1] / p_in[i] - 1) - cfg.fees)
+            trade = (int(side[i]), int(at[i]), p_in[i], cls[-1], ret, start + len(cls) - 1, "open")
+            per[i].append(dict(zip(names, trade)))
+    return per
+
+
 def _replay(blocks: DataFrame, work: DataFrame, keys: list[str], cfg: ReplayConfig, log: bool) -> DataFrame:
     """Run every (block, group of combinations) of ``work`` in its own task."""
     group = [*keys, "blk", "bucket"]
