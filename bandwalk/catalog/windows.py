@@ -23,7 +23,7 @@ from bandwalk.catalog.base import (
 from bandwalk.defaults import DEFAULTS
 from bandwalk.fixtures import BAR_SECONDS_1D, BAR_SECONDS_1H, bars_1d, bars_1h, table, trials
 from bandwalk.operators.clusters import PARAMS4
-from bandwalk.operators.params import GRID, Axis, param_grid, param_sample, size_of
+from bandwalk.operators.params import GRID, RESEARCH_SPACE, Axis, param_grid, param_sample, size_of
 from bandwalk.operators.replay import ReplayConfig
 from bandwalk.operators.windows import (
     assign_segments,
@@ -151,7 +151,25 @@ def _(spark, sf):
     return folded.join(param_grid(spark), "combo_id")
 
 
-@query("param_sample")
+def sample_sql(windows: str, keys: str, n: int = 200) -> list[tuple[str, str]]:
+    """Hash draws over the research space, first ``n`` distinct ones per window."""
+    text = "'42:' || " + " || ':' || ".join(f"cast({k} as varchar)" for k in keys.split(", ")) + " || ':' || cast(d as varchar)"
+    return [
+        ("draws", f"select {keys}, d, cast('0x' || substr(md5({text}), 1, 12) as bigint) % {size_of(RESEARCH_SPACE)} as ix "
+                  f"from ({windows}) w, (select range as d from range({4 * n})) r"),
+        ("firsts", f"select {keys}, ix, min(d) as d from draws group by all"),
+        ("nth", f"select *, row_number() over (partition by {keys} order by d, ix) as k from firsts"),
+        ("sample", f"""select {keys}, cast(k - 1 as int) as combo_id, cast(10 + 5 * (ix // 11700) as int) as ma_window,
+                    cast(5 + 5 * (ix // 585 % 20) as int) as atr_window, (2 + ix // 15 % 39) / cast(4 as double) as atr_mult,
+                    (1 + ix % 15) / cast(100 as double) as sl_stop from nth where k <= {n}"""),
+    ]
+
+
+@query(
+    "param_sample",
+    ctes(("bars", BARS_1D), *SPLIT_SQL, *sample_sql("select symbol, split from seg where set_name = 'train'", "symbol, split"))
+    + "select * from sample",
+)
 def _(spark, sf):
     """Distinct sampled combinations per symbol and window."""
     windows = rolling_split(series_bounds(bars_1d(spark, sf))).filter("set_name = 'train'")
@@ -288,9 +306,50 @@ def _(spark, sf):
     return rounded(out, 8, train_score=6, test_sharpe=6)
 
 
-@query("sampled_trials")
+def sampled_sql() -> str:
+    group = ["symbol", "split", "combo_id"]
+
+    def means(column: str, n: str, alpha: str, windows: str) -> str:
+        weight = f"case when b.pos = 0 then 1.0 else {alpha} end * pow(1 - {alpha}, a.pos - b.pos)"
+        return f"""select a.symbol, a.split, w.n, a.pos, sum({weight} * b.{column}) as v
+            from (select distinct symbol, split, {windows} as n from sample) w
+            join trs a on a.symbol = w.symbol and a.split = w.split and a.pos >= w.n - 1
+            join trs b on b.symbol = a.symbol and b.split = a.split and b.pos <= a.pos group by all"""
+
+    return (
+        ctes(
+            *indexed(BARS_1D),
+            *SIZE_SQL,
+            *CALENDAR_SQL,
+            ("sb", """select i.symbol, split, ts, row_number() over (partition by i.symbol, split order by ts) - 1 as pos,
+                      open, high, low, close from ix i join cal c on c.symbol = i.symbol and set_name = 'train'
+                      and ts >= from_ts and ts <= to_ts"""),
+            *sample_sql("select distinct symbol, split from sb", "symbol, split"),
+            *tr_of("sb", "symbol, split"),
+            ("mas", means("close", "n", "(2.0::double / (w.n + 1))", "ma_window")),
+            ("atrs", means("tr", "n", "(1.0::double / w.n)", "atr_window")),
+            ("cb", """select t.symbol, t.split, s.combo_id, t.pos, t.open, t.high, t.low, t.close, m.v as mid,
+                      m.v - s.atr_mult * a.v as lower, m.v + s.atr_mult * a.v as upper, s.sl_stop as sl
+                      from sample s join trs t on t.symbol = s.symbol and t.split = s.split
+                      left join mas m on m.symbol = t.symbol and m.split = t.split and m.n = s.ma_window and m.pos = t.pos - 1
+                      left join atrs a on a.symbol = t.symbol and a.split = t.split and a.n = s.atr_window and a.pos = t.pos - 1"""),
+            *walk("cb", group, 0.3),
+            ("measured", f"""select symbol, split, combo_id,
+                avg(eq / prev_eq - 1) / nullif(stddev_samp(eq / prev_eq - 1), 0) * {(365 * 86400 / BAR_SECONDS_1D) ** 0.5!r} as sharpe,
+                arg_max(eq, pos) / 10000 - 1 as total_return, max(1 - eq / peak) as max_drawdown,
+                count(*) filter (where opened) as n_trades from peaks group by all"""),
+            recursive=True,
+        )
+        + """select symbol, split, combo_id, ma_window, atr_window, atr_mult, sl_stop,
+             round(case when n_trades < 5 or max_drawdown > 0.3 then -999
+                        else 0.7 * sharpe + 0.3 * total_return * (1 - max_drawdown) end, 6) as score
+             from measured join sample using (symbol, split, combo_id)"""
+    )
+
+
+@query("sampled_trials", sampled_sql())
 def _(spark, sf):
-    """Scores of sampled research-space trials on the rolling train windows."""
+    """Scores of sampled research-space trials on the calendar train windows."""
     segmented = settled(research_windows(bars_1d(spark, sf), BAR_SECONDS_1D))
     return rounded(trial_log(segmented, BAR_SECONDS_1D, d=LOW_BAR), 6)
 

@@ -69,7 +69,10 @@ def param_sample(
     windows: DataFrame, n: int = DEFAULTS.n_trials, seed: int = 42,
     axes: Sequence[Axis] = RESEARCH_SPACE, keys: Sequence[str] = ("split",),
 ) -> DataFrame:
-    """``n`` distinct combinations per window, drawn by hashing (seed, window, draw)."""
+    """``n`` distinct combinations per window, drawn by hashing (seed, window, draw).
+
+    The hash is the leading 48 bits of an MD5, so other engines can repeat the draw.
+    """
     total = size_of(axes)
     n = min(n, total)
     # With few combinations rank them all by hash; otherwise hash a few draws per trial.
@@ -78,7 +81,8 @@ def param_sample(
     drawn = windows.select(*keys).withColumn(
         "_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
     )
-    hashed = F.xxhash64(F.lit(seed), *keys, "_draw")
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in (*keys, "_draw")])
+    hashed = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
     if every:
         drawn = drawn.select(*keys, F.col("_draw").alias("_ix"), hashed.alias("_rank"))
     else:

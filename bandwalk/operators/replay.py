@@ -19,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from bandwalk.defaults import (
     COMBOS_PER_TASK,
@@ -38,6 +38,8 @@ from bandwalk.operators.series import (
 )
 from bandwalk.session import settled, wide
 
+MAX_PARTITIONS = 100_000
+MERGE_BLOCKS = 512  # block summaries folded at a time
 PARAMS = ("ma_window", "atr_window", "atr_mult", "sl_stop")
 
 
@@ -334,7 +336,14 @@ def _trade_log(made, bars, own, first, side, at, p_in, start, cls, cfg: ReplayCo
     return per
 
 
-def _replay(blocks: DataFrame, work: DataFrame, keys: list[str], cfg: ReplayConfig, log: bool) -> DataFrame:
+def partitions(spark: SparkSession, n_blocks: int, cfg: ReplayConfig) -> int:
+    """Enough tasks for every core, and for many blocks about eight of them per task."""
+    return min(max(wide(spark), n_blocks // 8), MAX_PARTITIONS)
+
+
+def _replay(
+    blocks: DataFrame, work: DataFrame, keys: list[str], cfg: ReplayConfig, log: bool, n: int
+) -> DataFrame:
     """Run every (block, group of combinations) of ``work`` in its own task."""
     group = [*keys, "blk", "bucket"]
     # Bars go only where work is waiting for them.
@@ -360,7 +369,6 @@ def _replay(blocks: DataFrame, work: DataFrame, keys: list[str], cfg: ReplayConf
             out[name] = value
         return out[names]
 
-    n = wide(work.sparkSession)
     return (
         bars.repartition(n, *group)
         .groupBy(*group)
@@ -375,27 +383,36 @@ def replay_blocks(
 ) -> DataFrame:
     """Block summaries (key, blk, combo_id, ...), all of them exact.
 
-    ``series`` carries ``pos`` and ``len`` per key. ``params`` has ``combo_id`` and the
+    ``series`` carries ``pos`` and ``len`` per key and is read a few times, so it should
+    be a stored table or a cheap step on one. ``params`` has ``combo_id`` and the
     four parameters, plus any of the key columns when combinations differ per key.
     """
     keys = list(keys)
-    n_params = [*PARAMS, "combo_id"]
     shared = [k for k in keys if k in params.columns]
-    columns = ["pos", "len", "open", "high", "low", "close"]
-    series = settled(series.select(*keys, *columns))
+    series = series.select(*keys, "pos", "len", "open", "high", "low", "close")
     blocks = overlapping_blocks(series, cfg.lead + 1, cfg.block_bars).drop("own")
-    spans = (
+    # One row per block: bars / block_bars rows, so counting them is cheap.
+    spans = settled(
         series.groupBy(*keys)
         .agg(F.max("len").alias("len"))
-        .withColumn(
-            "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / cfg.block_bars)))
+        .select(
+            *keys,
+            F.explode(
+                F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / cfg.block_bars))
+            ).alias("blk"),
         )
-        .drop("len")
     )
-    buckets = params.withColumn("bucket", F.floor(F.col("combo_id") / cfg.combos_per_task).cast("int"))
-    chosen = buckets.select(*shared, *n_params, "bucket")
-    # Each block needs every combination: the product is the work list itself.
-    work = spans.join(chosen, shared) if shared else spans.join(chosen)
+    chosen = params.select(
+        *shared,
+        *PARAMS,
+        "combo_id",
+        F.floor(F.col("combo_id") / cfg.combos_per_task).cast("int").alias("bucket"),
+    )
+    if shared:
+        work = spans.join(chosen, shared)
+    else:
+        last = chosen.agg(F.max("bucket").alias("b")).scalar()
+        work = spans.withColumn("bucket", F.explode(F.sequence(F.lit(0), last))).join(chosen, "bucket")
     carries = carry_table(series, params, cfg, keys)
     for kind, column in (("ma", "ma_window"), ("atr", "atr_window")):
         name = f"carry_{kind}"
@@ -415,7 +432,8 @@ def replay_blocks(
         }
     )
     work = settled(work)
-    done = settled(_replay(blocks, work, keys, cfg, log))
+    n = partitions(work.sparkSession, spans.count(), cfg)
+    done = settled(_replay(blocks, work, keys, cfg, log, n))
     pending = done.filter(~F.col("resolved"))
     if pending.isEmpty():
         return done
@@ -446,11 +464,16 @@ def _resolve(blocks, work, done, keys: list[str], cfg: ReplayConfig, log: bool)
             .join(before, ids)
             .withColumn("seeded", F.lit(True))
         )
-        parts.append(settled(_replay(blocks, settled(ready), keys, cfg, log)))
+        ready = settled(ready)
+        n = partitions(ready.sparkSession, ready.select(*keys, "blk").distinct().count(), cfg)
+        parts.append(settled(_replay(blocks, ready, keys, cfg, log, n)))
         pending = settled(pending.join(parts[-1].select(*ids), ids, "left_anti"))
     return reduce(DataFrame.unionByName, parts)
 
 
+MERGED = tuple(f.name for f in SUMMARY)
+
+
 def _merge(acc: Column, x: Column) -> Column:
     """Append one block summary to the summary of everything before it."""
     live = acc["growth"] > 0
@@ -461,6 +484,7 @@ def _merge(acc: Column, x: Column) -> Column:
     return F.struct(
         (acc["growth"] * x["growth"]).alias("growth"),
         F.greatest(acc["high"], acc["growth"] * x["high"]).alias("high"),
+        F.least(acc["low"], scaled).alias("low"),
         F.greatest(acc["drop"], if_live(x["drop"]), 1 - scaled / acc["high"]).alias("drop"),
         n.alias("n"),
         (acc["mean"] + delta * x["n"] / n).alias("mean"),
@@ -478,21 +502,31 @@ def merge_blocks(
 ) -> DataFrame:
     """Block summaries to one metrics row per (key, combination).
 
-    A group holds one small struct per block, i.e. bars / block_bars entries.
+    Summaries are shuffled once by (key, combination). Those of a long series are folded
+    in runs of ``MERGE_BLOCKS`` blocks, then run by run, so no list grows with it.
     """
     keys = [*keys, "combo_id"]
-    names = ["growth", "high", "low", "drop", "n", "mean", "m2", "trades", "closed", "wins", "fees"]
     zero = F.struct(
-        *[
-            F.lit(1.0 if c in ("growth", "high") else 0.0).alias(c)
-            for c in ("growth", "high", "drop", "n", "mean", "m2", "trades", "closed", "wins", "fees")
-        ]
-    )
-    folded = summaries.groupBy(*keys).agg(
-        F.aggregate(
-            F.array_sort(F.collect_list(F.struct("blk", *names))), zero, lambda acc, x: _merge(acc, x)
-        ).alias("m")
+        *[F.lit(1.0 if c in ("growth", "high", "low") else 0.0).alias(c) for c in MERGED]
     )
+
+    def fold(df: DataFrame, by: list[str], order: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(order, *MERGED)))
+        return (
+            df.groupBy(*by)
+            .agg(F.aggregate(listed, zero, _merge).alias("m"))
+            .select(*by, "m.*")
+        )
+
+    last = summaries.agg(F.max("blk")).first()[0] or 0
+    if last == 0:  # every series fits one block: its summary is the result
+        merged = summaries
+    elif last < MERGE_BLOCKS:
+        merged = fold(summaries, keys, "blk")
+    else:
+        runs = summaries.withColumn("_run", F.floor(F.col("blk") / MERGE_BLOCKS)).repartition(*keys)
+        merged = fold(fold(runs, [*keys, "_run"], "blk"), keys, "_run")
+    folded = merged.select(*keys, F.struct(*MERGED).alias("m"))
     std = F.sqrt(F.col("m.m2") / F.nullif(F.col("m.n") - 1, F.lit(0.0)))
     return folded.select(
         *keys,

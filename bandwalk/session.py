@@ -64,6 +64,6 @@ def wide(spark: SparkSession) -> int:
     expanded or replayed thousands of times has to be spread by core count instead.
     """
     return max(
-        4 * spark.sparkContext.defaultParallelism,
+        2 * spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )

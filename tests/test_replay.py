@@ -8,6 +8,7 @@ import pytest
 
 from bandwalk.operators import backtest as bt
 from bandwalk.operators import indicators as ind
+from bandwalk.operators import replay
 from bandwalk.operators.replay import ReplayConfig, merge_blocks, replay_blocks, replay_metrics, replay_trades
 from bandwalk.operators.series import with_position
 from tests.helpers import plain_backtest, random_bars, to_spark
@@ -141,12 +142,15 @@ def test_windows_beyond_the_configured_length_are_refused(spark):
         replay_metrics(series, params(spark, [(600, 20, 1.0, 0.01)]), 3600).collect()
 
 
-def test_merging_is_independent_of_block_size(spark):
+def test_merging_is_independent_of_block_size(spark, monkeypatch):
     series = with_position(to_spark(spark, random_bars("a", 200, 51)), 3600)
     p = params(spark, GRID[:4])
     out = [
         merge_blocks(replay_blocks(series, p, cfg), 3600, cfg).orderBy("combo_id").toPandas()
         for cfg in (ReplayConfig(block_bars=b, runup=8, max_window=20) for b in (16, 50, 400))
     ]
+    monkeypatch.setattr(replay, "MERGE_BLOCKS", 3)  # folded in two levels
+    cfg = ReplayConfig(block_bars=16, runup=8, max_window=20)
+    out.append(merge_blocks(replay_blocks(series, p, cfg), 3600, cfg).orderBy("combo_id").toPandas())
     for other in out[1:]:
         pd.testing.assert_frame_equal(out[0], other, rtol=1e-9)
