@@ -45,6 +45,13 @@ def true_range(
     )
 
 
+def _ranged(series: DataFrame, keys: Sequence[str], block_bars: int) -> DataFrame:
+    """True range, still laid out in blocks."""
+    return windowed(
+        series, [lambda d, w: d.withColumn("tr", true_range_of(w))], 1, keys, block_bars, True
+    )
+
+
 def shift1(
     series: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS,
     block_bars: int = BLOCK_BARS,
@@ -89,7 +96,7 @@ def atr(
             keys,
             block_bars,
         )
-    ranged = true_range(series, "tr", keys, block_bars)
+    ranged = _ranged(series, keys, block_bars)
     return recursive_means(ranged, [wilder_of(n, "tr", out)], False, keys, block_bars)
 
 
@@ -136,6 +143,7 @@ def atr_envelope(
             ma_window + 1,
             keys,
             block_bars,
+            True,
         ).drop("_ma")
         ranged = recursive_means(ranged, [wilder_of(atr_window)], True, keys, block_bars).drop("tr")
     return bands(ranged, atr_mult)
@@ -158,9 +166,10 @@ def keltner_channel(
             atr_window + 2,
             keys,
             block_bars,
+            True,
         ).drop("_atr")
     else:
-        ranged = true_range(series, "tr", keys, block_bars)
+        ranged = _ranged(series, keys, block_bars)
         means.append(wilder_of(atr_window))
     channel = recursive_means(ranged, means, True, keys, block_bars).drop("tr")
     return bands(channel, atr_mult)
@@ -177,7 +186,7 @@ def indicator_bank(
     ma_windows, atr_windows = sorted(set(ma_windows)), sorted(set(atr_windows))
     means = [wilder_of(n, "tr", f"atr_{n}") for n in atr_windows]
     if ma_kind == "ema":
-        ranged = true_range(series, "tr", keys, block_bars)
+        ranged = _ranged(series, keys, block_bars)
         means += [ema_of(n, "close", f"ma_{n}") for n in ma_windows]
     else:
         ranged = windowed(
@@ -191,5 +200,6 @@ def indicator_bank(
             max(ma_windows),
             keys,
             block_bars,
+            True,
         )
     return recursive_means(ranged, means, False, keys, block_bars)

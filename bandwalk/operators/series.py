@@ -83,17 +83,20 @@ def windowed(
     lookback: int,
     keys: Sequence[str] = KEYS,
     block_bars: int = BLOCK_BARS,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add ordered-window columns that look back at most ``lookback`` rows.
 
     ``columns`` is a list of callables ``df, window -> df``; all of them share one
-    shuffle and one sort.
+    shuffle and one sort. With ``keep_block`` the block number stays, so that
+    ``recursive_means`` can go on in the same partitioning.
     """
     framed = overlapping_blocks(series, lookback, block_bars)
     order = block_order(keys)
     for add in columns:
         framed = add(framed, order)
-    return framed.filter("own").drop("own", "blk")
+    out = framed.filter("own").drop("own")
+    return out if keep_block else out.drop("blk")
 
 
 def carried(
@@ -170,7 +173,9 @@ def recursive_means(
     """
     keys = list(keys)
     means = list(means)
-    cut = series.withColumn("blk", F.floor(F.col("pos") / block_bars))
+    cut = series
+    if "blk" not in series.columns:
+        cut = series.withColumn("blk", F.floor(F.col("pos") / block_bars))
     last = F.least((F.col("blk") + 1) * block_bars, F.col("len")) - 1
     sums = cut.groupBy(*keys, "blk").agg(
         *[
@@ -192,7 +197,8 @@ def recursive_means(
 
     carries = sums.select(*keys, "blk", *[carry(m) for m in means])
     schema = T.StructType(
-        list(series.schema.fields) + [T.StructField(m.out, T.DoubleType()) for m in means]
+        [f for f in series.schema.fields if f.name != "blk"]
+        + [T.StructField(m.out, T.DoubleType()) for m in means]
     )
     names = schema.fieldNames()
 
