@@ -282,7 +282,7 @@ def neighbours(spark, sf, params=cl.PARAMS4):
 
 
 def stable(spark, sf, params=cl.PARAMS4):
-    return cl.stable_points(neighbours(spark, sf, params), cl.n_windows(trials(spark, sf)))
+    return cl.stable_points(neighbours(spark, sf, params), trials(spark, sf))
 
 
 @query("valid_trials", ctes(T_SQL, VALID) + f"select window_id, {P4}, score from valid")
@@ -344,3 +344,42 @@ DOUBLES = ", ".join(f"cast({p} as double) as {p}" for p in cl.PARAMS4)
        union all select 'final', null, {DOUBLES}, null from centre""")
 def _(spark, sf):
     return cl.cluster_points(top_trials(spark, sf), cl.cluster_centre(stable(spark, sf)))
+
+
+# The same analysis for many pairs in one job.
+BY_SYMBOL = ("t", TRIALS.replace("select cast", "select l_returnflag as symbol, cast", 1).replace("1, 2, 3, 4, 5", "1, 2, 3, 4, 5, 6"))
+
+
+def _per_symbol() -> list[tuple[str, str]]:
+    norm = ", ".join(
+        f"case when max({p}) over s > min({p}) over s then ({p} - min({p}) over s) / cast(max({p}) over s - min({p}) over s as double) else 0 end as {p}_norm"
+        for p in cl.PARAMS4
+    )
+    d2 = " + ".join(f"(a.{p}_norm - b.{p}_norm) * (a.{p}_norm - b.{p}_norm)" for p in cl.PARAMS4)
+    return [
+        BY_SYMBOL,
+        VALID,
+        ("norm", f"select *, {norm} from valid window s as (partition by symbol)"),
+        ("topq", """select n.* from norm n join (select symbol, window_id, quantile_cont(score, 0.7) as cut from norm group by 1, 2) q
+                    using (symbol, window_id) where score >= cut"""),
+        ("near", f"""select a.symbol, a.window_id, a.ma_window, a.atr_window, a.mult_x4, a.sl_pct, count(distinct b.window_id) as nearby_windows
+                    from topq a join topq b on a.symbol = b.symbol and a.window_id <> b.window_id and sqrt({d2}) <= 0.35 group by all"""),
+        ("tot", "select symbol, count(distinct window_id) as n from t group by symbol"),
+        ("rt", f"""select q.*, coalesce(nearby_windows, 0) / cast(nullif(n - 1, 0) as double) as ratio
+                    from topq q join tot using (symbol) left join near using (symbol, window_id, {P4})"""),
+        ("stable", "select *, case when ratio >= 0.7 then 'green' else 'orange' end as colour from rt where ratio >= 0.5"),
+        ("centre", """select symbol, colour, count(*) as n_points, cast(trunc(median(ma_window)) as int) as ma_window,
+                      cast(trunc(median(atr_window)) as int) as atr_window, median(mult_x4) as mult_x4, median(sl_pct) as sl_pct,
+                      row_number() over (partition by symbol order by colour) as rn from stable group by symbol, colour"""),
+    ]
+
+
+@query("cluster_centre_by_symbol", ctes(*_per_symbol()) + f"select symbol, colour, n_points, {P4} from centre where rn = 1")
+def _(spark, sf):
+    keys = ["symbol"]
+    log = trials(spark, sf, ["l_returnflag"]).withColumnRenamed("l_returnflag", "symbol")
+    top = cl.top_quantile_per_window(
+        cl.minmax_normalise(cl.valid_trials(log), keys=keys), keys=keys
+    )
+    near = cl.neighbour_windows(top, DEFAULTS.cluster_radius[4], keys=keys)
+    return cl.cluster_centre(cl.stable_points(near, log, keys=keys), keys=keys)

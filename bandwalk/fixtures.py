@@ -75,14 +75,15 @@ def wf_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trial log: one score per window and sampled combination."""
+def trials(spark: SparkSession, sf_dir: str, by: tuple | list = ()) -> DataFrame:
+    """Trial log: one score per window and sampled combination (and per ``by`` column)."""
     score = F.when(F.col("l_quantity") < 10, F.lit(-999.0)).otherwise(
         F.round(F.col("l_discount") * 100).cast("bigint") / F.lit(10.0)
     )
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(
+            *by,
             (F.col("l_suppkey") % 10 + 1).cast("int").alias("window_id"),
             (10 + 5 * (F.col("l_partkey") % 99)).cast("int").alias("ma_window"),
             (5 + 5 * (F.col("l_orderkey") % 20)).cast("int").alias("atr_window"),

@@ -47,7 +47,7 @@ def test_single_window_gives_a_typed_empty_table(spark):
     pdf = log(np.random.default_rng(1), 30, windows=1)
     trials = spark.createDataFrame(pdf, SCHEMA)
     top = cl.top_quantile_per_window(cl.minmax_normalise(trials))
-    stable = cl.stable_points(cl.neighbour_windows(top, 0.35), cl.n_windows(trials))
+    stable = cl.stable_points(cl.neighbour_windows(top, 0.35), trials)
     assert stable.count() == 0
     centre = cl.cluster_centre(stable)
     assert centre.count() == 0 and centre.schema["ma_window"].dataType.typeName() == "integer"
@@ -75,3 +75,20 @@ def test_centre_prefers_green_and_truncates(spark):
     stable = spark.createDataFrame(rows, "ma_window int, atr_window int, mult_x4 int, sl_pct int, colour string")
     got = cl.cluster_centre(stable).first()
     assert (got["colour"], got["ma_window"], got["atr_window"], got["mult_x4"]) == ("green", 27, 8, 5.0)
+
+
+def test_keys_are_analysed_apart(spark):
+    frames = {k: log(np.random.default_rng(i), 120, windows=4) for i, k in enumerate("ab")}
+    both = pd.concat([f.assign(symbol=k) for k, f in frames.items()])
+    keyed = spark.createDataFrame(both, SCHEMA + ", symbol string")
+    keys = ["symbol"]
+
+    def centre(df, keys=()):
+        top = cl.top_quantile_per_window(cl.minmax_normalise(df, keys=keys), keys=keys)
+        near = cl.neighbour_windows(top, 0.35, keys=keys)
+        return cl.cluster_centre(cl.stable_points(near, df, keys=keys), keys=keys)
+
+    got = centre(keyed, keys).toPandas().set_index("symbol")
+    for k, f in frames.items():
+        want = centre(spark.createDataFrame(f, SCHEMA)).first().asDict()
+        assert got.loc[k].to_dict() == want

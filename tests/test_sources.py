@@ -22,14 +22,14 @@ def frame(spark, rows):
 
 def test_csv_files_by_layout(spark, tmp_path):
     for tf, symbol in (("1h", "BTC"), ("1h", "ETH"), ("5m", "BTC")):
-        folder = tmp_path / "lighter" / tf
+        folder = tmp_path / "venue" / tf
         folder.mkdir(parents=True, exist_ok=True)
         (folder / f"{symbol}.csv").write_text(f"date,open,high,low,close,volume\n{T0},1,2,0.5,NaN,3\n")
-    got = cd.read_candle_files(spark, str(tmp_path), ["lighter"], ["1h"])
+    got = cd.read_candle_files(spark, str(tmp_path), ["venue"], ["1h"])
     rows = got.collect()
     assert {(r["tf"], r["symbol"]) for r in rows} == {("1h", "BTC"), ("1h", "ETH")}
     assert rows[0]["ts"] == dt.datetime(2025, 1, 17, 8) and rows[0]["close"] is None
-    none = cd.read_candle_files(spark, str(tmp_path), ["lighter"], ["1d"])
+    none = cd.read_candle_files(spark, str(tmp_path), ["venue"], ["1d"])
     assert none.count() == 0 and none.schema == got.schema
 
 
