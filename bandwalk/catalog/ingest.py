@@ -42,13 +42,12 @@ def new_folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("read_candles", ctes(CANDLES) + f"""select exchange, tf, symbol, date, {ROUNDED}, ts from candles
-       where exchange = 'alpha' and symbol in ('click', 'view')""")
+@query("read_candles", ctes(CANDLES) + f"""select exchange, tf, symbol, date, {ROUNDED}, ts from candles""")
 def _(spark, sf):
-    """Stored candles of two pairs, read back with partition pruning."""
+    """Candles stored by pair and month and read back."""
     path = new_folder(spark, "candles")
     cd.write_candles(candles(spark, sf), path)
-    return rounded(cd.read_candles(spark, path, ["alpha"], ["1h"], ["click", "view"]))
+    return rounded(cd.read_candles(spark, path, ["alpha", "beta"], ["1h", "1d"]))
 
 
 @query("read_candle_files", ctes(CANDLES) + f"""select exchange, tf, symbol, date, {ROUNDED}, ts from candles
@@ -142,9 +141,9 @@ def _(spark, sf):
 
 
 @query("parse_candle_reply", ctes(("bars", BARS_1H)) + f"""select symbol, epoch_ms(ts) as date, {ROUNDED} from bars
-       where dayofmonth(ts) % 7 <> 0""")
+       where dayofweek(ts) <> 0""")
 def _(spark, sf):
-    """Daily replies of hourly candles; every seventh day answers with an error code."""
+    """Daily replies of hourly candles; Sundays answer with an error code."""
     candle = F.struct(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
         F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"),
@@ -158,7 +157,7 @@ def _(spark, sf):
             "symbol",
             F.to_json(
                 F.struct(
-                    F.when(F.dayofmonth("day") % 7 == 0, 500).otherwise(200).alias("code"), F.col("c")
+                    F.when(F.dayofweek("day") == 1, 500).otherwise(200).alias("code"), F.col("c")
                 )
             ).alias("reply"),
         )
@@ -198,9 +197,9 @@ def _(spark, sf):
 
 
 @query("stored_results", ctes(("wf", WF)) + """select 's1' as scan_id, 'alpha' as exchange, '1h' as tf, symbol, split, set_name,
-       ma_window, atr_window, mult_x2, sl_pct, round(sharpe, 8) as sharpe from wf where symbol in ('A', 'R')""")
+       ma_window, atr_window, mult_x2, sl_pct, round(sharpe, 8) as sharpe from wf""")
 def _(spark, sf):
-    """Results written per scan and pair, one pair rewritten, two pairs read back."""
+    """Results written per scan and pair, one pair rewritten, one scan read back."""
     path = new_folder(spark, "results")
     results = settled(
         wf_results(spark, sf).withColumns({"exchange": F.lit("alpha"), "tf": F.lit("1h")})
@@ -208,7 +207,7 @@ def _(spark, sf):
     rs.write_results(results, path, "s1")
     rs.write_results(results.filter("symbol = 'A'"), path, "s1")
     rs.write_results(results.filter("symbol = 'N'"), path, "s2")
-    return rounded(rs.read_results(spark, path, "s1", ["A", "R"]))
+    return rounded(rs.read_results(spark, path, "s1"))
 
 
 @query("parse_result_name", ctes(CANDLES) + """select distinct 'kc_wfsl_' || symbol || '_' || tf || '_' || exchange || '.pickle' as name,

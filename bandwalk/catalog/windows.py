@@ -242,7 +242,7 @@ def _(spark, sf):
     """The grid over every pair without a stored result."""
     candles = bars_1h(spark, sf).withColumns({"exchange": F.lit("alpha"), "tf": F.lit("1h")})
     stored = candles.filter(F.col("symbol").isin("click", "view"))
-    out = scan(candles, stored, param_grid(spark, SMALL_GRID), BAR_SECONDS_1H, cfg=SMALL_CFG)
+    out = scan(candles, stored, param_grid(spark, SMALL_GRID), cfg=SMALL_CFG)
     return rounded(out, **DIGITS)
 
 

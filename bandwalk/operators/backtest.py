@@ -248,7 +248,7 @@ def max_drawdown(curve: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return curve.groupBy(*keys).agg(F.max(_drawdown()).alias("max_drawdown"))
 
 
-def sharpe(curve: DataFrame, bar_seconds: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def sharpe(curve: DataFrame, bar_seconds: int | Column, keys: Sequence[str] = KEYS) -> DataFrame:
     return curve.groupBy(*keys).agg(_sharpe(bar_seconds).alias("sharpe"))
 
 
@@ -260,22 +260,23 @@ def _drawdown() -> Column:
     return 1 - F.col("equity") / F.col("peak")
 
 
-def bars_per_year(bar_seconds: int) -> float:
-    return 365 * 86_400 / bar_seconds
+def annual_scale(bar_seconds: int | Column) -> Column:
+    """Square root of the bars in a year of 365 days."""
+    return F.sqrt(F.lit(365.0 * 86_400) / F.lit(bar_seconds))
 
 
-def _sharpe(bar_seconds: int) -> Column:
+def _sharpe(bar_seconds: int | Column) -> Column:
     # A curve at zero stays at zero: its return there is 0.
     ret = F.when(
         F.col("prev_equity") > 0, F.col("equity") / F.nullif(F.col("prev_equity"), F.lit(0.0)) - 1
     ).otherwise(0.0)
     return (
-        F.avg(ret) / F.nullif(F.stddev_samp(ret), F.lit(0.0)) * F.lit(bars_per_year(bar_seconds) ** 0.5)
+        F.avg(ret) / F.nullif(F.stddev_samp(ret), F.lit(0.0)) * annual_scale(bar_seconds)
     )
 
 
 def metrics(
-    curve: DataFrame, bar_seconds: int, init_cash: float = DEFAULTS.init_cash,
+    curve: DataFrame, bar_seconds: int | Column, init_cash: float = DEFAULTS.init_cash,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """One row per key: all measures in a single map-side combined aggregate."""
@@ -293,7 +294,7 @@ def metrics(
 
 
 def backtest(
-    channel: DataFrame, bar_seconds: int, size: float = DEFAULTS.size,
+    channel: DataFrame, bar_seconds: int | Column, size: float = DEFAULTS.size,
     fees: float = DEFAULTS.fees, keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
     """Channel to metrics without a stop."""

@@ -27,7 +27,7 @@ from bandwalk.defaults import (
     REPLAY_BLOCK_BARS,
     REPLAY_RUNUP_BARS,
 )
-from bandwalk.operators.backtest import bars_per_year
+from bandwalk.operators.backtest import annual_scale
 from bandwalk.operators.indicators import true_range_of
 from bandwalk.operators.series import (
     KEYS,
@@ -497,7 +497,7 @@ def _merge(acc: Column, x: Column) -> Column:
 
 
 def merge_blocks(
-    summaries: DataFrame, bar_seconds: int, cfg: ReplayConfig = ReplayConfig(),
+    summaries: DataFrame, bar_seconds: int | Column, cfg: ReplayConfig = ReplayConfig(),
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Block summaries to one metrics row per (key, combination).
@@ -530,7 +530,7 @@ def merge_blocks(
     std = F.sqrt(F.col("m.m2") / F.nullif(F.col("m.n") - 1, F.lit(0.0)))
     return folded.select(
         *keys,
-        (F.col("m.mean") / F.nullif(std, F.lit(0.0)) * F.lit(bars_per_year(bar_seconds) ** 0.5)).alias("sharpe"),
+        (F.col("m.mean") / F.nullif(std, F.lit(0.0)) * annual_scale(bar_seconds)).alias("sharpe"),
         (F.col("m.growth") - 1).alias("total_return"),
         F.col("m.drop").alias("max_drawdown"),
         F.col("m.trades").cast("long").alias("n_trades"),
@@ -541,7 +541,7 @@ def merge_blocks(
 
 
 def replay_metrics(
-    series: DataFrame, params: DataFrame, bar_seconds: int, cfg: ReplayConfig = ReplayConfig(),
+    series: DataFrame, params: DataFrame, bar_seconds: int | Column, cfg: ReplayConfig = ReplayConfig(),
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Metrics of every combination on every series."""

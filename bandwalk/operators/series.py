@@ -23,19 +23,20 @@ KEYS = ("symbol",)
 
 def with_position(
     bars: DataFrame,
-    bar_seconds: int,
+    bar_seconds: int | Column,
     keys: Sequence[str] = KEYS,
     block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
     """Add ``pos`` (0-based rank in time) and ``len`` (bars in the series).
 
     (key, ts) is unique, so a time chunk of ``block_bars`` bar lengths cannot hold
-    more than ``block_bars`` rows whatever the length of the series.
+    more than ``block_bars`` rows whatever the length of the series. ``bar_seconds`` may be
+    an expression over the key columns when timeframes are mixed.
     """
     keys = list(keys)
-    span = bar_seconds * block_bars
+    span = F.lit(bar_seconds) * block_bars
     chunked = bars.withColumn(
-        "_chunk", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(span))
+        "_chunk", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span)
     )
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
     offsets = (

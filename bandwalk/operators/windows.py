@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bandwalk.defaults import BLOCK_BARS, DEFAULTS
 from bandwalk.operators.series import KEYS
@@ -116,7 +116,7 @@ def calendar_windows(
 
 
 def locate_windows(
-    series: DataFrame, windows: DataFrame, bar_seconds: int, keys: Sequence[str] = KEYS,
+    series: DataFrame, windows: DataFrame, bar_seconds: int | Column, keys: Sequence[str] = KEYS,
     block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
     """Turn time intervals into row ranges [lo, hi) of each series.
@@ -125,7 +125,7 @@ def locate_windows(
     pieces and only the range ends are aggregated.
     """
     keys = list(keys)
-    span = bar_seconds * block_bars
+    span = F.lit(bar_seconds) * block_bars
 
     def chunk(column: str):
         return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / span)

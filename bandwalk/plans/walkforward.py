@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bandwalk.defaults import BLOCK_BARS, DEFAULTS, Defaults
-from bandwalk.functions.scalars import composite_score
+from bandwalk.functions.scalars import composite_score, tf_seconds
 from bandwalk.operators.backtest import equity_curve, metrics, positions
 from bandwalk.operators.params import RESEARCH_SPACE, Axis, param_sample
 from bandwalk.operators.replay import PARAMS, ReplayConfig, replay_metrics
@@ -27,7 +27,7 @@ MEASURES = ("sharpe", "total_return", "max_drawdown", "n_trades", "win_rate", "f
 
 
 def walk_forward_grid(
-    bars: DataFrame, params: DataFrame, bar_seconds: int, n: int = DEFAULTS.n_windows,
+    bars: DataFrame, params: DataFrame, bar_seconds: int | Column, n: int = DEFAULTS.n_windows,
     cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
     """Metrics for every (key, split, set, combination); indicators restart per segment."""
@@ -42,7 +42,7 @@ def walk_forward_grid(
 
 
 def research_windows(
-    bars: DataFrame, bar_seconds: int, n: int = DEFAULTS.n_windows, half_open: bool = False,
+    bars: DataFrame, bar_seconds: int | Column, n: int = DEFAULTS.n_windows, half_open: bool = False,
     keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
     """Bars with their calendar train/test windows."""
@@ -54,7 +54,7 @@ def research_windows(
 
 
 def trial_log(
-    segmented: DataFrame, bar_seconds: int, n_trials: int = DEFAULTS.n_trials, seed: int = 42,
+    segmented: DataFrame, bar_seconds: int | Column, n_trials: int = DEFAULTS.n_trials, seed: int = 42,
     axes: Sequence[Axis] = RESEARCH_SPACE, cfg: ReplayConfig = ReplayConfig(),
     keys: Sequence[str] = KEYS, d: Defaults = DEFAULTS,
 ) -> DataFrame:
@@ -89,7 +89,7 @@ def best_trials(
 
 
 def window_winners(
-    trials: DataFrame, segmented: DataFrame, bar_seconds: int,
+    trials: DataFrame, segmented: DataFrame, bar_seconds: int | Column,
     cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Best trial per window on train, measured on its test part."""
@@ -109,7 +109,7 @@ def window_winners(
 
 
 def final_backtest(
-    bars: DataFrame, params: DataFrame, bar_seconds: int, size: float = 1.0,
+    bars: DataFrame, params: DataFrame, bar_seconds: int | Column, size: float = 1.0,
     cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
     """Chosen parameters on the full history, by default with all equity per trade."""
@@ -118,7 +118,7 @@ def final_backtest(
 
 
 def evaluate_strategy(
-    bars: DataFrame, strategy: Callable[..., DataFrame], params: dict, bar_seconds: int,
+    bars: DataFrame, strategy: Callable[..., DataFrame], params: dict, bar_seconds: int | Column,
     size: float = DEFAULTS.size, fees: float = DEFAULTS.fees, keys: Sequence[str] = KEYS,
     block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
@@ -135,10 +135,15 @@ def evaluate_strategy(
 
 
 def scan(
-    candles: DataFrame, results: DataFrame | None, params: DataFrame, bar_seconds: int,
-    cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = ("exchange", "tf", "symbol"),
+    candles: DataFrame, results: DataFrame | None, params: DataFrame,
+    bar_seconds: int | Column | None = None, cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = ("exchange", "tf", "symbol"),
 ) -> DataFrame:
-    """Walk-forward grid over all pairs that have no stored result yet, as one job."""
+    """Walk-forward grid over all pairs that have no stored result yet, as one job.
+
+    The bar length comes from each pair's ``tf`` unless it is given.
+    """
+    if bar_seconds is None:
+        bar_seconds = tf_seconds(F.col("tf"))
     todo = candles
     if results is not None:
         todo = candles.join(results.select(*keys).distinct(), list(keys), "left_anti")
