@@ -34,7 +34,7 @@ def with_position(
     an expression over the key columns when timeframes are mixed.
     """
     keys = list(keys)
-    span = F.lit(bar_seconds) * block_bars
+    span = F.lit(bar_seconds).cast("bigint") * block_bars
     chunked = bars.withColumn(
         "_chunk", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span)
     )

@@ -125,7 +125,7 @@ def locate_windows(
     pieces and only the range ends are aggregated.
     """
     keys = list(keys)
-    span = F.lit(bar_seconds) * block_bars
+    span = F.lit(bar_seconds).cast("bigint") * block_bars
 
     def chunk(column: str):
         return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / span)
