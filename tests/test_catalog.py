@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+from bandwalk.catalog import REGISTRY
 from tools.compare import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = {name: e.run for name, e in REGISTRY.items()}
+SQL = {name: e.sql for name, e in REGISTRY.items() if e.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,8 @@ def test_entry_has_rows(spark):
 
 def test_registry_is_consistent():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(SQL) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
