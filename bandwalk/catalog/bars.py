@@ -9,6 +9,7 @@ from bandwalk.catalog.base import (
     BARS_1H,
     FLAGS,
     HELD,
+    REGISTRY,
     ctes,
     curve,
     envelope,
@@ -28,6 +29,7 @@ from bandwalk.operators.replay import ReplayConfig, replay_trades
 from bandwalk.operators.series import with_position
 from bandwalk.operators.signals import fill_price, signals
 from bandwalk.plans.walkforward import evaluate_strategy, final_backtest
+from bandwalk.sources.candles import complete, incomplete
 
 
 def hourly(spark, sf) -> DataFrame:
@@ -362,3 +364,132 @@ def _(spark, sf):
     params = combos(spark, *STOP_PARAMS)
     out = final_backtest(bars_1h(spark, sf), params, BAR_SECONDS_1H, cfg=ReplayConfig(max_window=20))
     return rounded(out, **DIGITS)
+
+
+# ---- the same results from small blocks ---------------------------------------------
+# Series here are short, so blocks are cut small enough that every carry is used many times.
+
+BLOCK = 48
+SMALL_BLOCKS = ReplayConfig(block_bars=64, runup=4)
+
+
+def hourly_blocked(spark, sf) -> DataFrame:
+    return with_position(bars_1h(spark, sf), BAR_SECONDS_1H, block_bars=BLOCK)
+
+
+def sql_of(name: str) -> str:
+    return REGISTRY[name].sql
+
+
+@query("ema_blocked", sql_of("ema"))
+def _(spark, sf):
+    return rounded(ind.ema(hourly_blocked(spark, sf), 12, block_bars=BLOCK).select("symbol", "ts", "ema"))
+
+
+@query("atr_wilder_blocked", sql_of("atr_wilder"))
+def _(spark, sf):
+    return rounded(ind.atr(hourly_blocked(spark, sf), 14, block_bars=BLOCK).select("symbol", "ts", "atr"))
+
+
+@query("keltner_channel_blocked", sql_of("keltner_channel"))
+def _(spark, sf):
+    out = ind.keltner_channel(hourly_blocked(spark, sf), 10, 5, 1.0, block_bars=BLOCK)
+    return rounded(out.select(*CHANNEL_COLUMNS))
+
+
+@query("metrics_blocked", sql_of("metrics"))
+def _(spark, sf):
+    channel = ind.atr_envelope(hourly_blocked(spark, sf), 10, 5, 1.0, block_bars=BLOCK)
+    return rounded(bt.backtest(channel, BAR_SECONDS_1H, block_bars=BLOCK), **DIGITS)
+
+
+@query("equity_curve_blocked", sql_of("equity_curve"))
+def _(spark, sf):
+    held = bt.positions(fill_price(signals(envelope_1d(spark, sf))), block_bars=BLOCK)
+    return rounded(bt.equity_curve(held, block_rows=BLOCK).select("symbol", "ts", "equity", "peak"), 3)
+
+
+@query("trades_with_stop_blocked", sql_of("trades_with_stop"))
+def _(spark, sf):
+    return rounded(replay_trades(hourly(spark, sf), combos(spark, *STOP_PARAMS), SMALL_BLOCKS))
+
+
+@query("final_backtest_blocked", sql_of("final_backtest"))
+def _(spark, sf):
+    """Four bars of run-up leave most blocks unsettled, so rounds of resolving are needed."""
+    params = combos(spark, *STOP_PARAMS)
+    out = final_backtest(bars_1h(spark, sf), params, BAR_SECONDS_1H, cfg=SMALL_BLOCKS)
+    return rounded(out, **DIGITS)
+
+
+def long_only(series: DataFrame, ma_window: int, atr_window: int, atr_mult: float) -> DataFrame:
+    """A user strategy that never shorts, so no bar forces both legs shut."""
+    flagged = signals(ind.atr_envelope(series, ma_window, atr_window, atr_mult, block_bars=BLOCK))
+    return fill_price(flagged.withColumns({"short_entry": F.lit(False), "short_exit": F.lit(False)}))
+
+
+LONG_FLAGS = [
+    (name, sql.replace("coalesce(high >= upper, false) as short_entry, coalesce(low <= mid, false) as short_exit",
+                       "false as short_entry, false as short_exit"))
+    for name, sql in FLAGS
+]
+
+
+@query(
+    "user_strategy_long",
+    ctes(*envelope(BARS_1D, 15, 8, 0.4), *LONG_FLAGS, *HELD, *curve(1.0)) + metrics_sql(YEAR_1D),
+)
+def _(spark, sf):
+    out = evaluate_strategy(
+        bars_1d(spark, sf), long_only, {"ma_window": 15, "atr_window": 8, "atr_mult": 0.4},
+        BAR_SECONDS_1D, size=1.0, block_bars=BLOCK,
+    )
+    return rounded(out, **DIGITS)
+
+
+# ---- missing prices -----------------------------------------------------------------
+
+HOLED = f"""select symbol, ts, open, high, low, case when cast(volume as bigint) % 2 = 0 then null else close end as close, volume
+            from ({BARS_1H})"""
+WHOLE = f"select * from ({HOLED}) where close is not null"
+
+
+def holed(spark, sf) -> DataFrame:
+    """Hourly candles, those with an even number of ticks without a close."""
+    return bars_1h(spark, sf).withColumn(
+        "close", F.when(F.col("volume").cast("bigint") % 2 != 0, F.col("close"))
+    )
+
+
+@query("incomplete_candles", f"select symbol, ts, 'close' as missing from ({HOLED}) where close is null")
+def _(spark, sf):
+    return incomplete(holed(spark, sf)).select("symbol", "ts", "missing")
+
+
+def missing_metrics(spark, sf, block: int) -> DataFrame:
+    series = with_position(complete(holed(spark, sf)), BAR_SECONDS_1H, block_bars=block)
+    channel = ind.atr_envelope(series, 10, 5, 1.0, block_bars=block)
+    return rounded(bt.backtest(channel, BAR_SECONDS_1H, block_bars=block), **DIGITS)
+
+
+MISSING_SQL = ctes(*envelope(WHOLE, 10, 5, 1.0), *FLAGS, *HELD, *curve(0.3)) + metrics_sql(YEAR_1H)
+
+
+@query("metrics_missing", MISSING_SQL)
+def _(spark, sf):
+    return missing_metrics(spark, sf, 65_536)
+
+
+@query("metrics_missing_blocked", MISSING_SQL)
+def _(spark, sf):
+    return missing_metrics(spark, sf, BLOCK)
+
+
+@query(
+    "ema_missing_blocked",
+    ctes(*indexed(WHOLE), ("e", recursive_mean("ix", "close", "(2.0/13)", "12")))
+    + "select ix.symbol, ix.ts, round(e.v, 8) as ema from ix left join e on e.symbol = ix.symbol and e.pos = ix.pos",
+)
+def _(spark, sf):
+    series = with_position(complete(holed(spark, sf)), BAR_SECONDS_1H, block_bars=BLOCK)
+    return rounded(ind.ema(series, 12, block_bars=BLOCK).select("symbol", "ts", "ema"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from bandwalk.catalog.base import BARS_1D, BARS_1H, WF, ctes, query, rounded
@@ -38,6 +41,12 @@ def candles(spark, sf) -> DataFrame:
     )
 
 
+def file_system(uri: str):
+    """The file system of a shared folder, and the folder's path in it."""
+    uri = re.sub(r"^file:/+", "file:///", uri)
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
 def new_folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -64,13 +73,13 @@ def _(spark, sf):
         .option("header", True)
         .csv(staged)
     )
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jpath(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in fs.globStatus(jpath(f"{staged}/*/*/*/*.csv")):
-        exchange, tf, symbol = (p.split("=", 1)[1] for p in part.getPath().toString().split("/")[-4:-1])
-        folder = jpath(f"{root}/{exchange}/{tf}")
-        fs.mkdirs(folder)
-        fs.rename(part.getPath(), jpath(folder, f"{symbol}.csv"))
+    files, top = file_system(staged)
+    target = file_system(root)[1]
+    for part in files.get_file_info(pafs.FileSelector(top, recursive=True)):
+        if part.extension == "csv":
+            exchange, tf, symbol = (unquote(p.split("=", 1)[1]) for p in part.path.split("/")[-4:-1])
+            files.create_dir(f"{target}/{exchange}/{tf}", recursive=True)
+            files.move(part.path, f"{target}/{exchange}/{tf}/{symbol}.csv")
     return rounded(cd.read_candle_files(spark, root, ["alpha", "gamma"], ["1h"]))
 
 
@@ -210,7 +219,7 @@ def _(spark, sf):
     return rounded(rs.read_results(spark, path, "s1"))
 
 
-@query("parse_result_name", ctes(CANDLES) + """select distinct 'kc_wfsl_' || symbol || '_' || tf || '_' || exchange || '.pickle' as name,
+@query("parse_result_name", ctes(CANDLES) + """select distinct 'scan_' || symbol || '_' || tf || '_' || exchange || '.pickle' as name,
        symbol, tf, exchange from candles""")
 def _(spark, sf):
     """Names of stored results; nation names hold an underscore and make malformed ones."""
@@ -222,9 +231,10 @@ def _(spark, sf):
     return rs.parse_result_name(
         names.select(
             F.concat(
-                F.lit("kc_wfsl_"), F.concat_ws("_", "symbol", "tf", "exchange"), F.lit(".pickle")
+                F.lit("scan_"), F.concat_ws("_", "symbol", "tf", "exchange"), F.lit(".pickle")
             ).alias("name")
-        )
+        ),
+        prefix="scan_",
     )
 
 

@@ -10,6 +10,7 @@ from bandwalk.catalog.bars import DIGITS, daily
 from bandwalk.catalog.base import (
     BARS_1D,
     BARS_1H,
+    REGISTRY,
     TRIALS,
     ctes,
     indexed,
@@ -22,9 +23,12 @@ from bandwalk.catalog.base import (
 )
 from bandwalk.defaults import DEFAULTS
 from bandwalk.fixtures import BAR_SECONDS_1D, BAR_SECONDS_1H, bars_1d, bars_1h, table, trials
+from bandwalk.catalog.ingest import new_folder
+from bandwalk.operators.analysis import rank_pairs
 from bandwalk.operators.clusters import PARAMS4
 from bandwalk.operators.params import GRID, RESEARCH_SPACE, Axis, param_grid, param_sample, size_of
-from bandwalk.operators.replay import ReplayConfig
+from bandwalk.operators.replay import PARAMS, ReplayConfig
+from bandwalk.operators.series import with_position
 from bandwalk.operators.windows import (
     assign_segments,
     calendar_windows,
@@ -38,11 +42,14 @@ from bandwalk.plans.walkforward import (
     best_trials,
     research_windows,
     scan,
+    scan_skipped,
+    scan_to,
     trial_log,
     walk_forward_grid,
     window_winners,
 )
 from bandwalk.session import settled
+from bandwalk.sources.results import read_results
 
 SPLIT_SQL = [
     ("n", "select symbol, count(*) as len from bars group by symbol"),
@@ -137,31 +144,42 @@ def _(spark, sf):
 
 @query(
     "param_grid",
-    """with n as (select cast(l_orderkey % 8250 as int) as combo_id, count(*) as n_rows from lineitem group by 1)
+    """with n as (select cast(l_orderkey % 8250 as int) as combo_id, count(*) as n_rows from lineitem group by 1),
+            g as (select cast(range as int) as combo_id from range(8250))
        select combo_id, cast(20 + 20 * (combo_id // 825) as int) as ma_window,
               cast(10 + 20 * (combo_id // 75 % 11) as int) as atr_window,
               (2 + combo_id // 5 % 15) / cast(2 as double) as atr_mult,
-              (2 + 2 * (combo_id % 5)) / cast(100 as double) as sl_stop, n_rows from n""",
+              (2 + 2 * (combo_id % 5)) / cast(100 as double) as sl_stop, coalesce(n_rows, 0) as n_rows
+       from g left join n using (combo_id)""",
 )
 def _(spark, sf):
     """The production grid, joined to a key folded onto its numbering."""
     folded = table(spark, sf, "lineitem").groupBy(
         (F.col("l_orderkey") % size_of(GRID)).cast("int").alias("combo_id")
     ).agg(F.count("*").alias("n_rows"))
-    return folded.join(param_grid(spark), "combo_id")
+    return param_grid(spark).join(folded, "combo_id", "left").withColumn(
+        "n_rows", F.coalesce("n_rows", F.lit(0))
+    )
 
 
 def sample_sql(windows: str, keys: str, n: int = 200) -> list[tuple[str, str]]:
-    """Hash draws over the research space, first ``n`` distinct ones per window."""
-    text = "'42:' || " + " || ':' || ".join(f"cast({k} as varchar)" for k in keys.split(", ")) + " || ':' || cast(d as varchar)"
-    return [
-        ("draws", f"select {keys}, d, cast('0x' || substr(md5({text}), 1, 12) as bigint) % {size_of(RESEARCH_SPACE)} as ix "
-                  f"from ({windows}) w, (select range as d from range({4 * n})) r"),
-        ("firsts", f"select {keys}, ix, min(d) as d from draws group by all"),
-        ("nth", f"select *, row_number() over (partition by {keys} order by d, ix) as k from firsts"),
-        ("sample", f"""select {keys}, cast(k - 1 as int) as combo_id, cast(10 + 5 * (ix // 11700) as int) as ma_window,
+    """The first ``n`` of each window's keyed permutation of the research space."""
+    high, low = size_of(RESEARCH_SPACE[:2]), size_of(RESEARCH_SPACE[2:])
+    text = "'42:' || " + " || ':' || ".join(f"cast({k} as varchar)" for k in keys.split(", "))
+
+    def shifted(column: str, by: str, size: int, turn: int) -> str:
+        return (f"({column} + cast('0x' || substr(md5({text} || ':{turn}:' || cast({by} as varchar)), 1, 12) as bigint))"
+                f" % {size} as {column}")
+
+    turns = [("p0", f"select {keys}, k, k // {low} as h, k % {low} as l from ({windows}) w, (select range as k from range({n})) r")]
+    for turn in range(4):
+        moved = shifted("l", "h", low, turn) + ", h" if turn % 2 == 0 else "l, " + shifted("h", "l", high, turn)
+        turns.append((f"p{turn + 1}", f"select {keys}, k, {moved} from p{turn}"))
+    return turns + [
+        ("nth", f"select {keys}, k, h * {low} + l as ix from p4"),
+        ("sample", f"""select {keys}, cast(k as int) as combo_id, cast(10 + 5 * (ix // 11700) as int) as ma_window,
                     cast(5 + 5 * (ix // 585 % 20) as int) as atr_window, (2 + ix // 15 % 39) / cast(4 as double) as atr_mult,
-                    (1 + ix % 15) / cast(100 as double) as sl_stop from nth where k <= {n}"""),
+                    (1 + ix % 15) / cast(100 as double) as sl_stop from nth"""),
     ]
 
 
@@ -362,3 +380,64 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return best_trials(trials(spark, sf), ["window_id"], PARAMS4)
+
+
+# ---- small blocks, skipped pairs, grid to ranking --------------------------------------
+
+
+@query("walk_forward_grid_blocked", REGISTRY["walk_forward_grid"].sql)
+def _(spark, sf):
+    """Blocks far shorter than a segment, so summaries are merged and rounds resolved."""
+    out = walk_forward_grid(
+        bars_1h(spark, sf), param_grid(spark, SMALL_GRID), BAR_SECONDS_1H,
+        cfg=ReplayConfig(block_bars=16, runup=4), block_bars=64,
+    )
+    return rounded(out, **DIGITS)
+
+
+@query("scan_skipped", f"""
+    with bars as ({BARS_1H}), short as (select *, row_number() over (partition by symbol order by ts) as i from bars),
+      c as (select * from short where symbol <> 'click' or i <= 12), n as (select symbol, count(*) as len from c group by 1)
+    select 'alpha' as exchange, '1h' as tf, symbol, len,
+      case when symbol = 'view' then 'stored' else 'fewer than 13 bars for 10 windows' end as reason
+    from n where symbol in ('view', 'click')""")
+def _(spark, sf):
+    """One pair has a stored result, one is cut to its first twelve bars; the others are scanned."""
+    series = with_position(bars_1h(spark, sf), BAR_SECONDS_1H)
+    candles = (
+        series.filter((F.col("symbol") != "click") | (F.col("pos") < 12)).drop("pos", "len")
+        .withColumns({"exchange": F.lit("alpha"), "tf": F.lit("1h")})
+    )
+    stored = candles.filter("symbol = 'view'")
+    return scan_skipped(candles, stored)
+
+
+@query(
+    "grid_then_rank",
+    ctes(
+        *indexed(BARS_1H), *SPLIT_SQL, ("sb", SEGMENT_BARS), *grid_walk(2),
+        ("measured", walk_metrics([*SEG, "combo_id"], BAR_SECONDS_1H)),
+        ("res", f"select m.*, {PARAM_COLUMNS} from measured m join grid g on g.combo_id = m.combo_id"),
+        ("med", f"""select symbol, {PARAM_COLUMNS}, median(sharpe) filter (where set_name = 'train') as train_median,
+                    median(sharpe) filter (where set_name = 'test') as test_median,
+                    count(*) filter (where set_name = 'train' and sharpe > 0) as good from res group by all"""),
+        ("cnt", "select symbol, count(distinct split) as n from res group by 1"),
+        ("best", f"""select *, row_number() over (partition by symbol order by train_median desc nulls last, {PARAM_COLUMNS}) as rn from med"""),
+        ("rob", f"select symbol, count(*) filter (where good >= n * {DEFAULTS.robust_share}) as n_robust from med join cnt using (symbol) group by 1"),
+        ("al", f"""select symbol, split, {PARAM_COLUMNS}, max(sharpe) filter (where set_name = 'train') as a,
+                   max(sharpe) filter (where set_name = 'test') as b from res group by all"""),
+        ("co", "select symbol, corr(a, b) as c from al group by 1"),
+        recursive=True,
+    )
+    + """select symbol, n_robust, round(train_median, 3) as best_sharpe_train, round(test_median, 3) as best_sharpe_test,
+         round(c, 3) as corr_train_test, ma_window as best_ma_window, atr_window as best_atr_window,
+         atr_mult as best_atr_mult, sl_stop as best_sl_stop
+         from best join rob using (symbol) join co using (symbol) where rn = 1""",
+)
+def _(spark, sf):
+    """Grid, store, read back, rank: the engine's own result columns all the way."""
+    path = new_folder(spark, "scan")
+    candles = bars_1h(spark, sf).withColumns({"exchange": F.lit("alpha"), "tf": F.lit("1h")})
+    scan_to(path, "s1", candles, param_grid(spark, SMALL_GRID), group_pairs=2)
+    results = rounded(read_results(spark, path, "s1"), **DIGITS)
+    return rank_pairs(results, combo=PARAMS).drop("rank", "delta")

@@ -8,14 +8,16 @@ from bandwalk.defaults import DEFAULTS, Defaults
 
 
 def tf_seconds(tf: Column) -> Column:
-    """Seconds of a timeframe such as ``5m``; units m, h, d, w."""
+    """Seconds of a timeframe such as ``5m``; units m, h, d, w. Any other text is an error."""
     unit = (
         F.when(F.right(tf, F.lit(1)) == "m", 60)
         .when(F.right(tf, F.lit(1)) == "h", 3_600)
         .when(F.right(tf, F.lit(1)) == "d", 86_400)
         .when(F.right(tf, F.lit(1)) == "w", 604_800)
     )
-    return tf.substr(F.lit(1), F.length(tf) - 1).cast("bigint") * unit
+    seconds = tf.substr(F.lit(1), F.length(tf) - 1).try_cast("bigint") * unit
+    unknown = F.raise_error(F.concat(F.lit("unknown timeframe "), F.coalesce(tf, F.lit("NULL"))))
+    return F.when(seconds > 0, seconds).otherwise(unknown.cast("bigint"))
 
 
 def num_or_zero(value: Column) -> Column:

@@ -89,22 +89,33 @@ def n_splits(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def heatmap(
-    values: DataFrame, measure: str, mults: Sequence[int], row: str = "ma_window",
+    values: DataFrame, measure: str, mults: Sequence[float], row: str = "ma_window",
     column: str = "mult_x2", scale: float = 2.0, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Median per (row, column) cell, one column per multiplier (``m_1_5`` for 1.5)."""
+    """Median per (row, column) cell, one column per multiplier (``m_1_5`` for 1.5).
+
+    ``mults`` are values of ``column``; a name shows the value divided by ``scale``.
+    """
     wide = values.groupBy(*keys, row).pivot(column, list(mults)).agg(F.median(measure))
-    for m in mults:
-        wide = wide.withColumnRenamed(str(m), "m_" + str(m / scale).replace(".", "_"))
-    return wide
+    names = ["m_" + str(m / scale).replace(".", "_") for m in mults]
+    return wide.toDF(*keys, row, *names)
 
 
-def train_heatmap(results: DataFrame, mults: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
-    return heatmap(results.filter(F.col("set_name") == "train"), "sharpe", mults, keys=keys)
+def train_heatmap(
+    results: DataFrame, mults: Sequence[float], keys: Sequence[str] = KEYS, row: str = "ma_window",
+    column: str = "mult_x2", scale: float = 2.0,
+) -> DataFrame:
+    """Train Sharpe per cell. For results of the engine itself: ``column="atr_mult", scale=1.0``."""
+    train = results.filter(F.col("set_name") == "train")
+    return heatmap(train, "sharpe", mults, row, column, scale, keys)
 
 
-def delta_heatmap(results: DataFrame, mults: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
-    return heatmap(train_test_delta(results, keys), "delta", mults, keys=keys)
+def delta_heatmap(
+    results: DataFrame, mults: Sequence[float], keys: Sequence[str] = KEYS, row: str = "ma_window",
+    column: str = "mult_x2", scale: float = 2.0, combo: Sequence[str] = COMBO,
+) -> DataFrame:
+    """Test minus train per cell; ``combo`` are the parameter columns of the results."""
+    return heatmap(train_test_delta(results, keys, combo), "delta", mults, row, column, scale, keys)
 
 
 def with_robust_train(

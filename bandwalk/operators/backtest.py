@@ -1,16 +1,16 @@
 """Positions, trades, equity and metrics as relational operators (no stop).
 
-Between two bars that force every position shut, a run of bars depends on nothing
-earlier: it starts flat. Such a run is called an episode. All ordered work happens
-inside (key, episode) groups, so a long series is spread over many tasks; only one
-summary row per episode is accumulated along the series.
+What a bar needs to know of all bars before it is little: the latest event of each leg,
+the latest entry, the growth of closed trades, the highest equity. Each is carried over
+fixed blocks of bars (``series.carried``): blocks are aggregated in parallel, one row per
+block is accumulated along the series, and bars add what precedes them in their block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bandwalk.defaults import BLOCK_BARS, DEFAULTS
 from bandwalk.operators.series import KEYS, carried, windowed
@@ -28,41 +28,44 @@ def leg_event(entry: str, leave: str) -> Column:
     )
 
 
-def with_episodes(
-    flagged: DataFrame, keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS
-) -> DataFrame:
-    """Add leg events and ``episode``, the number of forced-flat bars before the bar."""
-    events = flagged.withColumns(
-        {
-            "long_ev": leg_event("long_entry", "long_exit"),
-            "short_ev": leg_event("short_entry", "short_exit"),
-        }
-    ).withColumn(
-        "_flat",
-        F.when((F.col("long_ev") == 0) & (F.col("short_ev") == 0), F.lit(1)).otherwise(F.lit(0)),
-    )
-    return carried(
-        settled(events), "pos", {"episode": ("sum", "_flat")}, keys, block_bars
-    ).drop("_flat")
-
-
-def episode_order(keys: Sequence[str] = KEYS):
-    return Window.partitionBy(*keys, "episode").orderBy("pos")
-
-
 def positions(
     flagged: DataFrame, keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS
 ) -> DataFrame:
-    """Add ``position`` (-1, 0, 1) held after each bar."""
-    upto = episode_order(keys).rowsBetween(Window.unboundedPreceding, 0)
+    """Add ``position`` (-1, 0, 1) held after each bar and ``was``, the one before it."""
+    events = settled(
+        flagged.withColumns(
+            {
+                "long_ev": leg_event("long_entry", "long_exit"),
+                "short_ev": leg_event("short_entry", "short_exit"),
+            }
+        )
+    )
+    legs = {"_long": ("last", "long_ev"), "_short": ("last", "short_ev")}
+    zero = F.lit(0)
+    return (
+        carried(events, "pos", legs, keys, block_bars)
+        .withColumns(
+            {
+                "position": F.coalesce("long_ev", "_long", zero) - F.coalesce("short_ev", "_short", zero),
+                "was": F.coalesce("_long", zero) - F.coalesce("_short", zero),
+            }
+        )
+        .drop("long_ev", "short_ev", "_long", "_short")
+    )
 
-    def leg(ev: str) -> Column:
-        return F.coalesce(F.last(ev, ignorenulls=True).over(upto), F.lit(0))
 
+def _entries(held: DataFrame, keys: Sequence[str], block_bars: int) -> DataFrame:
+    """Add ``_opens``, ``_closes`` and the latest entry before (``_prior``) and up to (``_entry``) the bar."""
+    changed = F.col("position") != F.col("was")
+    opened = held.withColumns(
+        {"_opens": (F.col("position") != 0) & changed, "_closes": (F.col("was") != 0) & changed}
+    ).withColumn(
+        "_new", F.when(F.col("_opens"), F.struct(F.col("px").alias("px"), F.col("ts").alias("ts")))
+    )
     return (
-        with_episodes(flagged, keys, block_bars)
-        .withColumn("position", leg("long_ev") - leg("short_ev"))
-        .drop("long_ev", "short_ev")
+        carried(opened, "pos", {"_prior": ("last", "_new")}, keys, block_bars)
+        .withColumn("_entry", F.coalesce("_new", "_prior"))
+        .drop("_new")
     )
 
 
@@ -79,104 +82,36 @@ def mark_return(size: float, fees: float, side: Column, p_in: Column, price: Col
 
 def trades(
     held: DataFrame, size: float = DEFAULTS.size, fees: float = DEFAULTS.fees,
-    keys: Sequence[str] = KEYS,
+    keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
-    """One row per trade; a trade still open is marked at the last close."""
-    keys = list(keys)
-    order = episode_order(keys)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    opened = (F.col("position") != 0) & (
-        F.col("position") != F.coalesce(F.lag("position").over(order), F.lit(0))
-    )
-    islands = (
-        held.withColumns(
-            {
-                "_open": opened.cast("int"),
-                "_next_px": F.lead("px").over(order),
-                "_next_ts": F.lead("ts").over(order),
-            }
-        )
-        .withColumn("_trade", F.sum("_open").over(upto))
-        .filter(F.col("position") != 0)
-    )
-    closed = (
-        islands.groupBy(*keys, "episode", "_trade")
-        .agg(
-            F.first("position").alias("side"),
-            F.min("ts").alias("entry_ts"),
-            F.min_by("px", "pos").alias("entry_px"),
-            F.max_by(F.struct("_next_ts", "_next_px", "ts", "close"), "pos").alias("_end"),
-        )
-        .withColumn("is_open", F.col("_end._next_ts").isNull())
-        .withColumns(
-            {
-                "exit_ts": F.coalesce("_end._next_ts", "_end.ts"),
-                "exit_px": F.when(F.col("is_open"), F.col("_end.close")).otherwise(
-                    F.col("_end._next_px")
-                ),
-            }
+    """One row per trade; a trade still open is marked at the last close.
+
+    A trade is the bar that closes it together with the latest entry before, so trades of
+    any length need no group of their own.
+    """
+    bars = _entries(held, keys, block_bars)
+    still = (F.col("pos") == F.col("len") - 1) & (F.col("position") != 0)
+
+    def rows(side: str, entry: str, price: str, is_open: bool) -> Column:
+        p_in, p_out = F.col(f"{entry}.px"), F.col(price)
+        result = mark_return if is_open else trade_return
+        return F.struct(
+            F.col(side).alias("side"),
+            F.col(f"{entry}.ts").alias("entry_ts"),
+            p_in.alias("entry_px"),
+            F.col("ts").alias("exit_ts"),
+            p_out.alias("exit_px"),
+            F.lit(is_open).alias("is_open"),
+            result(size, fees, F.col(side), p_in, p_out).alias("ret"),
         )
-    )
-    return closed.withColumn(
-        "ret",
-        F.when(
-            F.col("is_open"),
-            mark_return(size, fees, F.col("side"), F.col("entry_px"), F.col("exit_px")),
-        ).otherwise(trade_return(size, fees, F.col("side"), F.col("entry_px"), F.col("exit_px"))),
-    ).select(*keys, "side", "entry_ts", "entry_px", "exit_ts", "exit_px", "is_open", "ret")
-
-
-def _episode_growth(held: DataFrame, size: float, fees: float, keys: list[str]) -> DataFrame:
-    """Per bar, growth relative to the start of its episode, with trade bookkeeping."""
-    order = episode_order(keys)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    prior = order.rowsBetween(Window.unboundedPreceding, -1)
-    was = F.coalesce(F.lag("position").over(order), F.lit(0))
-    step = (
-        held.withColumn("_was", was)
-        .withColumn("_opens", (F.col("position") != 0) & (F.col("position") != F.col("_was")))
-        .withColumn("_closes", (F.col("_was") != 0) & (F.col("position") != F.col("_was")))
-        .withColumn("_in_px", F.when(F.col("_opens"), F.col("px")))
-        .withColumns(
-            {
-                "_p_now": F.last("_in_px", ignorenulls=True).over(upto),
-                "_p_was": F.last("_in_px", ignorenulls=True).over(prior),
-            }
-        )
-        .withColumn(
-            "_factor",
-            F.when(
-                F.col("_closes"),
-                1 + trade_return(size, fees, F.col("_was"), F.col("_p_was"), F.col("px")),
-            ).otherwise(F.lit(1.0)),
-        )
-        .withColumn(
-            "_mark",
-            F.when(
-                F.col("position") != 0,
-                1 + mark_return(size, fees, F.col("position"), F.col("_p_now"), F.col("close")),
-            ).otherwise(F.lit(1.0)),
-        )
-        # Equity is floored at zero and stays there.
-        .withColumn(
-            "_broke",
-            F.max(((F.col("_factor") <= 0) | (F.col("_mark") <= 0)).cast("int")).over(upto),
-        )
-        .withColumn(
-            "_log", F.sum(F.when(F.col("_factor") > 0, F.ln("_factor")).otherwise(0.0)).over(upto)
+
+    ended = F.array_compact(
+        F.array(
+            F.when(F.col("_closes"), rows("was", "_prior", "px", False)),
+            F.when(still, rows("position", "_entry", "close", True)),
         )
     )
-    return step.withColumns(
-        {
-            "_realised": F.when(F.col("_broke") == 1, 0.0).otherwise(F.exp("_log")),
-            "_rel": F.when(F.col("_broke") == 1, 0.0).otherwise(F.exp("_log") * F.col("_mark")),
-        }
-    ).withColumns(
-        {
-            "_before": F.coalesce(F.lag("_rel").over(order), F.lit(1.0)),
-            "_high": F.greatest(F.max("_rel").over(upto), F.lit(1.0)),
-        }
-    )
+    return bars.filter(F.col("_closes") | still).select(*keys, F.inline(ended))
 
 
 def equity_curve(
@@ -184,55 +119,62 @@ def equity_curve(
     init_cash: float = DEFAULTS.init_cash, keys: Sequence[str] = KEYS,
     block_rows: int = BLOCK_BARS,
 ) -> DataFrame:
-    """Equity marked at each close, the equity one bar earlier and the running peak."""
+    """Equity marked at each close, the equity one bar earlier and the running peak.
+
+    Three facts cross a block edge, one row per block each: the latest entry, the growth
+    of the closed trades (as a sum of logarithms), and the highest and latest equity.
+    """
     keys = list(keys)
-    bars = _episode_growth(held, size, fees, keys)
-    episodes = settled(
-        bars.groupBy(*keys, "episode").agg(
-            F.max_by("_log", "pos").alias("_log_end"),
-            F.max("_broke").alias("_broke_end"),
-            F.max("_high").alias("_ep_high"),
-        )
+    bars = settled(_entries(held, keys, block_rows))
+    closes, opens = F.col("_closes"), F.col("_opens")
+    stepped = bars.withColumns(
+        {
+            "_factor": F.when(
+                closes, 1 + trade_return(size, fees, F.col("was"), F.col("_prior.px"), F.col("px"))
+            ).otherwise(F.lit(1.0)),
+            "_mark": F.when(
+                F.col("position") != 0,
+                1 + mark_return(size, fees, F.col("position"), F.col("_entry.px"), F.col("close")),
+            ).otherwise(F.lit(1.0)),
+        }
+    ).withColumns(
+        {
+            "_log": F.when(F.col("_factor") > 0, F.ln("_factor")).otherwise(0.0),
+            # Equity is floored at zero and stays there.
+            "_broke": ((F.col("_factor") <= 0) | (F.col("_mark") <= 0)).cast("int"),
+        }
     )
-    starts = carried(
-        episodes,
-        "episode",
-        {"_log_0": ("sum", "_log_end"), "_broke_0": ("sum", "_broke_end")},
-        keys,
-        block_rows,
-    ).withColumn(
-        "_start", F.when(F.col("_broke_0") > 0, 0.0).otherwise(init_cash * F.exp("_log_0"))
+    grown = carried(
+        stepped, "pos", {"_log_0": ("sum", "_log"), "_broke_0": ("max", "_broke")}, keys, block_rows
     )
-    starts = carried(
-        starts.withColumn("_abs_high", F.col("_start") * F.col("_ep_high")),
-        "episode",
-        {"_peak_0": ("max", "_abs_high")},
-        keys,
-        block_rows,
-    ).select(*keys, "episode", "_start", "_peak_0")
+    alive = F.greatest(F.coalesce("_broke_0", F.lit(0)), F.col("_broke")) == 0
+    grown = grown.withColumn(
+        "_realised", F.when(alive, init_cash * F.exp(F.col("_log_0") + F.col("_log"))).otherwise(0.0)
+    ).withColumn("equity", F.col("_realised") * F.when(alive, F.col("_mark")).otherwise(0.0))
+    full = carried(
+        grown, "pos", {"_last": ("last", "equity"), "_peak": ("max", "equity")}, keys, block_rows
+    )
+    before = F.coalesce("_last", F.lit(float(init_cash)))
     fee = F.lit(size * fees)
-    return bars.join(starts, [*keys, "episode"]).select(
+    return full.select(
         *keys,
         "ts",
         "pos",
         "close",
         "position",
-        (F.col("_start") * F.col("_rel")).alias("equity"),
-        (F.col("_start") * F.col("_before")).alias("prev_equity"),
-        F.greatest(F.lit(init_cash), "_peak_0", F.col("_start") * F.col("_high")).alias("peak"),
-        (F.col("_opens") & (F.col("_start") * F.col("_before") > 0)).alias("opened"),
-        (F.col("_closes") & (F.col("_start") * F.col("_before") > 0)).alias("closed"),
+        "equity",
+        before.alias("prev_equity"),
+        F.greatest(F.lit(float(init_cash)), "_peak", "equity").alias("peak"),
+        (opens & (before > 0)).alias("opened"),
+        (closes & (before > 0)).alias("closed"),
         (F.col("_factor") - 1).alias("closed_ret"),
         # Entry fee on the equity after any close on this bar; exit fee on the equity at entry.
         (
-            F.col("_start")
-            * (
-                F.when(F.col("_opens"), fee * F.col("_realised")).otherwise(0.0)
-                + F.when(
-                    F.col("_closes") & (F.col("_factor") > 0),
-                    fee * F.col("_realised") / F.col("_factor") * F.col("px") / F.col("_p_was"),
-                ).otherwise(0.0)
-            )
+            F.when(opens, fee * F.col("_realised")).otherwise(0.0)
+            + F.when(
+                closes & (F.col("_factor") > 0),
+                fee * F.col("_realised") / F.col("_factor") * F.col("px") / F.col("_prior.px"),
+            ).otherwise(0.0)
         ).alias("fees_paid"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bandwalk.defaults import DEFAULTS
 
@@ -69,31 +69,32 @@ def param_sample(
     windows: DataFrame, n: int = DEFAULTS.n_trials, seed: int = 42,
     axes: Sequence[Axis] = RESEARCH_SPACE, keys: Sequence[str] = ("split",),
 ) -> DataFrame:
-    """``n`` distinct combinations per window, drawn by hashing (seed, window, draw).
+    """The first ``n`` combinations of a permutation keyed by (seed, window).
 
-    The hash is the leading 48 bits of an MD5, so other engines can repeat the draw.
+    All combinations are numbered and each window has its own permutation of the numbers, so the
+    sample is exact, distinct, and the start of any larger sample of the same seed. The
+    permutation treats a number as a pair of digits and shifts each digit in turn by a
+    hash of the other (the leading 48 bits of an MD5, so other engines can repeat it).
     """
     total = size_of(axes)
-    n = min(n, total)
-    # With few combinations rank them all by hash; otherwise hash a few draws per trial.
-    every = total <= 8 * n
-    draws = total if every else 4 * n
+    high, low = size_of(axes[: len(axes) // 2]), size_of(axes[len(axes) // 2 :])
     drawn = windows.select(*keys).withColumn(
-        "_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+        "_k", F.explode(F.sequence(F.lit(0), F.lit(min(n, total) - 1)))
     )
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in (*keys, "_draw")])
-    hashed = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
-    if every:
-        drawn = drawn.select(*keys, F.col("_draw").alias("_ix"), hashed.alias("_rank"))
-    else:
-        drawn = (
-            drawn.select(*keys, F.pmod(hashed, F.lit(total)).alias("_ix"), "_draw")
-            .groupBy(*keys, "_ix")
-            .agg(F.min("_draw").alias("_rank"))
-        )
-    order = Window.partitionBy(*keys).orderBy("_rank", "_ix")  # at most `draws` rows
-    return (
-        drawn.withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= n)
-        .select(*keys, (F.col("_n") - 1).cast("int").alias("combo_id"), *_decode(F.col("_ix"), axes))
+    drawn = drawn.withColumns(
+        {"_h": F.floor(F.col("_k") / low).cast("bigint"), "_l": F.pmod("_k", F.lit(low)).cast("bigint")}
     )
+
+    def shift(column: str, by: str, size: int, turn: int) -> Column:
+        text = F.concat_ws(
+            ":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.lit(str(turn)),
+            F.col(by).cast("string"),
+        )
+        hashed = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+        return F.pmod(F.col(column) + hashed, F.lit(size))
+
+    for turn in range(4):
+        column, by, size = ("_l", "_h", low) if turn % 2 == 0 else ("_h", "_l", high)
+        drawn = drawn.withColumn(column, shift(column, by, size, turn))
+    index = F.col("_h") * low + F.col("_l")
+    return drawn.select(*keys, F.col("_k").cast("int").alias("combo_id"), *_decode(index, axes))

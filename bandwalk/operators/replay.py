@@ -14,7 +14,7 @@ replayed afterwards from the state their previous block ended in.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -38,8 +38,7 @@ from bandwalk.operators.series import (
 )
 from bandwalk.session import settled, wide
 
-MAX_PARTITIONS = 100_000
-MERGE_BLOCKS = 512  # block summaries folded at a time
+MERGE_BLOCKS = 4_096  # block summaries folded at a time
 PARAMS = ("ma_window", "atr_window", "atr_mult", "sl_stop")
 
 
@@ -53,7 +52,7 @@ class ReplayConfig:
     block_bars: int = REPLAY_BLOCK_BARS
     runup: int = REPLAY_RUNUP_BARS
     combos_per_task: int = COMBOS_PER_TASK
-    max_window: int = 500  # longest rolling window a run-up must cover
+    max_window: int = 0  # at least the longest window of the parameters
 
     @property
     def lead(self) -> int:
@@ -157,8 +156,6 @@ def _lagged_bank(bars: pd.DataFrame, work: pd.DataFrame, start: int, cfg: Replay
         rows = []
         for n in windows:
             n = int(n)
-            if n > cfg.max_window:
-                raise ValueError(f"window {n} exceeds max_window {cfg.max_window}")
             if recursive:
                 head = float(heads[n]) if start > 0 else None
                 rows.append(exponential(x[skip:], alpha(n), n, start, head, True))
@@ -336,9 +333,9 @@ def _trade_log(made, bars, own, first, side, at, p_in, start, cls, cfg: ReplayCo
     return per
 
 
-def partitions(spark: SparkSession, n_blocks: int, cfg: ReplayConfig) -> int:
-    """Enough tasks for every core, and for many blocks about eight of them per task."""
-    return min(max(wide(spark), n_blocks // 8), MAX_PARTITIONS)
+def partitions(spark: SparkSession, n_groups: int) -> int:
+    """Enough tasks for every core; with many (block, bucket) groups about eight per task."""
+    return max(wide(spark), n_groups // 8)
 
 
 def _replay(
@@ -388,6 +385,8 @@ def replay_blocks(
     four parameters, plus any of the key columns when combinations differ per key.
     """
     keys = list(keys)
+    longest = params.agg(F.max(F.greatest("ma_window", "atr_window"))).first()[0] or 1
+    cfg = replace(cfg, max_window=max(cfg.max_window, int(longest)))
     shared = [k for k in keys if k in params.columns]
     series = series.select(*keys, "pos", "len", "open", "high", "low", "close")
     blocks = overlapping_blocks(series, cfg.lead + 1, cfg.block_bars).drop("own")
@@ -432,7 +431,7 @@ def replay_blocks(
         }
     )
     work = settled(work)
-    n = partitions(work.sparkSession, spans.count(), cfg)
+    n = partitions(work.sparkSession, work.select(*keys, "blk", "bucket").distinct().count())
     done = settled(_replay(blocks, work, keys, cfg, log, n))
     pending = done.filter(~F.col("resolved"))
     if pending.isEmpty():
@@ -465,7 +464,7 @@ def _resolve(blocks, work, done, keys: list[str], cfg: ReplayConfig, log: bool)
             .withColumn("seeded", F.lit(True))
         )
         ready = settled(ready)
-        n = partitions(ready.sparkSession, ready.select(*keys, "blk").distinct().count(), cfg)
+        n = partitions(ready.sparkSession, ready.select(*keys, "blk", "bucket").distinct().count())
         parts.append(settled(_replay(blocks, ready, keys, cfg, log, n)))
         pending = settled(pending.join(parts[-1].select(*ids), ids, "left_anti"))
     return reduce(DataFrame.unionByName, parts)
@@ -502,8 +501,9 @@ def merge_blocks(
 ) -> DataFrame:
     """Block summaries to one metrics row per (key, combination).
 
-    Summaries are shuffled once by (key, combination). Those of a long series are folded
-    in runs of ``MERGE_BLOCKS`` blocks, then run by run, so no list grows with it.
+    Summaries are shuffled once by (key, combination) and folded in two levels: runs of
+    ``MERGE_BLOCKS`` blocks, then the runs. A run is 33 million bars, so the second list has
+    one entry for any series so far and a few thousand for the longest thinkable one.
     """
     keys = [*keys, "combo_id"]
     zero = F.struct(
@@ -518,14 +518,8 @@ def merge_blocks(
             .select(*by, "m.*")
         )
 
-    last = summaries.agg(F.max("blk")).first()[0] or 0
-    if last == 0:  # every series fits one block: its summary is the result
-        merged = summaries
-    elif last < MERGE_BLOCKS:
-        merged = fold(summaries, keys, "blk")
-    else:
-        runs = summaries.withColumn("_run", F.floor(F.col("blk") / MERGE_BLOCKS)).repartition(*keys)
-        merged = fold(fold(runs, [*keys, "_run"], "blk"), keys, "_run")
+    runs = summaries.withColumn("_run", F.floor(F.col("blk") / MERGE_BLOCKS)).repartition(*keys)
+    merged = fold(fold(runs, [*keys, "_run"], "blk"), keys, "_run")
     folded = merged.select(*keys, F.struct(*MERGED).alias("m"))
     std = F.sqrt(F.col("m.m2") / F.nullif(F.col("m.n") - 1, F.lit(0.0)))
     return folded.select(

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, t
 from bandwalk.defaults import BLOCK_BARS
 
 KEYS = ("symbol",)
+PRICES = ("open", "high", "low", "close")
 
 
 def with_position(
@@ -32,11 +33,23 @@ def with_position(
     (key, ts) is unique, so a time chunk of ``block_bars`` bar lengths cannot hold
     more than ``block_bars`` rows whatever the length of the series. ``bar_seconds`` may be
     an expression over the key columns when timeframes are mixed.
+
+    A bar without time, bar length or one of its four prices is an error: means, positions
+    and equity have no defined value after it. ``sources.candles.complete`` drops and
+    ``incomplete`` reports such bars.
     """
     keys = list(keys)
     span = F.lit(bar_seconds).cast("bigint") * block_bars
+    chunk = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span)
+    whole = span.isNotNull() & F.col("ts").isNotNull()
+    for price in PRICES:
+        if price in bars.columns:
+            whole = whole & F.col(price).isNotNull() & ~F.isnan(F.col(price).cast("double"))
     chunked = bars.withColumn(
-        "_chunk", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span)
+        "_chunk",
+        F.when(whole, chunk).otherwise(
+            F.raise_error(F.lit("a bar lacks its time, length or a price")).cast("bigint")
+        ),
     )
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
     offsets = (
@@ -109,21 +122,28 @@ def carried(
 ) -> DataFrame:
     """Running aggregate over the rows strictly before each row.
 
-    ``totals`` maps an output column to (``"sum"`` | ``"max"``, input column).
-    ``index`` is a dense integer order. Each block is aggregated once, the block
-    totals are accumulated per key, and rows add their in-block prefix.
+    ``totals`` maps an output column to (``"sum"`` | ``"max"`` | ``"last"``, input column);
+    ``last`` is the latest value that is not NULL. ``index`` is a dense integer order. Each
+    block is aggregated once, the block totals are accumulated per key, and rows add their
+    in-block prefix.
     """
     keys = list(keys)
-    fold = {"sum": F.sum, "max": F.max}
+
+    def latest(column: str) -> Column:
+        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(index)))
+
+    per_block = {"sum": F.sum, "max": F.max, "last": latest}
+    fold = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     join2 = {
         "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
         "max": lambda a, b: F.greatest(a, b),
+        "last": lambda a, b: F.coalesce(b, a),
     }
     blocked = df.withColumn("_blk", F.floor(F.col(index) / block_rows))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         blocked.groupBy(*keys, "_blk")
-        .agg(*[fold[how](col).alias(f"_t_{out}") for out, (how, col) in totals.items()])
+        .agg(*[per_block[how](col).alias(f"_t_{out}") for out, (how, col) in totals.items()])
         .select(
             *keys,
             "_blk",

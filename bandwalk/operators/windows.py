@@ -41,12 +41,12 @@ def rolling_split(
     """``n`` equal windows whose test parts tile without overlap: rows [lo, hi).
 
     With N bars, t = N(1-r) / (r + n(1-r)) test bars and t*r/(1-r) train bars, all in
-    integers.
+    integers. Series too short for one test bar have no row here; ``too_short`` names them.
     """
     rest = split_den - split_num
-    sized = bounds.withColumn(
-        "_t", F.floor(F.col("len") * rest / (split_num + n * rest)).cast("long")
-    ).withColumn("_train", F.floor(F.col("_t") * split_num / rest).cast("long"))
+    sized = bounds.withColumn("_t", _test_bars(n, split_num, split_den)).withColumn(
+        "_train", F.floor(F.col("_t") * split_num / rest).cast("long")
+    )
     splits = sized.filter(F.col("_t") > 0).withColumn(
         "split", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     )
@@ -60,6 +60,23 @@ def rolling_split(
     )
 
 
+def _test_bars(n: int, split_num: int, split_den: int) -> Column:
+    rest = split_den - split_num
+    return F.floor(F.col("len") * rest / (split_num + n * rest)).cast("long")
+
+
+def too_short(
+    bounds: DataFrame, n: int = DEFAULTS.n_windows, split_num: int = DEFAULTS.split_num,
+    split_den: int = DEFAULTS.split_den, keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Series that ``rolling_split`` gives no window: (key, len, reason)."""
+    rest = split_den - split_num
+    least = -(-(split_num + n * rest) // rest)
+    return bounds.filter(_test_bars(n, split_num, split_den) == 0).select(
+        *keys, "len", F.lit(f"fewer than {least} bars for {n} windows").alias("reason")
+    )
+
+
 def window_sizing(bounds: DataFrame, n: int = DEFAULTS.n_windows) -> DataFrame:
     """Add whole-day lengths for about ``n`` calendar windows over the history."""
     days = F.floor((_micros("end_ts") - _micros("start_ts")) / DAY_MICROS).cast("int")
@@ -75,26 +92,45 @@ def window_sizing(bounds: DataFrame, n: int = DEFAULTS.n_windows) -> DataFrame:
     )
 
 
+def _room() -> Column:
+    """Microseconds left beside one train and one test interval."""
+    length = _micros("end_ts") - _micros("start_ts")
+    return length - (F.col("train_days") + F.col("test_days")).cast("long") * DAY_MICROS
+
+
+def _roomy() -> Column:
+    return F.coalesce((F.col("step_days") > 0) & (_room() >= 0), F.lit(False))
+
+
+def without_windows(sized: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Series that ``calendar_windows`` gives no window: (key, len, reason)."""
+    reason = F.when(F.col("step_days") > 0, "no room for a window").otherwise("step below one day")
+    return sized.filter(~_roomy()).select(*keys, "len", reason.alias("reason"))
+
+
 def calendar_windows(
-    sized: DataFrame, half_open: bool = False, keys: Sequence[str] = KEYS
+    sized: DataFrame, half_open: bool = False, keys: Sequence[str] = KEYS,
+    step_days: int | None = None,
 ) -> DataFrame:
     """Train and test intervals of ``train_days``/``test_days``, moved by ``step_days``.
 
     Intervals are closed at both ends, so the boundary bar is in train and in test;
-    ``half_open`` drops it from train. A step below one day is an error.
+    ``half_open`` drops it from train. ``step_days`` overrides the step of every series and
+    must be positive. Histories without room for a window, or too short for a step of a
+    day, have no row here; ``without_windows`` names them.
     """
-    length = _micros("end_ts") - _micros("start_ts")
-    room = length - (F.col("train_days") + F.col("test_days")).cast("long") * DAY_MICROS
-    last = F.floor(room / (F.col("step_days").cast("long") * DAY_MICROS))
-    splits = (
-        sized.withColumn(
-            "_last",
-            F.when(F.col("step_days") <= 0, F.raise_error(F.lit("step_days must be positive")))
-            .when(room >= 0, last)
-            .cast("int"),
-        )
-        .filter(F.col("_last").isNotNull())
-        .withColumn("split", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    if step_days is not None:
+        if step_days <= 0:
+            raise ValueError("step_days must be positive")
+        sized = sized.withColumn("step_days", F.lit(step_days))
+    splits = sized.filter(_roomy()).withColumn(
+        "split",
+        F.explode(
+            F.sequence(
+                F.lit(0),
+                F.floor(_room() / (F.col("step_days").cast("long") * DAY_MICROS)).cast("int"),
+            )
+        ),
     )
 
     def at(days):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bandwalk.defaults import BLOCK_BARS, DEFAULTS, Defaults
@@ -13,15 +14,26 @@ from bandwalk.operators.backtest import equity_curve, metrics, positions
 from bandwalk.operators.params import RESEARCH_SPACE, Axis, param_sample
 from bandwalk.operators.replay import PARAMS, ReplayConfig, replay_metrics
 from bandwalk.operators.series import KEYS, with_position
+from bandwalk.operators.clusters import (
+    cluster_centre,
+    minmax_normalise,
+    neighbour_windows,
+    stable_points,
+    top_quantile_per_window,
+    valid_trials,
+)
 from bandwalk.operators.windows import (
     assign_segments,
     calendar_windows,
     locate_windows,
     rolling_split,
     series_bounds,
+    too_short,
     window_sizing,
 )
 from bandwalk.session import settled
+from bandwalk.sources.candles import PAIR, complete, is_complete
+from bandwalk.sources.results import read_results, write_results
 
 MEASURES = ("sharpe", "total_return", "max_drawdown", "n_trades", "win_rate", "fees_paid", "end_equity")
 
@@ -140,11 +152,84 @@ def scan(
 ) -> DataFrame:
     """Walk-forward grid over all pairs that have no stored result yet, as one job.
 
-    The bar length comes from each pair's ``tf`` unless it is given.
+    The bar length comes from each pair's ``tf`` unless it is given; an unknown timeframe is an
+    error. Candles with a missing price are left out. ``scan_skipped`` names the pairs that
+    give no row.
     """
     if bar_seconds is None:
         bar_seconds = tf_seconds(F.col("tf"))
-    todo = candles
+    todo = complete(candles)
     if results is not None:
-        todo = candles.join(results.select(*keys).distinct(), list(keys), "left_anti")
+        todo = todo.join(results.select(*keys).distinct(), list(keys), "left_anti")
     return walk_forward_grid(todo, params, bar_seconds, cfg=cfg, keys=keys)
+
+
+def scan_skipped(
+    candles: DataFrame, results: DataFrame | None, n: int = DEFAULTS.n_windows,
+    keys: Sequence[str] = ("exchange", "tf", "symbol"),
+) -> DataFrame:
+    """Pairs with candles that ``scan`` has no row for: (key, len, reason)."""
+    keys = list(keys)
+    lengths = candles.groupBy(*keys).agg(
+        F.count_if(is_complete()).alias("len")
+    )
+    if results is None:
+        return too_short(lengths, n, keys=keys)
+    stored = results.select(*keys).distinct()
+    done = lengths.join(stored, keys, "left_semi").withColumn("reason", F.lit("stored"))
+    return done.unionByName(too_short(lengths.join(stored, keys, "left_anti"), n, keys=keys))
+
+
+def scan_to(
+    path: str, scan_id: str, candles: DataFrame, params: DataFrame, group_pairs: int = 1_000,
+    bar_seconds: int | Column | None = None, cfg: ReplayConfig = ReplayConfig(),
+) -> int:
+    """Scan the pairs without a stored result in groups, storing each group when it is done.
+
+    A run that was broken off goes on with the pairs that are missing. Pairs too short
+    for a window count as done. Groups follow a hash of the pair, about ``group_pairs`` each;
+    the driver holds their number, not the pairs. Returns the number of groups run.
+    """
+    spark = candles.sparkSession
+    try:
+        stored = read_results(spark, path, scan_id).select(*PAIR).distinct()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        stored = candles.select(*PAIR).limit(0)
+    lengths = candles.filter(is_complete()).groupBy(*PAIR).agg(F.count("*").alias("len"))
+    pending = settled(
+        lengths.join(too_short(lengths, keys=PAIR), list(PAIR), "left_anti")
+        .join(stored, list(PAIR), "left_anti").select(*PAIR)
+    )
+    groups = -(-pending.count() // group_pairs)
+    for group in range(groups):
+        chosen = pending.filter(F.pmod(F.xxhash64(*PAIR), F.lit(groups)) == group)
+        part = candles.join(chosen, list(PAIR), "left_semi")
+        write_results(scan(part, None, params, bar_seconds, cfg), path, scan_id)
+    return groups
+
+
+def research_chain(
+    bars: DataFrame, bar_seconds: int | Column, radius: float, axes: Sequence[Axis] = RESEARCH_SPACE,
+    n_trials: int = DEFAULTS.n_trials, seed: int = 42, cfg: ReplayConfig = ReplayConfig(),
+    keys: Sequence[str] = KEYS, d: Defaults = DEFAULTS, n: int = DEFAULTS.n_windows,
+) -> DataFrame:
+    """Trial log, cross-window clusters, centre, and its backtest on the full history.
+
+    One row per key that has a stable cluster: the centre's parameters and the metrics.
+    """
+    keys = list(keys)
+    segmented = settled(research_windows(bars, bar_seconds, n, keys=keys))
+    log = settled(trial_log(segmented, bar_seconds, n_trials, seed, axes, cfg, keys, d))
+    valid = valid_trials(log, rejected=d.rejected_score)
+    top = settled(
+        top_quantile_per_window(minmax_normalise(valid, PARAMS, keys), window="split", keys=keys)
+    )
+    near = neighbour_windows(top, radius, PARAMS, "split", keys)
+    centre = settled(
+        cluster_centre(stable_points(near, log, window="split", keys=keys), PARAMS, keys)
+    )
+    chosen = centre.withColumn("combo_id", F.lit(0))
+    measured = final_backtest(bars, chosen.select(*keys, "combo_id", *PARAMS), bar_seconds, cfg=cfg, keys=keys)
+    return measured.join(chosen.select(*keys, *PARAMS), keys).select(*keys, *PARAMS, *MEASURES)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
 def get_session(app: str = "bandwalk", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and Arrow transfer switched on."""
     builder = SparkSession.builder.appName(app)
@@ -22,7 +27,27 @@ def get_session(app: str = "bandwalk", master: str | None = None, **conf: str) -
     settings.update(conf)
     for name, value in settings.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, so they need no installed copy of it.
+
+    Sessions that were not made by ``get_session`` can call it themselves. The driver
+    serves the archive for as long as the application runs.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{package.name}-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from bandwalk.defaults import DEFAULTS
 from bandwalk.functions.scalars import tf_seconds
+from bandwalk.operators.series import PRICES
 
 PAIR = ("exchange", "tf", "symbol")
 
@@ -31,6 +33,37 @@ def clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+def _lacking() -> Column:
+    """Names of the prices that are missing (NULL or NaN)."""
+    return F.filter(
+        F.array(
+            *[
+                F.when(F.col(p).isNull() | F.isnan(F.col(p).cast("double")), F.lit(p))
+                for p in PRICES
+            ]
+        ),
+        lambda p: p.isNotNull(),
+    )
+
+
+def is_complete() -> Column:
+    return F.size(_lacking()) == 0
+
+
+def complete(candles: DataFrame) -> DataFrame:
+    """Candles with all four prices.
+
+    A bar with a missing price takes no part in any series: means skip it, it trades
+    nothing and marks nothing, as if the exchange had not sent it.
+    """
+    return candles.filter(is_complete())
+
+
+def incomplete(candles: DataFrame) -> DataFrame:
+    """The candles that ``complete`` drops, with the names of the missing prices."""
+    return candles.withColumn("missing", F.array_join(_lacking(), ",")).filter("missing <> ''")
+
+
 def _alternatives(names: Sequence[str] | None) -> str:
     return "*" if names is None else "{" + ",".join(names) + "}"
 
@@ -41,24 +74,26 @@ def read_candle_files(
 ) -> DataFrame:
     """Candles from ``root/<exchange>/<tf>/<symbol>.csv``.
 
-    The filters become path patterns, so other files are never opened. No matching file
-    gives an empty frame.
+    The filters become path patterns, so other files are never opened. Columns are found by
+    their header names; a missing one, or files whose headers differ, are errors. No
+    matching file gives an empty frame.
     """
     pattern = f"{root}/{_alternatives(exchanges)}/{_alternatives(tfs)}/{_alternatives(symbols)}.csv"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
-    if found is None or len(found) == 0:
+    try:
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(pattern)
+    except AnalysisException as error:  # raised when the frame is made, before any job
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], T.StructType(
             [T.StructField(k, T.StringType()) for k in PAIR] + CANDLES.fields
             + [T.StructField("ts", T.TimestampNTZType())]
         ))
     parts = F.split(F.col("_metadata.file_path"), "/")
-    raw = spark.read.schema(CANDLES).option("header", True).csv(pattern)
     named = raw.select(
         F.element_at(parts, -3).alias("exchange"),
         F.element_at(parts, -2).alias("tf"),
         F.regexp_replace(F.element_at(parts, -1), r"\.csv$", "").alias("symbol"),
-        *CANDLES.fieldNames(),
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in CANDLES.fields],
     )
     return with_ts(clean(named))
 

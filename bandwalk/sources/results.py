@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bandwalk.sources.candles import PAIR
 
@@ -25,8 +25,14 @@ def read_results(
     spark: SparkSession, path: str, scan_id: str | None = None,
     symbols: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Results of one or all scans; both filters prune partitions."""
-    df = spark.read.option("basePath", path).parquet(path)
+    """Results of one or all scans; both filters prune partitions.
+
+    Identity columns are text: a symbol ``007`` stays what it is.
+    """
+    found = spark.read.parquet(path).schema
+    kept = [f for f in found.fields if f.name not in ("scan_id", *PAIR)]
+    names = [T.StructField(n, T.StringType()) for n in ("scan_id", *PAIR)]
+    df = spark.read.schema(T.StructType(kept + names)).parquet(path)
     if scan_id is not None:
         df = df.filter(F.col("scan_id") == scan_id)
     if symbols is not None:
@@ -34,9 +40,13 @@ def read_results(
     return df
 
 
-def parse_result_name(names: DataFrame, column: str = "name") -> DataFrame:
-    """Pair identity from ``kc_wfsl_<pair>_<tf>_<exchange>.pickle``; other names are dropped."""
-    bare = F.replace(F.replace(F.col(column), F.lit("kc_wfsl_"), F.lit("")), F.lit(".pickle"), F.lit(""))
+def parse_result_name(
+    names: DataFrame, column: str = "name", prefix: str = "", suffix: str = ".pickle"
+) -> DataFrame:
+    """Pair identity from ``<prefix><pair>_<tf>_<exchange><suffix>``; other names are dropped."""
+    bare = F.replace(F.col(column), F.lit(suffix), F.lit(""))
+    if prefix:
+        bare = F.replace(bare, F.lit(prefix), F.lit(""))
     parts = F.split(bare, "_")
     return (
         names.withColumn("_p", parts)

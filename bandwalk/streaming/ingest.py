@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -54,19 +55,17 @@ def upsert_batch(store: str, latest_wins: bool = False) -> Callable[[DataFrame,
         fresh = settled(batch.drop("ts"))
         if fresh.isEmpty():
             return
-        path = spark._jvm.org.apache.hadoop.fs.Path(store)
-        exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        if exists:
+        try:
+            kept = read_candles(spark, store, keep_period=True)
+        except AnalysisException as error:  # the first batch finds no store
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = fresh.limit(0)
+        else:
             # Month partitions the batch does not touch are neither read nor rewritten.
             month = [*PAIR, PERIOD]
             touched = with_period(fresh).select(*[F.col(k).alias(k) for k in month]).distinct()
-            stored = (
-                read_candles(spark, store, keep_period=True)
-                .join(touched, month, "left_semi")
-                .drop("ts", PERIOD)
-            )
-        else:
-            stored = fresh.limit(0)
+            stored = kept.join(touched, month, "left_semi").drop("ts", PERIOD)
         merged = upsert_candles(stored, fresh, latest_wins)
         # The store is read and overwritten, so the merge is written aside first.
         write_candles(settled(merged), store)

@@ -1,13 +1,17 @@
 """Walk-forward jobs against their parts."""
 
+from dataclasses import replace
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from bandwalk.defaults import DEFAULTS
 from bandwalk.operators.params import Axis, param_grid
 from bandwalk.operators.replay import ReplayConfig, replay_metrics
 from bandwalk.operators.series import with_position
-from bandwalk.plans.walkforward import best_trials, final_backtest, scan, walk_forward_grid
+from bandwalk.plans.walkforward import best_trials, final_backtest, research_chain, scan, scan_skipped, scan_to, walk_forward_grid
+from bandwalk.sources.results import read_results
 from tests.helpers import plain_backtest, random_bars, to_spark
 
 GRID = (Axis("ma_window", 4, 4, 2), Axis("atr_window", 3, 1, 1), Axis("atr_mult", 1, 1, 2, 2), Axis("sl_stop", 1, 1, 1, 100))
@@ -74,3 +78,37 @@ def test_ties_go_to_the_smallest_parameters(spark):
     log = spark.createDataFrame(rows, "split int, ma_window int, atr_window int, atr_mult double, sl_stop double, score double")
     got = best_trials(log).first()
     assert (got["ma_window"], got["atr_window"], got["train_score"]) == (10, 5, 3.0)
+
+
+def test_a_broken_off_scan_goes_on(spark, bars, tmp_path):
+    candles = to_spark(spark, bars).withColumns({"exchange": F.lit("x"), "tf": F.lit("1h")})
+    short = candles.filter("symbol = 'a'").limit(5).withColumn("symbol", F.lit("c"))
+    params, path = param_grid(spark, GRID), str(tmp_path / "results")
+    assert scan_to(path, "s", candles.filter("symbol = 'a'"), params, cfg=CFG) == 1
+    assert scan_to(path, "s", candles.unionByName(short), params, group_pairs=1, cfg=CFG) == 1
+    assert scan_to(path, "s", candles.unionByName(short), params, cfg=CFG) == 0
+    got = read_results(spark, path, "s")
+    want = scan(candles, None, params, cfg=CFG)
+    order = [*KEYS, "split", "set_name", "combo_id"]
+    pd.testing.assert_frame_equal(
+        got.select(*want.columns).orderBy(*order).toPandas(), want.orderBy(*order).toPandas(), rtol=1e-9
+    )
+    left = scan_skipped(candles.unionByName(short), got)
+    assert {r["symbol"]: r["reason"] for r in left.collect()} == {
+        "a": "stored", "b": "stored", "c": "fewer than 13 bars for 10 windows",
+    }
+
+
+def test_research_chain_ends_in_a_backtest_of_the_centre(spark):
+    days = pd.concat([random_bars(s, 420, i, gaps=False) for i, s in enumerate("ab")])
+    days["ts"] = pd.Timestamp("2024-01-01") + (days["ts"] - pd.Timestamp("2024-01-01")) * 24
+    small = (Axis("ma_window", 4, 2, 4), Axis("atr_window", 3, 1, 3), Axis("atr_mult", 1, 1, 4, 4), Axis("sl_stop", 1, 1, 2, 100))
+    got = research_chain(
+        to_spark(spark, days), 86_400, 0.6, small, 60, d=replace(DEFAULTS, min_trades=1, max_drawdown=0.9)
+    ).toPandas()
+    assert len(got) == 2
+    for _, g in got.iterrows():
+        part = days[days["symbol"] == g["symbol"]].reset_index(drop=True)
+        want, _ = plain_backtest(part, g["ma_window"], g["atr_window"], g["atr_mult"], g["sl_stop"], size=1.0)
+        assert g["n_trades"] == want["n_trades"]
+        assert g["total_return"] == pytest.approx(want["total_return"], abs=1e-9)

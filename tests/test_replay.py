@@ -136,10 +136,11 @@ def test_a_window_longer_than_the_series_gives_an_empty_result_row(spark):
     assert got["n_trades"].iloc[0] == 0 and pd.isna(got["sharpe"].iloc[0])
 
 
-def test_windows_beyond_the_configured_length_are_refused(spark):
-    series = with_position(to_spark(spark, random_bars("a", 8, 41)), 3600)
-    with pytest.raises(Exception, match="exceeds max_window"):
-        replay_metrics(series, params(spark, [(600, 20, 1.0, 0.01)]), 3600).collect()
+def test_the_longest_window_is_taken_from_the_parameters(spark):
+    cfg = ReplayConfig("sma", "simple", block_bars=24, runup=4)
+    rows = [(30, 9, 0.7, 0.01), (5, 40, 1.0, None)]
+    check(spark, random_bars("a", 150, 5), rows, cfg, ma_kind="sma", atr_kind="simple")
+    check(spark, random_bars("a", 8, 41), [(600, 20, 1.0, 0.01)], ReplayConfig())
 
 
 def test_merging_is_independent_of_block_size(spark, monkeypatch):

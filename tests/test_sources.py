@@ -1,8 +1,15 @@
 import datetime as dt
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pandas as pd
 import pytest
 
+from bandwalk.operators.params import param_grid
+from bandwalk.operators.series import with_position
+from bandwalk.plans.walkforward import scan
 from bandwalk.sources import candles as cd
 from bandwalk.sources import results as rs
 from bandwalk.streaming.ingest import candle_stream, deduplicated, stream_candles
@@ -110,8 +117,60 @@ def test_result_store_and_names(spark, tmp_path):
     rs.write_results(df, path, "one")
     rs.write_results(df.filter("symbol = 'BTC' and split < 2"), path, "one")
     assert rs.read_results(spark, path).groupBy("symbol").count().orderBy("symbol").toPandas()["count"].tolist() == [2, 3]
-    names = spark.createDataFrame([("kc_wfsl_BTC_1h_x.pickle",), ("kc_wfsl_BTC_1h.pickle",)], "name string")
-    assert [r["symbol"] for r in rs.parse_result_name(names).collect()] == ["BTC"]
+    names = spark.createDataFrame([("run_BTC_1h_x.pickle",), ("run_BTC_1h.pickle",)], "name string")
+    assert [r["symbol"] for r in rs.parse_result_name(names, prefix="run_").collect()] == ["BTC"]
+
+
+def test_result_identity_stays_text(spark, tmp_path):
+    df = spark.createDataFrame([("1", "1h", "007", 0, 0.5)], "exchange string, tf string, symbol string, split int, sharpe double")
+    rs.write_results(df, str(tmp_path), "1")
+    got = rs.read_results(spark, str(tmp_path), "1", ["007"]).first()
+    assert (got["scan_id"], got["exchange"], got["symbol"]) == ("1", "1", "007")
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    folder = tmp_path / "venue" / "1h"
+    folder.mkdir(parents=True)
+    (folder / "BTC.csv").write_text(f"date,volume,open,high,low,close\n{T0},9,1,2,0.5,1.5\n{T0 + HOUR},,1,x,0.5,1.5\n")
+    got = cd.read_candle_files(spark, str(tmp_path)).orderBy("date").collect()
+    assert [got[0][c] for c in ("open", "high", "low", "close", "volume")] == [1, 2, 0.5, 1.5, 9]
+    assert got[1]["volume"] is None and got[1]["high"] is None
+    (folder / "BTC.csv").write_text("date,open,high,low,close\n1,1,1,1,1\n")
+    with pytest.raises(Exception, match="volume"):
+        cd.read_candle_files(spark, str(tmp_path)).collect()
+
+
+def test_unknown_timeframes_are_errors(spark):
+    pairs = frame(spark, [candle(0, 1), ("x", "1M", *candle(0, 1)[2:])])
+    with pytest.raises(Exception, match="unknown timeframe 1M"):
+        cd.plan_backfill(pairs.select(*cd.PAIR), pairs, 0, T0 // 1000 + 9 * 3600).collect()
+    with pytest.raises(Exception, match="unknown timeframe 1M"):
+        scan(cd.with_ts(pairs), None, param_grid(spark)).collect()
+
+
+def test_missing_prices_are_reported_and_refused(spark):
+    rows = [candle(0, 1), candle(1, float("nan")), ("x", "1h", "BTC", T0 + 2 * HOUR, None, 2.0, 0.5, None, 1.0)]
+    candles = cd.with_ts(frame(spark, rows))
+    assert cd.complete(candles).count() == 1
+    assert sorted(r["missing"] for r in cd.incomplete(candles).collect()) == ["close", "open,close"]
+    with pytest.raises(Exception, match="lacks its time"):
+        with_position(candles, 3600, cd.PAIR).collect()
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from bandwalk.session import get_session
+from bandwalk.operators.indicators import ema
+spark = get_session("away", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+bars = spark.sql("select 's' as symbol, timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id as int)) as ts, "
+                 "id as pos, 40L as len, cast(id as double) as close from range(40)")
+assert ema(bars, 3, block_bars=8).count() == 40
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 def test_pending_pairs(spark):

@@ -10,8 +10,10 @@ from bandwalk.operators.windows import (
     locate_windows,
     rolling_split,
     series_bounds,
+    too_short,
     window_sizing,
     window_summary,
+    without_windows,
 )
 from tests.helpers import random_bars, to_spark
 
@@ -63,9 +65,44 @@ def test_too_short_history_has_no_windows(spark):
     assert calendar(spark, 25, 20, 10, 10).empty
 
 
-def test_zero_step_is_an_error(spark):
-    with pytest.raises(Exception, match="step_days"):
-        calendar(spark, 101, 20, 10, 0)
+def sized(spark, days, train, test, step, symbol="a"):
+    start = pd.Timestamp("2020-01-01")
+    return bounds(
+        spark, start_ts=start.to_pydatetime(), end_ts=(start + pd.Timedelta(days=days)).to_pydatetime(), len=days
+    ).withColumns(
+        {"symbol": F.lit(symbol), "train_days": F.lit(train), "test_days": F.lit(test), "step_days": F.lit(step)}
+    )
+
+
+def test_histories_without_windows_are_named(spark):
+    all_ = sized(spark, 101, 20, 10, 10).unionByName(sized(spark, 9, 0, 0, 0, "b")).unionByName(
+        sized(spark, 25, 20, 10, 5, "c")
+    )
+    assert {r["symbol"] for r in calendar_windows(all_).select("symbol").distinct().collect()} == {"a"}
+    assert {r["symbol"]: r["reason"] for r in without_windows(all_).collect()} == {
+        "b": "step below one day", "c": "no room for a window",
+    }
+    with pytest.raises(ValueError, match="step_days"):
+        calendar_windows(all_, step_days=0)
+    fixed = calendar_windows(all_, step_days=70)
+    assert {(r["symbol"], r["split"]) for r in fixed.collect()} == {("a", 0), ("a", 1), ("b", 0)}
+
+
+def test_short_series_are_named(spark):
+    lens = spark.createDataFrame([("a", 12), ("b", 13), ("c", 500)], "symbol string, len long")
+    assert {r["symbol"] for r in rolling_split(lens).select("symbol").distinct().collect()} == {"b", "c"}
+    short = too_short(lens).collect()
+    assert [(r["symbol"], r["len"], r["reason"]) for r in short] == [("a", 12, "fewer than 13 bars for 10 windows")]
+
+
+def test_a_larger_sample_starts_with_the_smaller_one(spark):
+    windows = spark.createDataFrame([(i,) for i in range(3)], "split int")
+    for axes in (RESEARCH_SPACE, RESEARCH_SPACE[:1], RESEARCH_SPACE[:3]):
+        total = size_of(axes)
+        small = {tuple(r) for r in param_sample(windows, 7, axes=axes).collect()}
+        large = [tuple(r) for r in param_sample(windows, min(900, total), axes=axes).collect()]
+        assert small == {r for r in large if r[1] < 7}
+        assert len(set(r[:1] + r[2:] for r in large)) == len(large) == 3 * min(900, total)
 
 
 def test_sizing_matches_integer_arithmetic(spark):
