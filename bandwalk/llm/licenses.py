@@ -55,7 +55,7 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("gpl-see", "See the GNU General Public License for more details."),
     ("agpl-see", "See the GNU Affero General Public License for more details."),
     ("lgpl-see", "See the GNU Lesser General Public License for more details."),
-    ("mpl2-form", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl2-form", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
     ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("mpl2-notice", "Licensed under the Mozilla Public License 2.0."),
     ("cc-by-4", "Licensed under CC BY 4.0."),
@@ -177,13 +177,15 @@ def _lower(text: str) -> str:
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CUT = "\x01"
+# Ends of sentences; license terms also run on after the colons of their lists.
+ENDS = "([.!?]|conditions:|restrictions:|are met:)"
 
 
 def license_scan(docs: DataFrame, book: Rulebook = Rulebook(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sentences, licenses, unmatched) per row of ``docs``.
 
     A text is split into sentences twice: at line ends and after ``.``, ``!`` or ``?``
-    before a blank; and again with single line ends read as blanks, which joins wrapped
+    (or a colon that opens a license's list) before a blank; and again with single line ends read as blanks, which joins wrapped
     sentences (empty lines still separate). Sentences are compared in lower case, with
     everything but ASCII letters and digits as one blank. ``sentences`` are the identifiers
     of known sentences in order, for the two readings; ``licenses`` the distinct names of
@@ -204,7 +206,7 @@ def license_scan(docs: DataFrame, book: Rulebook = Rulebook(), id_col: str = "do
                       for lic, ids in book.rules])
 
     def reading(t: Column) -> Column:
-        parts = F.split(F.regexp_replace(t, r"([.!?])[ \t-\r]+", "$1" + CUT), CUT)
+        parts = F.split(F.regexp_replace(t, ENDS + r"[ \t-\r]+", "$1" + CUT), CUT)
         plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
         return F.transform(F.filter(plain, lambda s: s.isin(list(known))), lambda s: names[s])
 
@@ -216,8 +218,6 @@ def license_scan(docs: DataFrame, book: Rulebook = Rulebook(), id_col: str = "do
             F.when(F.contains(acc["rest"], r["pattern"]), F.concat(acc["found"], F.array(r["license"])))
             .otherwise(acc["found"]).alias("found")))
 
-    lines = F.replace(text, F.lit("\n"), F.lit(CUT))
-    flowing = F.replace(F.regexp_replace(text, r"\n[ \t-\r]*\n", CUT), F.lit("\n"), F.lit(" "))
     empty = F.array().cast("array<string>")
     found = docs.select(F.col(id_col).alias("doc_id"), text.rlike(stem).alias("maybe"), text.alias("t")).select(
         "doc_id",
@@ -251,7 +251,7 @@ def scan_sql(book: Rulebook = Rulebook()) -> str:
     def view(name: str, source: str) -> str:
         return f"""
         {name}_parts as (select n, unnest(p) as s, generate_subscripts(p, 1) as pos from (
-            select n, string_split(regexp_replace({source}, '([.!?])[ \\t-\\r]+', '\\1' || chr(1), 'g'), chr(1)) as p from t)),
+            select n, string_split(regexp_replace({source}, '{ENDS}[ \\t-\\r]+', '\\1' || chr(1), 'g'), chr(1)) as p from t)),
         {name}_known as (select n, pos, k.id from {name}_parts
             join known k on k.s = trim(regexp_replace({name}_parts.s, '[^a-z0-9]+', ' ', 'g'))),
         {name}_seq as (select n, string_agg('<' || id || '>', '' order by pos) as ids, count(*) as c from {name}_known group by n),
