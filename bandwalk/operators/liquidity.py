@@ -117,30 +117,78 @@ def liquidity_score(
     )
 
 
-def liquidity_report(markets: DataFrame, book: DataFrame) -> DataFrame:
-    """Eight figures per market that has a two-sided book."""
-    depths = depth(book, (1.0, 5.0)).groupBy("market_id").agg(
-        F.max(F.when(F.col("pct") == 1.0, F.col("total_usd"))).alias("depth_1pct"),
-        F.max(F.when(F.col("pct") == 5.0, F.col("total_usd"))).alias("depth_5pct"),
+def _walked(levels: Column, usd: float, mid: Column) -> Column:
+    """Cost in percent of mid of filling ``usd`` along the levels of one side."""
+    start = F.struct(*[F.lit(0.0).alias(n) for n in ("prior", "spent", "base")])
+
+    def step(acc: Column, level: Column) -> Column:
+        worth = level["price"] * level["size"]
+        fill = F.least(F.greatest(F.lit(float(usd)) - acc["prior"], F.lit(0.0)), worth)
+        return F.struct(
+            (acc["prior"] + worth).alias("prior"),
+            (acc["spent"] + fill).alias("spent"),
+            (acc["base"] + fill / level["price"]).alias("base"),
+        )
+
+    def cost(acc: Column) -> Column:
+        return F.when(acc["base"] == 0, F.lit(100.0)).otherwise(
+            F.abs(acc["spent"] / F.nullif(acc["base"], F.lit(0.0)) - mid) / mid * 100
+        )
+
+    return F.aggregate(levels, start, step, cost)
+
+
+def _near(asks: Column, bids: Column, mid: Column, pct: float) -> Column:
+    """USD resting within ``pct`` percent of mid on both sides."""
+
+    def total(levels: Column, inside) -> Column:
+        return F.aggregate(
+            F.filter(levels, inside), F.lit(0.0), lambda acc, o: acc + o["price"] * o["size"]
+        )
+
+    return total(asks, lambda o: o["price"] <= mid * (1 + pct / 100)) + total(
+        bids, lambda o: o["price"] >= mid * (1 - pct / 100)
     )
-    slips = slippage(book, (10_000,)).select("market_id", F.col("slip_avg").alias("slip_10k"))
-    joined = (
-        markets.join(top_of_book(book), "market_id")
-        .join(depths, "market_id")
-        .join(slips, "market_id")
-        .withColumns(
-            {
-                "volume_24h": num_or_zero(F.col("volume_24h")),
-                "oi": num_or_zero(F.col("open_interest")),
-            }
+
+
+def liquidity_report(markets: DataFrame, book: DataFrame) -> DataFrame:
+    """Eight figures per market that has a two-sided book.
+
+    The book is read and shuffled once: a market's levels (a few hundred, what an exchange
+    returns) become one row, and the figures are expressions over it.
+    """
+    level = F.struct("lvl", "price", "size")
+
+    def side(name: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == name, level)))
+
+    mid = F.col("mid")
+    figures = (
+        book.groupBy("market_id")
+        .agg(side("ask").alias("asks"), side("bid").alias("bids"))
+        .withColumns({"best_ask": F.get("asks", F.lit(0))["price"], "best_bid": F.get("bids", F.lit(0))["price"]})
+        .filter(F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull())
+        .withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
+        .select(
+            "market_id",
+            ((F.col("best_ask") - F.col("best_bid")) / mid * 100).alias("spread"),
+            _near(F.col("asks"), F.col("bids"), mid, 1.0).alias("depth_1pct"),
+            _near(F.col("asks"), F.col("bids"), mid, 5.0).alias("depth_5pct"),
+            ((_walked(F.col("asks"), 10_000, mid) + _walked(F.col("bids"), 10_000, mid)) / 2).alias("slip_10k"),
         )
     )
+    joined = markets.join(figures, "market_id").withColumns(
+        {
+            "volume_24h": num_or_zero(F.col("volume_24h")),
+            "oi": num_or_zero(F.col("open_interest")),
+        }
+    )
     score = liquidity_score(
-        F.col("spread_pct"), F.col("depth_1pct"), F.col("depth_5pct"), F.col("slip_10k"),
+        F.col("spread"), F.col("depth_1pct"), F.col("depth_5pct"), F.col("slip_10k"),
         F.col("volume_24h"), F.col("oi"),
     )
     return joined.select(
-        "market_id", "symbol", score.alias("score"), F.col("spread_pct").alias("spread"),
+        "market_id", "symbol", score.alias("score"), "spread",
         "depth_1pct", "depth_5pct", "slip_10k", "volume_24h", "oi",
     )
 

@@ -23,8 +23,12 @@ REPLY = "struct<code:int,c:array<struct<t:bigint,o:double,h:double,l:double,c:do
 
 
 def with_ts(df: DataFrame) -> DataFrame:
-    """Add ``ts`` from ``date`` in epoch milliseconds."""
-    return df.withColumn("ts", F.timestamp_millis("date").cast("timestamp_ntz"))
+    """Add ``ts`` (UTC) from ``date`` in epoch milliseconds, whatever the session's time zone."""
+    return df.withColumn("ts", _utc("date"))
+
+
+def _utc(column: str) -> Column:
+    return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {column} / 1000)")
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ PERIOD = "period"  # calendar month, so an update rewrites months and not histor
 
 
 def with_period(candles: DataFrame) -> DataFrame:
-    stamp = F.timestamp_millis("date")
+    stamp = _utc("date")
     return candles.withColumn(PERIOD, F.year(stamp) * 100 + F.month(stamp))
 
 
