@@ -6,13 +6,17 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from bandwalk.catalog.bars import DIGITS, daily
+from bandwalk.catalog.bars import DIGITS, YEAR_1D, daily, metrics_sql
 from bandwalk.catalog.base import (
     BARS_1D,
     BARS_1H,
+    FLAGS,
+    HELD,
     REGISTRY,
     TRIALS,
     ctes,
+    curve,
+    envelope,
     indexed,
     query,
     recursive_mean,
@@ -26,9 +30,11 @@ from bandwalk.fixtures import BAR_SECONDS_1D, BAR_SECONDS_1H, bars_1d, bars_1h,
 from bandwalk.catalog.ingest import new_folder
 from bandwalk.operators.analysis import rank_pairs
 from bandwalk.operators.clusters import PARAMS4
+from bandwalk.operators.indicators import atr_envelope
 from bandwalk.operators.params import GRID, RESEARCH_SPACE, Axis, param_grid, param_sample, size_of
 from bandwalk.operators.replay import PARAMS, ReplayConfig
 from bandwalk.operators.series import with_position
+from bandwalk.operators.signals import fill_price, signals
 from bandwalk.operators.windows import (
     assign_segments,
     calendar_windows,
@@ -44,6 +50,7 @@ from bandwalk.plans.walkforward import (
     scan,
     scan_skipped,
     scan_to,
+    strategy_grid,
     trial_log,
     walk_forward_grid,
     window_winners,
@@ -441,3 +448,33 @@ def _(spark, sf):
     scan_to(path, "s1", candles, param_grid(spark, SMALL_GRID), group_pairs=2)
     results = rounded(read_results(spark, path, "s1"), **DIGITS)
     return rank_pairs(results, combo=PARAMS).drop("rank", "delta")
+
+
+USER_SETS = ({"ma_window": 6, "atr_window": 4, "atr_mult": 0.4}, {"ma_window": 9, "atr_window": 3, "atr_mult": 0.25})
+# One series per part: its name holds symbol, split and set.
+PART_BARS = (
+    ctes(*indexed(BARS_1D), *SPLIT_SQL)
+    + """select i.symbol || '|' || split || '|' || set_name as symbol, ts, open, high, low, close, volume
+         from ix i join seg s on s.symbol = i.symbol and pos >= lo and pos < hi"""
+)
+
+
+def user_grid_sql() -> str:
+    parts = []
+    for i, p in enumerate(USER_SETS):
+        chain = envelope(PART_BARS, p["ma_window"], p["atr_window"], p["atr_mult"])
+        body = ctes(*chain, *FLAGS, *HELD, *curve(0.3)) + metrics_sql(YEAR_1D)
+        parts.append(f"select cast({i} as int) as combo_id, * from ({body})")
+    return " union all ".join(parts)
+
+
+def touching(series: DataFrame, keys, ma_window: int, atr_window: int, atr_mult: float) -> DataFrame:
+    return fill_price(signals(atr_envelope(series, ma_window, atr_window, atr_mult, keys=keys)))
+
+
+@query("user_strategy_grid", user_grid_sql())
+def _(spark, sf):
+    """A user strategy over two parameter sets and all train and test parts, in one plan."""
+    out = strategy_grid(bars_1d(spark, sf), touching, USER_SETS, BAR_SECONDS_1D)
+    named = out.withColumn("symbol", F.concat_ws("|", "symbol", F.col("split").cast("string"), "set_name"))
+    return rounded(named.drop("split", "set_name"), **DIGITS)

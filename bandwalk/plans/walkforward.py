@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
@@ -146,6 +147,38 @@ def evaluate_strategy(
     )
 
 
+def strategy_grid(
+    bars: DataFrame, strategy: Callable[..., DataFrame], param_sets: Sequence[dict], bar_seconds: int | Column,
+    n: int | None = DEFAULTS.n_windows, size: float = DEFAULTS.size, fees: float = DEFAULTS.fees,
+    keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS,
+) -> DataFrame:
+    """Metrics of a user strategy for every parameter set and every train and test part.
+
+    ``strategy(series, keys=..., **params)`` returns the series with the four flags and
+    ``px``; it has to hand ``keys`` on to the operators it uses, as indicators restart in
+    every part. With ``n=None`` the full history is one part. All sets are branches of one
+    plan over the same stored bars; ``combo_id`` is the place of the set in the list.
+    """
+    series = settled(with_position(bars, bar_seconds, keys, block_bars))
+    keys = list(keys)
+    if n is not None:
+        segments = rolling_split(series_bounds(series, keys), n, keys=keys)
+        series = settled(assign_segments(series, segments, keys, block_bars))
+        keys += ["split", "set_name"]
+    flagged = reduce(
+        DataFrame.unionByName,
+        [
+            strategy(series, keys=keys, **params).withColumn("combo_id", F.lit(i))
+            for i, params in enumerate(param_sets)
+        ],
+    )
+    keys.append("combo_id")
+    held = positions(flagged, keys, block_bars)
+    return metrics(
+        equity_curve(held, size, fees, keys=keys, block_rows=block_bars), bar_seconds, keys=keys
+    )
+
+
 def scan(
     candles: DataFrame, results: DataFrame | None, params: DataFrame,
     bar_seconds: int | Column | None = None, cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = ("exchange", "tf", "symbol"),
