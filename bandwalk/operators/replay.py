@@ -292,7 +292,9 @@ def replay_block(
                     eq[dead] = base[dead] = a[dead] = b[dead] = 0.0
                 marks[k] = eq
         if not counted:
-            exact |= (close_l & close_s).any(axis=0)
+            # a rolling mean that the run-up has not filled yet says nothing about the bar
+            known = ~np.isnan(mids[lo:hi][:, b_mi] + atrs[lo:hi][:, b_ai])[:, band]
+            exact |= (close_l & close_s & known).any(axis=0)
             continue
         before = np.vstack([before[-1:] if lo > first else np.ones((1, n)), marks])
         r = np.divide(marks, before[:-1], out=np.ones_like(marks), where=before[:-1] > 0) - 1
