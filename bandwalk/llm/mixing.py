@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bandwalk.session import settled
+
 BLANKS = "\t\n\x0b\x0c\r"
 COARSE = 4096
+MOST_SENT = 100_000
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -90,10 +94,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int
         .select(F.col("s").alias("edge_source"), F.col("range").alias("edge"), F.col("before").alias("edge_before"))
     )
     # where no range is cut (nothing is missing beyond the last one), all ranges are taken
-    level = level.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").select(
+    level = settled(level.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").select(
         F.col("source").alias("level_source"), "source_size", "target", "whole", "missing",
-        F.coalesce("edge", F.lit(COARSE)).alias("edge"), F.coalesce("edge_before", F.lit(0)).alias("edge_before"))
-    joined = base.join(level, F.col("source").eqNullSafe(F.col("level_source")))
+        F.coalesce("edge", F.lit(COARSE)).alias("edge"), F.coalesce("edge_before", F.lit(0)).alias("edge_before")))
+    joined = _with_levels(base, level)
     cut = joined.filter(F.col("range") == F.col("edge"))
     upto = F.coalesce(F.sum("size").over(
         Window.partitionBy("source").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -105,6 +109,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int
         (F.col("size") * (F.col("whole") + F.col("more"))).cast("bigint").alias("taken"))
 
 
+def _with_levels(base: DataFrame, level: DataFrame) -> DataFrame:
+    """Each row with the level of its source; the rows of a large source stay spread.
+
+    The levels are counted first. Up to ``MOST_SENT`` sources (about 8 MB) they are sent to
+    all tasks and no document moves; more of them are joined on source and a salt.
+    """
+    same = F.col("source").eqNullSafe(F.col("level_source"))
+    if level.count() <= MOST_SENT:
+        return base.join(F.broadcast(level), same)
+    salted = level.withColumn("level_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return base.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int")).join(
+        salted, same & (F.col("salt") == F.col("level_salt"))).drop("salt", "level_salt")
+
+
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of a mix, each as often as it is taken."""
     return mixed.filter("copies > 0").select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from bandwalk.llm import mixing
 from bandwalk.llm.mixing import mix, repeated
 
 
@@ -49,7 +50,9 @@ def check(spark, rows, extra=""):
     assert kept.columns == docs.columns and kept.count() == sum(r.copies for r in out)
 
 
-def test_hot_and_small_sources(spark):
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_hot_and_small_sources(spark, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "MOST_SENT", sent)
     rows = [(i, "w " * (i % 50 + 1), "hot" if i % 3 == 0 else f"s{i % 11}", "t", 1) for i in range(900)]
     rows += [(1000 + i, "tiny text", "zz", "t", 1) for i in range(3)] + [(2000 + i, "null source", None, "t", 1) for i in range(20)]
     check(spark, rows)
