@@ -260,26 +260,22 @@ def near_classes(docs: DataFrame, cfg: Near = Near(), id_col: str = "doc_id", te
     )
     pairs = settled(plausible_pairs(nodes, cfg))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one row with the text of each wanted node: by its id where that names the node, whatever else repeats
-    holders = sketches.select("doc_id", "node").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # a row with the text of each wanted node is found by the smallest id of the node
+    holders = nodes.select("node", "doc_id").join(wanted, "node", "left_semi")
     texts = settled(_texts(docs, holders, cfg, id_col, text_col))
     links = settled(verified(pairs, texts, cfg))
     classes = components(links, "a", "b")
-    named = (
-        sketches.select("doc_id", "node")
-        .join(classes, "node", "left")
-        .withColumn("class_node", F.coalesce("component", "node"))
-    )
-    smallest = (
-        nodes.select("node", "doc_id").join(classes, "node")
-        .groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    )
-    own = nodes.select("node", F.col("doc_id").alias("own_smallest"))
+    # everything about classes is settled per distinct text, so that copies, which may be many,
+    # meet it in a single join that adaptive execution can split
+    placed = nodes.select("node", F.col("doc_id").alias("least")).join(classes, "node", "left").withColumn(
+        "class_node", F.coalesce("component", "node"))
+    smallest = placed.groupBy("class_node").agg(F.min("least").alias("class_id"))
+    named = settled(placed.select("node", "class_node").join(smallest, "class_node"))
     return (
-        named.join(own, "node", "left")
-        .join(smallest, "component", "left")
+        sketches.select("doc_id", "node")
+        .join(named, "node", "left")
         .select("doc_id", "node", "class_node",
-                F.coalesce("smallest", "own_smallest", "doc_id").alias("class_id"))
+                F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
     )
 
 
