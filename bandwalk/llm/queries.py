@@ -37,7 +37,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), BYTE_VOCABULARY, limit=1024)
 
 
-@query("op2_near_duplicates")
+NEAR_SQL = """
+  with recursive d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') as ws from documents),
+    s as (select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))
+                                     when len(ws) > 0 then [array_to_string(ws, ' ')] end) as g from d),
+    c as (select doc_id, g, count(*) as n from s group by all),
+    t as (select doc_id, sum(n) as total from c group by doc_id),
+    p as (select a.doc_id as x, b.doc_id as y, sum(least(a.n, b.n)) as m from c a join c b on a.g = b.g and a.doc_id < b.doc_id group by all),
+    e as (select x, y from p join t ta on ta.doc_id = x join t tb on tb.doc_id = y where 1000 * m >= 800 * (ta.total + tb.total - m)),
+    both_ways as (select x, y from e union all select y, x from e),
+    reach as (select doc_id, doc_id as root from documents union select y, root from reach join both_ways on x = doc_id)
+  select doc_id, min(root) as class_id from reach group by doc_id"""
+
+
+@query("op2_near_duplicates", NEAR_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: five words, similarity 0.8."""
     return dart_minhash.near_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
