@@ -63,10 +63,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, length: int = 4096, id_c
     columns are ignored.
     """
     rows = tokenised(docs, vocabulary, end_id, id_col, text_col)
-    # one row per partition of the input, whatever the number of documents
+    # one row per partition of the input, whatever the number of documents: the number of
+    # tasks bounds the broadcast (16 bytes each, 16 MB for a million tasks)
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = rows.groupBy("part").agg(F.sum("n").alias("total")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    placed = rows.join(offsets, "part").withColumn("g", F.col("base") + F.col("at"))
+    placed = rows.join(F.broadcast(offsets), "part").withColumn("g", F.col("base") + F.col("at"))
     cut = f"""transform(sequence(g div {length}, (g + n - 1) div {length}), s -> named_struct(
         'start', greatest(0L, s * {length} - g),
         'length', least(n, (s + 1) * {length} - g) - greatest(0L, s * {length} - g),
