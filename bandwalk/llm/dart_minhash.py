@@ -42,6 +42,9 @@ class Near:
     forests: int = 3
     # rows of a bucket compared at a time; larger buckets are dealt anew in every band
     block: int = 2048
+    # rows and text bytes of a block in the exact comparison between classes; rows grow with large groups
+    exact_rows: int = 256
+    exact_bytes: int = 8 << 20
 
 
 def signatures(text: np.ndarray, value: np.ndarray, n_texts: int, k: int) -> np.ndarray:
@@ -203,6 +206,150 @@ def plausible_pairs(nodes: DataFrame, cfg: Near) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def open_pairs(nodes: DataFrame, classes: DataFrame, cfg: Near) -> DataFrame:
+    """Distinct (a, b), plausible pairs of a bucket whose ends are in different classes: a spanning
+    forest of all such pairs, per bucket. ``classes``: (node, component).
+
+    Up to forests + 1 rows a bucket's forests hold all its plausible pairs, so only larger ones are read.
+    """
+    spark = nodes.sparkSession
+    placed = nodes.join(classes, "node", "left").select(
+        "node", "bands", "sketch", F.coalesce("component", "node").alias("class"))
+    keys = placed.select("node", "class", F.explode("bands").alias("key"))
+    size = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter(
+        (F.col("size") > cfg.forests + 1) & (F.col("low") != F.col("high"))).select("key", "size")
+    rows = (
+        keys.join(size, "key")
+        .withColumn("blocks", F.expr(f"cast(ceil(size / {cfg.block}) as bigint)"))
+        .withColumn("own", F.expr("pmod(xxhash64(node, key), blocks)"))
+        .join(placed.select("node", "sketch"), "node")
+    )
+    dealt = _block_pairs(rows, "key", "node", "class", "sketch").repartition(wide(spark), "key", "i", "j").sortWithinPartitions(
+        "key", "i", "j", "own", "node")
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        node, own = rows.column("node").to_pylist(), rows.column("own").to_numpy()
+        label, grid = _labels(rows.column("class")), _grid(rows.column("sketch"))
+        first, out = own == own[0], []
+        across = not first.all()
+        todo = np.ones(len(node), bool)
+        for root in range(len(node)):
+            queue = [root] if todo[root] else []
+            todo[root] = False
+            while queue:
+                x = queue.pop()
+                near = todo & (label != label[x]) & ((first != first[x]) if across else True)
+                near[near] = (grid[near] == grid[x]).mean(axis=1) >= cfg.plausible
+                todo &= ~near
+                queue += (more := np.flatnonzero(near).tolist())
+                out += [(min(node[x], node[y]), max(node[x], node[y])) for y in more]
+        return _pairs_batch(out)
+
+    return dealt.mapInArrow(_grouped(found, "key", "i", "j"), "a binary, b binary").distinct()
+
+
+def _block_pairs(rows: DataFrame, group: str, *carried: str) -> DataFrame:
+    """(group, i, j, own, ...): every row of a group with ``blocks`` blocks, by its own block, in that block."""
+    return rows.select(group, F.col("own").alias("i"), F.col("own").alias("j"), "own", *carried)
+
+
+def _grouped(found, *by: str):
+    """For mapInArrow: calls ``found`` with the rows of each run of equal ``by``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            cuts = [0, *(n for n in range(1, len(names)) if names[n] != names[n - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and names[a] != last:
+                    yield found(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = names[a]
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return run
+
+
+def _labels(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def _grid(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def links_between(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, cfg: Near) -> DataFrame:
+    """(a, b): classes that hold texts at or above the threshold, enough of them to join all such classes.
+
+    ``pairs`` from ``open_pairs`` tie its nodes into groups. Within a group, all plausible pairs
+    between classes are compared exactly, block against block, each pair of blocks in a
+    task of its own. Only links that pass leave a task, fewer than it has rows.
+    """
+    spark = nodes.sparkSession
+    grouped = components(pairs, "a", "b").withColumnRenamed("component", "grp")
+    full = settled(
+        grouped.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+        .join(nodes.select("node", "sketch"), "node").join(texts, "node")
+    )
+    size = full.groupBy("grp").agg(F.count("*").alias("size"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = (f"cast(greatest(least(ceil(size / {cfg.exact_rows}), 32), ceil(size / {16 * cfg.exact_rows}), "
+              f"ceil(bytes / {cfg.exact_bytes})) as bigint)")
+    rows = full.join(size, "grp").withColumn("blocks", F.expr(blocks)).withColumn("own", F.expr("pmod(xxhash64(node, grp), blocks)"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    dealt = (
+        rows.withColumn("other", every)
+        .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "sketch", "text")
+        .repartition(wide(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "own", "node")
+    )
+    level = round(cfg.similarity * 1000)
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        own, grid = rows.column("own").to_numpy(), _grid(rows.column("sketch"))
+        name, label = rows.column("class").to_pylist(), _labels(rows.column("class")).copy()
+        first, n, out = own == own[0], rows.num_rows, []
+        across = not first.all()
+        if rows.column("i")[0] != rows.column("j")[0] and not across:
+            return _pairs_batch([])
+        owner, region, at = [], [], 0
+        for part in slices(iter(rows.select(["text"]).to_batches()), "text"):
+            words = Words(part.column("text"))
+            text, value, nth = occurrences(*shingles(words, cfg.words, words.hashes()))
+            owner.append(text + at)
+            region.append(mix(value + nth.astype(np.uint64) * _SIDE))
+            at += part.num_rows
+        owner, region = np.concatenate(owner), np.concatenate(region)
+        order = np.argsort(owner, kind="stable")
+        size = np.bincount(owner, minlength=n)
+        kinds, region = np.unique(region[order], return_inverse=True)
+        bound = np.concatenate([[0], np.cumsum(size)])
+        present = np.zeros(len(kinds), bool)
+        for x in np.flatnonzero(first) if across else range(n - 1):
+            other = ~first if across else np.arange(n) > x
+            near = other & (label != label[x]) & (1000 * np.minimum(size, size[x]) >= level * np.maximum(size, size[x]))
+            near[near] = (grid[near] == grid[x]).mean(axis=1) >= cfg.plausible
+            if not near.any():
+                continue
+            mine = region[bound[x] : bound[x + 1]]
+            present[mine] = True
+            hits = np.concatenate([[0], np.cumsum(present[region])])
+            present[mine] = False
+            common = hits[bound[1:]] - hits[bound[:-1]]
+            near &= common * 1000 >= level * (size + size[x] - common)
+            for y in np.flatnonzero(near):
+                if label[y] != label[x]:
+                    out.append((name[x], name[y]))
+                    label[label == label[y]] = label[x]
+        return _pairs_batch(out)
+
+    return dealt.mapInArrow(_grouped(found, "grp", "i", "j"), "a binary, b binary").distinct()
+
+
 def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
@@ -246,7 +393,8 @@ def near_classes(docs: DataFrame, cfg: Near = Near(), id_col: str = "doc_id", te
 
     Texts with equal words fall together first, so signatures, buckets and comparisons are
     per distinct text. Buckets yield forests of plausible pairs, an exact comparison keeps
-    those at or above the threshold, and connected components give the classes.
+    those at or above the threshold, and connected components give the first classes. Plausible
+    pairs of a bucket whose ends are still apart are then all compared exactly on the workers.
 
     ``class_id`` is the smallest id in the class (null if all are null). Texts without words
     (null, empty, blank) are alike to nothing: node and class_node are null, class_id is
@@ -264,7 +412,19 @@ def near_classes(docs: DataFrame, cfg: Near = Near(), id_col: str = "doc_id", te
     holders = nodes.select("node", "doc_id").join(wanted, "node", "left_semi")
     texts = settled(_texts(docs, holders, cfg, id_col, text_col))
     links = settled(verified(pairs, texts, cfg))
-    classes = components(links, "a", "b")
+    classes = settled(components(links, "a", "b"))
+    rest = settled(open_pairs(nodes, classes, cfg))
+    if not rest.isEmpty():
+        ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        lacking = nodes.select("node", "doc_id").join(ends, "node", "left_semi").join(wanted, "node", "left_anti")
+        if not lacking.isEmpty():
+            texts = texts.unionByName(settled(_texts(docs, settled(lacking), cfg, id_col, text_col)))
+        more = components(links_between(rest, nodes, classes, texts, cfg), "a", "b")
+        classes = (
+            nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("first"))
+            .join(more.select(F.col("node").alias("first"), F.col("component").alias("last")), "first", "left")
+            .select("node", F.coalesce("last", "first").alias("component"))
+        )
     # everything about classes is settled per distinct text, so that copies, which may be many,
     # meet it in a single join that adaptive execution can split
     placed = nodes.select("node", F.col("doc_id").alias("least")).join(classes, "node", "left").withColumn(

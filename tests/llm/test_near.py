@@ -105,6 +105,29 @@ def test_small_blocks_still_find_the_group(spark):
     assert {r.class_id for r in near_classes(docs, Near(block=16)).collect()} == {0}
 
 
+def template_rows(n_pairs):
+    """Texts of a template at similarities of about 0.78, among them pairs at about 0.82."""
+    rng = random.Random(4)
+    fixed = ["w%d" % rng.randrange(5000) for _ in range(280)]
+    rows = []
+    for i in range(n_pairs):
+        own = [f"p{i}x{j}" for j in range(39)]
+        near = own[:8] + [f"q{i}x{j}" for j in range(31)]
+        rows += [(2 * i, " ".join(fixed + own)), (2 * i + 1, " ".join(fixed + near))]
+    return rows
+
+
+def test_true_links_among_many_that_are_nearly_alike(spark):
+    rows = template_rows(100)
+    sets = [weights(t) for _, t in rows[:3]]
+    share = lambda a, b: sum((a & b).values()) / sum((a | b).values())
+    assert share(sets[0], sets[1]) > 0.81 and 0.77 < share(sets[0], sets[2]) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_classes(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(200)}
+    assert got == {r.doc_id: r.class_id for r in near_classes(docs, Near(exact_rows=7)).collect()}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_classes(docs).count() == 0
