@@ -169,7 +169,7 @@ def plausible_pairs(nodes: DataFrame, cfg: Near) -> DataFrame:
 
     Rows of buckets of one are dropped before sketches travel. A bucket is compared in
     memory; one of more than ``block`` rows is dealt into groups at random, anew in each
-    band, so that alike texts, which share most of 25 bands, meet in some of them.
+    band. That is a first pass: ``open_pairs`` examines what the groups and forests leave.
     """
     spark = nodes.sparkSession
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -210,14 +210,16 @@ def open_pairs(nodes: DataFrame, classes: DataFrame, cfg: Near) -> DataFrame:
     """Distinct (a, b), plausible pairs of a bucket whose ends are in different classes: a spanning
     forest of all such pairs, per bucket. ``classes``: (node, component).
 
-    Up to forests + 1 rows a bucket's forests hold all its plausible pairs, so only larger ones are read.
+    Up to forests + 1 rows a bucket's forests hold all its plausible pairs, so only larger ones are read,
+    or any that is dealt into groups. A bucket of more than ``block`` rows is cut into blocks,
+    each pair of blocks in a task of its own: every pair of a bucket is examined, whatever its size.
     """
     spark = nodes.sparkSession
     placed = nodes.join(classes, "node", "left").select(
         "node", "bands", "sketch", F.coalesce("component", "node").alias("class"))
     keys = placed.select("node", "class", F.explode("bands").alias("key"))
     size = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter(
-        (F.col("size") > cfg.forests + 1) & (F.col("low") != F.col("high"))).select("key", "size")
+        (F.col("size") > min(cfg.forests + 1, cfg.block)) & (F.col("low") != F.col("high"))).select("key", "size")
     rows = (
         keys.join(size, "key")
         .withColumn("blocks", F.expr(f"cast(ceil(size / {cfg.block}) as bigint)"))
@@ -249,8 +251,10 @@ def open_pairs(nodes: DataFrame, classes: DataFrame, cfg: Near) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame, group: str, *carried: str) -> DataFrame:
-    """(group, i, j, own, ...): every row of a group with ``blocks`` blocks, by its own block, in that block."""
-    return rows.select(group, F.col("own").alias("i"), F.col("own").alias("j"), "own", *carried)
+    """(group, i, j, own, ...): every row of a group with ``blocks`` blocks in each pair of blocks i <= j that holds its own."""
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    return rows.withColumn("other", every).select(
+        group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *carried)
 
 
 def _grouped(found, *by: str):
@@ -301,12 +305,8 @@ def links_between(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, texts:
     blocks = (f"cast(greatest(least(ceil(size / {cfg.exact_rows}), 32), ceil(size / {16 * cfg.exact_rows}), "
               f"ceil(bytes / {cfg.exact_bytes})) as bigint)")
     rows = full.join(size, "grp").withColumn("blocks", F.expr(blocks)).withColumn("own", F.expr("pmod(xxhash64(node, grp), blocks)"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    dealt = (
-        rows.withColumn("other", every)
-        .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "sketch", "text")
-        .repartition(wide(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "own", "node")
-    )
+    dealt = _block_pairs(rows, "grp", "node", "class", "sketch", "text").repartition(wide(spark), "grp", "i", "j").sortWithinPartitions(
+        "grp", "i", "j", "own", "node")
     level = round(cfg.similarity * 1000)
 
     def found(rows: pa.Table) -> pa.RecordBatch:

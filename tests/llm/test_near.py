@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from bandwalk.llm.components import components
-from bandwalk.llm.dart_minhash import Near, forests, near_classes, signatures
+from bandwalk.llm.dart_minhash import Near, forests, near_classes, open_pairs, signatures
 
 
 def weights(text):
@@ -128,6 +128,17 @@ def test_true_links_among_many_that_are_nearly_alike(spark):
     assert got == {r.doc_id: r.class_id for r in near_classes(docs, Near(exact_rows=7)).collect()}
 
 
+def test_every_pair_of_a_huge_bucket_is_examined(spark):
+    """One bucket of 60 rows in blocks of 4; each row is plausible with one other only."""
+    rng = np.random.default_rng(6)
+    sketch = np.repeat(rng.integers(0, 256, (30, 128), dtype=np.uint8), 2, axis=0)
+    rows = [(b"%02d" % i, [7], sketch[i].tobytes()) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "node binary, bands array<bigint>, sketch binary")
+    classes = spark.createDataFrame([], "node binary, component binary")
+    got = open_pairs(nodes, classes, Near(block=4)).collect()
+    assert sorted((int(r.a), int(r.b)) for r in got) == [(i, i + 1) for i in range(0, 60, 2)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_classes(docs).count() == 0
