@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,8 +21,9 @@ class LineRules:
     separators: str = "|»›•·"
     # punctuation: this share (percent) of its words ends in a symbol or in more than one mark
     noisy_percent: int = 30
-    # boilerplate: a line of at most so many words that holds one of the phrases
+    # boilerplate: a line of at most so many words of which phrases, as whole words, make up this share (percent)
     boilerplate_words: int = 30
+    boilerplate_percent: int = 40
     boilerplate: tuple[str, ...] = (
         "all rights reserved", "terms of use", "terms of service", "privacy policy", "use of cookies", "uses cookies",
         "accept cookies", "cookie policy", "enable javascript", "javascript is disabled", "click here", "read more",
@@ -80,9 +82,12 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     navigation = (marks > 0) & (marks * 100 >= n * rules.separator_percent)
     noisy = F.size(F.split(F.concat(line, F.lit(" ")), r"[#*$%&<>|=~^\[\]{}]+[ \t-\r]|[!?]{2,}[ \t-\r]", -1)) - 1
     low = F.lower(line)
-    phrase = F.lit(False)
+    # words of the phrases that the line holds; the pattern is only tried where the bare phrase is found
+    said = F.lit(0)
     for p in rules.boilerplate:
-        phrase = phrase | F.contains(low, F.lit(p))
+        whole = F.contains(low, F.lit(p)) & low.rlike(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(p)}(?![\p{{L}}\p{{N}}_])")
+        said = said + F.when(whole, len(p.split())).otherwise(0)
+    phrase = (said > 0) & (said * 100 >= n * rules.boilerplate_percent)
     return navigation | (noisy * 100 >= n * rules.noisy_percent) | ((n <= rules.boilerplate_words) & phrase)
 
 

@@ -65,3 +65,10 @@ def test_rows_stay(spark):
     out = line_quality(docs)
     assert out.count() == 3 and out.select("row.*").columns == ["doc_id", "text"]
     assert line_quality(docs.limit(0)).count() == 0
+
+
+def test_boilerplate_phrases_are_whole_words_that_fill_the_line(spark):
+    clean = ["They design in the open", "Items in the catalog include tools", "The catalog in print", "children who read more learn faster"]
+    gone = ["Sign in", "Please log in to continue", "All rights reserved.", "Copyright 2020 Example. All rights reserved.", "Read more..."]
+    docs = spark.createDataFrame([(1, "\n".join(clean + gone))], "doc_id long, text string")
+    assert line_quality(docs).first().cleaned.split("\n") == clean
