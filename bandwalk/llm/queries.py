@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline over the given tables, and their SQL."""
+"""The queries op1 to op13 over the given tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandwalk.catalog.base import Entry, Query
 from bandwalk.llm import (
-    conversations, dart_minhash, factorisation, licenses, line_quality, mixing, packing, token_count, topk, warc,
+    conversations, dart_minhash, factorisation, fill_middle, importance, licenses, line_quality, mixing, packing, simhash,
+    token_count, topk, warc,
 )
 from bandwalk.session import shared_folder
 
@@ -172,3 +173,72 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = factorisation.train(docs, read(spark, sf_dir, "labels"))
     return factorisation.scored_ids(docs, model)
+
+
+MIDDLE_SQL = """
+  with d as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+    u as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as parts,
+            cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+            cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
+    c as (select *, len(parts) as n, least(h1 % (len(parts) + 1), h2 % (len(parts) + 1)) as low,
+            greatest(h1 % (len(parts) + 1), h2 % (len(parts) + 1)) as high,
+            case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+                 when h4 % 100 < 20 then 'spm' else 'psm' end as form from u),
+    p as (select *, array_to_string(list_slice(parts, 1, low), '') as prefix, array_to_string(list_slice(parts, low + 1, high), '') as middle,
+            array_to_string(list_slice(parts, high + 1, n), '') as suffix from c),
+    o as (select *, case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                              else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end as output from p)
+  select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars,
+    case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+    sha256(output) as output_sha256, sha256(text) as restored_sha256 from o"""
+
+
+@query("op11_fill_in_middle", MIDDLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and restored."""
+    made = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    return fill_middle.restored(made).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+RESAMPLING_SQL = """
+  with d as (select row_number() over () as r, doc_id,
+               list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda w: w <> '') as ws from documents),
+    b as (select list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda w: w <> '') as ws from benchmark),
+    df as (select r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as f from d),
+    bf as (select unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as f from b),
+    tab as (select list(c order by i) as t from (
+      select i, list_reduce(range(8), lambda a, k: case when a % 2 = 1 then xor(3988292384, a // 2) else a // 2 end, i) as c from range(256) as x(i))),
+    names as (select distinct f from (select f from df union all select f from bf)),
+    hex_names as (select f, hex(encode(f)) as x from names),
+    crc as (select f, xor(4294967295, list_reduce(range(strlen(f)), lambda a, k:
+        xor(a // 256, t[xor(a % 256, cast('0x' || substr(x, 2 * k + 1, 2) as bigint)) + 1]), 4294967295)) % 10000 as bucket from hex_names, tab),
+    s as (select bucket, count(*) as n from df join crc using (f) group by bucket),
+    t as (select bucket, count(*) as n from bf join crc using (f) group by bucket),
+    g as (select i as bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1.0::double) * ((select coalesce(sum(n), 0) from s) + 10000.0::double)
+             / ((coalesce(s.n, 0) + 1.0::double) * ((select coalesce(sum(n), 0) from t) + 10000.0::double)))) as bigint) as gain
+          from range(10000) as x(i) left join s on s.bucket = i left join t on t.bucket = i),
+    w as (select r, count(*) as n, cast(sum(gain) as bigint) as total from df join crc using (f) join g using (bucket) group by r),
+    e as (select doc_id, len(ws) as n_words, coalesce(n, 0) as n_features,
+            case when n is null then 0 else (total - ((total % n) + n) % n) // n end as weight,
+            cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h from d left join w using (r)),
+    z as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from e),
+    k as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls first, n_features, weight) as nth from z)
+  select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score,
+    case when n_words >= 20 and nth <= (select 25 * count(*) // 100 from z where n_words >= 20) then cast(nth as bigint) end as rank from k"""
+
+
+@query("op12_importance_resampling", RESAMPLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn to look like the benchmark."""
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_simhash_components")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and component of every document: three words, two bits."""
+    return simhash.near_components(read(spark, sf_dir, "documents"))
