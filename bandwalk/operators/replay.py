@@ -2,20 +2,20 @@
 
 The stop makes a trade's exit depend on its own entry price, which no window
 expression can state. Spark cuts every series into blocks, spreads (block, group of
-combinations) over tasks and merges the block summaries; inside a task the bars of
-one block are walked once, with all combinations of the group held in arrays.
+combinations) over tasks and merges the block summaries; inside a task ``walk`` goes from
+trade to trade, with all combinations of the group held in arrays.
 
 A block starts ``runup`` bars early from a flat position. A bar that forces every
 position shut makes the state independent of the past, so a combination that meets
-one during the run-up is exact from there. Combinations that do not meet one are
-replayed afterwards from the state their previous block ended in.
+one during the run-up is exact from there. For the rest, each block's leaving state is
+found as a function of its entering state; these functions are composed along the series
+by pointer doubling, and the blocks are replayed once more, all together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,7 @@ from bandwalk.operators.series import (
     overlapping_blocks,
     seeded_weight,
 )
+from bandwalk.operators.walk import Bars, Steps, Walkers, flags_of, transitions, walk
 from bandwalk.session import settled, wide
 
 MERGE_BLOCKS = 4_096  # block summaries folded at a time
@@ -56,9 +57,9 @@ class ReplayConfig:
 
     @property
     def lead(self) -> int:
-        """Bars a block sees before its first own bar."""
+        """Bars a block sees before its first own bar: one at least, whose close is its first mark."""
         rolling = "sma" in self.ma_kind or self.atr_kind == "simple"
-        return max(self.runup, self.max_window + 1) if rolling else self.runup
+        return max(self.runup, self.max_window + 1) if rolling else max(self.runup, 1)
 
 
 STATE = [
@@ -169,169 +170,178 @@ def _lagged_bank(bars: pd.DataFrame, work: pd.DataFrame, start: int, cfg: Replay
     return mid, atr, skip
 
 
-CHUNK_CELLS = 65_536  # bars x combinations computed together; fits the CPU cache
+BAND_CELLS = 1 << 20  # bars x bands whose signals are held together
+MARK_CELLS = 1 << 18  # bars x combinations whose equity is held together
 
 
-def _flags(mid, width, high, low, columns):
-    """Open/close flags per bar and combination, and the fill price per distinct band."""
-    lower, upper = mid - width, mid + width
-    le, lx, se, sx = low <= lower, high >= mid, high >= upper, low <= mid
-    free = ~(le & se)  # both entries at once change nothing
-    px = np.where(se, upper, np.where(le, lower, mid))
-    open_l, close_l = le & ~lx & free, lx & ~le & free
-    open_s, close_s = se & ~sx & free, sx & ~se & free
-    return [f[:, columns] for f in (open_l, close_l, open_s, close_s)] + [px]
+def _banded(bars: pd.DataFrame, work: pd.DataFrame, cfg: ReplayConfig):
+    """(bars, first own bar, slices): slices of combinations with the (mid, width) lines of their bands.
 
-
-def replay_block(
-    bars: pd.DataFrame, work: pd.DataFrame, cfg: ReplayConfig, log: bool = False
-) -> pd.DataFrame:
-    """Walk one block once; returns one row per combination.
-
-    Flags and the equity statistics are computed for many bars at a time. The walk itself
-    touches only the combinations that trade on a bar; equity is kept as ``a + b*close``.
+    Combinations that differ only in the stop share a band. A slice is (rows of ``work``, band
+    of each, mid, width).
     """
-    bars = bars.sort_values("pos", ignore_index=True)
     own = int(work["blk"].iloc[0]) * cfg.block_bars
     start = max(0, own - cfg.lead)
     (mids, mi), (atrs, ai), skip = _lagged_bank(bars, work, start, cfg)
-    ops, his, los, cls = (bars[c].to_numpy()[skip:] for c in ("open", "high", "low", "close"))
-    n, first = len(work), own - start
-    stop = work["sl_stop"].to_numpy(dtype=float)
-    # Combinations that differ only in the stop share their bands.
+    walked = Bars(*(bars[c].to_numpy()[skip:] for c in ("open", "high", "low", "close")))
     bands, band = np.unique(
         np.column_stack([mi, ai, work["atr_mult"].to_numpy(dtype=float)]), axis=0, return_inverse=True
     )
     band = band.ravel()
-    b_mi, b_ai, b_mult = bands[:, 0].astype(int), bands[:, 1].astype(int), bands[:, 2]
-    size, fees = cfg.size, cfg.fees
-    seeded = bool(work["seeded"].iloc[0])
+    order = np.argsort(band, kind="stable")
+    step = max(1, BAND_CELLS // max(1, len(walked)))
 
-    side, p_in, at = np.zeros(n), np.ones(n), np.zeros(n, dtype=np.int64)
-    if seeded:
-        side = work["in_side"].to_numpy(dtype=float).copy()
-        p_in = np.where(side != 0, work["in_px"].to_numpy(dtype=float), 1.0)
-        at = work["in_pos"].to_numpy(dtype=np.int64).copy()
-    base, eq = np.ones(n), np.ones(n)
-    a, b = np.ones(n), np.zeros(n)
-    level_l, level_s = np.full(n, -np.inf), np.full(n, np.inf)
-    exact = np.full(n, start == 0 or seeded)
-    high, low, drop = np.ones(n), np.ones(n), np.zeros(n)
-    s1, s2 = np.zeros(n), np.zeros(n)
-    opened, closed, won, paid = (np.zeros(n) for _ in range(4))
-    made = []
-
-    def hold(i):
-        """Refresh what depends on the open position of combinations ``i``."""
-        s, p = side[i], p_in[i]
-        level_l[i] = np.where(s > 0, p * (1 - stop[i]), -np.inf)
-        level_s[i] = np.where(s < 0, p * (1 + stop[i]), np.inf)
-        a[i] = base[i] * np.where(s != 0, 1 - size * s - size * fees, 1.0)
-        b[i] = base[i] * size * s / p
-
-    everyone = np.arange(n)
-    hold(everyone)
-    step = max(4, CHUNK_CELLS // n)
-    edges = [*range(0 if not seeded else first, first, step), *range(first, len(cls), step), len(cls)]
-    for lo, hi in zip(edges, edges[1:]):
-        open_l, close_l, open_s, close_s, px = _flags(
-            mids[lo:hi][:, b_mi], b_mult * atrs[lo:hi][:, b_ai], his[lo:hi, None], los[lo:hi, None], band
-        )
-        if lo == first:
-            resolved = exact.copy()
-            # Equity is counted from the mark one bar before the block.
-            mark = 1 + size * (side * (cls[lo - 1] / p_in - 1) - fees) if lo > 0 else np.ones(n)
-            base = np.where((side != 0) & (mark > 0), 1 / np.where(mark > 0, mark, 1.0), 1.0)
-            hold(everyone)
-        counted = lo >= first
-        marks = np.empty((hi - lo, n))
-        for t in range(lo, hi):
-            k = t - lo
-            is_long, is_short = side > 0, side < 0
-            hit = (los[t] <= level_l) | (his[t] >= level_s)
-            gone = (is_long & close_l[k]) | (is_short & close_s[k]) | hit
-            new = (open_l[k] & ~is_long) | (open_s[k] & ~is_short)
-            i = np.flatnonzero(gone)
-            if i.size:
-                s, stopped = side[i], hit[i]
-                at_stop = np.where(
-                    s > 0, np.minimum(ops[t], level_l[i]), np.maximum(ops[t], level_s[i])
-                )
-                out = np.where(stopped, at_stop, px[k, band[i]])
-                ratio = out / p_in[i]
-                ret = size * (s * (ratio - 1) - fees - fees * ratio)
-                if counted:
-                    live = eq[i] > 0
-                    paid[i] += np.where(live, base[i] * size * fees * ratio, 0.0)
-                    closed[i] += live
-                    won[i] += live & (ret > 0)
-                    base[i] = np.maximum(base[i] * (1 + ret), 0.0)
-                    if log:
-                        made.extend(
-                            zip(i, s.astype(int), at[i], p_in[i], out, ret, [start + t] * i.size,
-                                np.where(stopped, "stop", "signal"))
-                        )
-                side[i] = 0.0
-                new &= ~hit
-            j = np.flatnonzero(new)
-            if j.size:
-                side[j] = np.where(open_l[k, j], 1.0, -1.0)
-                p_in[j] = px[k, band[j]]
-                at[j] = start + t
-                if counted:
-                    live = eq[j] > 0
-                    opened[j] += live
-                    paid[j] += np.where(live, base[j] * size * fees, 0.0)
-            if i.size or j.size:
-                hold(i)
-                hold(j)
-            if counted:
-                eq = a + b * cls[t]
-                if (eq <= 0).any():  # ruined: equity stays at zero
-                    dead = np.flatnonzero(eq <= 0)
-                    eq[dead] = base[dead] = a[dead] = b[dead] = 0.0
-                marks[k] = eq
-        if not counted:
+    def slices():
+        for low in range(0, len(bands), step):
+            part = bands[low : low + step]
+            rows = order[slice(*np.searchsorted(band[order], [low, low + step]))]
+            width = part[:, 2] * atrs[:, part[:, 1].astype(int)]
+            yield rows, band[rows] - low, mids[:, part[:, 0].astype(int)], width
+
+    return walked, own - start, start, slices()
+
+
+def replay_block(
+    bars: pd.DataFrame, work: pd.DataFrame, cfg: ReplayConfig, log: bool = False
+) -> pd.DataFrame:
+    """Walk one block once; returns one row per combination, in the order of ``work``."""
+    bars = bars.sort_values("pos", ignore_index=True)
+    walked, first, start, slices = _banded(bars, work, cfg)
+    seeded = bool(work["seeded"].iloc[0])
+    parts = []
+    for rows, band, mid, width in slices:
+        flags = flags_of(mid, width, walked.high, walked.low)
+        n, mine = len(rows), work.iloc[rows]
+        side, px, pos = np.zeros(n, np.int64), np.ones(n), np.zeros(n, np.int64)
+        exact = np.full(n, start == 0 or seeded)
+        if seeded:
+            side = mine["in_side"].to_numpy(dtype=np.int64)
+            px = np.where(side != 0, mine["in_px"].to_numpy(dtype=float), 1.0)
+            pos = mine["in_pos"].to_numpy(dtype=np.int64)
+        else:
             # a rolling mean that the run-up has not filled yet says nothing about the bar
-            known = ~np.isnan(mids[lo:hi][:, b_mi] + atrs[lo:hi][:, b_ai])[:, band]
-            exact |= (close_l & close_s & known).any(axis=0)
-            continue
-        before = np.vstack([before[-1:] if lo > first else np.ones((1, n)), marks])
-        r = np.divide(marks, before[:-1], out=np.ones_like(marks), where=before[:-1] > 0) - 1
-        s1 += r.sum(axis=0)
-        s2 += (r * r).sum(axis=0)
-        peaks = np.maximum.accumulate(np.vstack([high, marks]), axis=0)[1:]
-        high, low = peaks[-1], np.minimum(low, marks.min(axis=0))
-        drop = np.maximum(drop, (1 - marks / peaks).max(axis=0))
-    count = len(cls) - first
+            exact |= flags.shut[:first].any(axis=0)[band]
+        begin = np.full(n, first if seeded else 0, np.int64)
+        stop = mine["sl_stop"].to_numpy(dtype=float)
+        left, steps = walk(walked, flags, Walkers(band, stop, side, px, pos, begin), start)
+        step = max(1, MARK_CELLS // max(1, len(walked) - first))
+        for low in range(0, n, step):
+            high = min(low + step, n)
+            a, b = np.searchsorted(steps.walker, [low, high])
+            some = Steps(*(x[a:b] for x in steps))._replace(walker=steps.walker[a:b] - low)
+            out = _summaries(walked, some, Walkers(*(x[low:high] for x in left)), first, start, cfg, log,
+                             int(bars["len"].iloc[0]))
+            out.insert(0, "resolved", exact[low:high])
+            out.insert(0, "combo_id", mine["combo_id"].to_numpy()[low:high])
+            out.index = rows[low:high]
+            parts.append(out)
+    return pd.concat(parts).sort_index()
+
+
+def _summaries(
+    bars: Bars, steps: Steps, left: Walkers, first: int, start: int, cfg: ReplayConfig, log: bool, length: int
+) -> pd.DataFrame:
+    """Equity of each walker over the bars from ``first`` on, relative to the mark one bar before."""
+    n, size, fees = len(left.side), cfg.size, cfg.fees
+    close = bars.close[first:]
+    count = len(close)
+    # trades that end here, and the one still open, as (walker, side, entry, exit)
+    here = steps.exit >= first
+    who, side, pos, p_in, leave, p_out, stopped = (x[here] for x in steps)
+    still = np.flatnonzero(left.side)
+    owner = np.concatenate([who, still])
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    side, pos, p_in = (np.concatenate(x)[order] for x in ((side, left.side[still]), (pos, left.pos[still]), (p_in, left.px[still])))
+    closes = np.concatenate([np.ones(len(who), bool), np.zeros(len(still), bool)])[order]
+    leave, p_out = (np.concatenate([x, np.zeros(len(still), x.dtype)])[order] for x in (leave - first, p_out))
+    enter = pos - start - first  # before 0: held when the block began
+    trades = len(owner)
+    # equity at the start, and after each closed trade
+    lead = np.ones(trades, bool)
+    lead[1:] = owner[1:] != owner[:-1]
+    base0 = np.ones(n)
+    held = lead & (enter < 0)
+    if first + start > 0 and held.any():
+        mark = 1 + size * (side[held] * (bars.close[first - 1] / p_in[held] - 1) - fees)
+        base0[owner[held]] = np.where(mark > 0, 1 / np.where(mark > 0, mark, 1.0), 1.0)
+    ratio = np.where(closes, p_out / p_in, 1.0)
+    ret = np.where(closes, size * (side * (ratio - 1) - fees - fees * ratio), 0.0)
+    base = _compounded(base0[owner], np.maximum(1 + ret, 0.0), lead)  # at the entry of each trade
+    after = base * np.maximum(1 + ret, 0.0)
+    # marks are a + b * close: one piece while a position is held, one while there is none
+    piece_at = np.concatenate([np.maximum(enter, 0), leave[closes]])
+    piece_of = np.concatenate([owner, owner[closes]])
+    piece_a = np.concatenate([base * (1 - size * side - size * fees), after[closes]])
+    piece_b = np.concatenate([base * size * side / p_in, np.zeros(int(closes.sum()))])
+    # of two pieces at one bar, an exit comes before the entry of the trade after it
+    nth = np.concatenate([2 * np.arange(trades), 2 * np.flatnonzero(closes) + 1])
+    order = np.lexsort((nth, piece_of))
+    piece_at, piece_of, piece_a, piece_b = (x[order] for x in (piece_at, piece_of, piece_a, piece_b))
+    changes = np.bincount(piece_of * count + piece_at, minlength=n * count).reshape(n, count)
+    begins = np.searchsorted(piece_of, np.arange(n)) + np.arange(n)
+    index = np.cumsum(changes, axis=1) + begins[:, None]
+    all_a, all_b = np.empty(len(piece_a) + n), np.zeros(len(piece_a) + n)
+    place = np.arange(len(piece_a)) + piece_of + 1
+    all_a[begins], all_a[place], all_b[place] = base0, piece_a, piece_b
+    marks = all_a[index] + all_b[index] * close
+    # ruined: equity stays at zero
+    broke = marks <= 0
+    dead = np.where(broke.any(axis=1), broke.argmax(axis=1), count)
+    marks[np.arange(count) >= dead[:, None]] = 0.0
+    before = np.column_stack([np.ones(n), marks[:, :-1]])
+    r = np.divide(marks, before, out=np.ones_like(marks), where=before > 0) - 1
+    s1, s2 = r.sum(axis=1), np.einsum("ij,ij->i", r, r)
+    peaks = np.maximum(np.maximum.accumulate(marks, axis=1), 1.0)
+    # what happens up to the bar of ruin counts
+    opens, ends = (enter >= 0) & (enter <= dead[owner]), closes & (leave <= dead[owner])
+
+    def total(where: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(owner[where], None if weight is None else weight[where], n).astype(float)
+
+    paid = total(opens, base * size * fees) + total(ends, base * size * fees * ratio)
     out = pd.DataFrame(
         {
-            "combo_id": work["combo_id"].to_numpy(),
-            "resolved": resolved,
-            "out_side": side.astype(np.int32),
-            "out_px": np.where(side != 0, p_in, np.nan),
-            "out_pos": at,
-            "growth": eq, "high": high, "low": low, "drop": drop, "n": float(count),
+            "out_side": left.side.astype(np.int32),
+            "out_px": np.where(left.side != 0, left.px, np.nan),
+            "out_pos": np.where(left.side != 0, left.pos, 0),
+            "growth": marks[:, -1], "high": peaks[:, -1], "low": np.minimum(marks.min(axis=1), 1.0),
+            "drop": (1 - marks / peaks).max(axis=1), "n": float(count),
             "mean": s1 / count, "m2": np.maximum(s2 - s1 * s1 / count, 0.0),
-            "trades": opened, "closed": closed, "wins": won, "fees": paid,
+            "trades": total(opens), "closed": total(ends), "wins": total(ends & (ret > 0)), "fees": paid,
         }
     )
     if log:
-        out["log"] = _trade_log(made, bars, own, first, side, at, p_in, start, cls, cfg)
+        reason = np.where(stopped, "stop", "signal")
+        columns = {"side": side[closes], "entry_pos": pos[closes], "entry_px": p_in[closes], "exit_px": p_out[closes],
+                   "ret": ret[closes], "exit_pos": leave[closes] + first + start, "reason": reason}
+        out["log"] = _trade_log(columns, owner[closes], n)
+        if start + len(bars) >= length:  # a trade still open at the end of the series is marked
+            for i in still:
+                s, p = int(left.side[i]), float(left.px[i])
+                mark = size * (s * (close[-1] / p - 1) - fees)
+                out.at[i, "log"].append(
+                    {"side": s, "entry_pos": int(left.pos[i]), "entry_px": p, "exit_px": float(close[-1]), "ret": float(mark),
+                     "exit_pos": start + len(bars) - 1, "reason": "open"})
     return out
 
 
-def _trade_log(made, bars, own, first, side, at, p_in, start, cls, cfg: ReplayConfig) -> list[list[dict]]:
-    """Trades per combination; a trade still open at the end of the series is marked."""
-    names = ("side", "entry_pos", "entry_px", "exit_px", "ret", "exit_pos", "reason")
-    per = [[] for _ in side]
-    for i, *trade in made:
-        per[i].append({k: v.item() if hasattr(v, "item") else v for k, v in zip(names, trade)})
-    if own + (len(cls) - first) >= int(bars["len"].iloc[0]):
-        for i in np.flatnonzero(side):
-            ret = cfg.size * (side[i] * (cls[-1] / p_in[i] - 1) - cfg.fees)
-            trade = (int(side[i]), int(at[i]), p_in[i], cls[-1], ret, start + len(cls) - 1, "open")
-            per[i].append(dict(zip(names, trade)))
+def _compounded(first: np.ndarray, factor: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """first, then first times all factors before, restarting at every ``lead``."""
+    row = np.cumsum(lead) - 1
+    starts = np.flatnonzero(lead)
+    nth = np.arange(len(factor)) - starts[row]
+    grid = np.ones((len(starts), int(nth.max(initial=0)) + 2))
+    grid[:, 0] = first[starts]
+    grid[row, nth + 1] = factor
+    return np.cumprod(grid, axis=1)[row, nth]
+
+
+def _trade_log(columns: dict[str, np.ndarray], owner: np.ndarray, n: int) -> list[list[dict]]:
+    """Closed trades per walker."""
+    per: list[list[dict]] = [[] for _ in range(n)]
+    for i, *trade in zip(owner.tolist(), *(c.tolist() for c in columns.values())):
+        per[i].append(dict(zip(columns, trade)))
     return per
 
 
@@ -441,35 +451,121 @@ def replay_blocks(
     return _resolve(blocks, work, done, keys, cfg, log)
 
 
+PIECE = T.StructType([
+    T.StructField("level", T.DoubleType()), T.StructField("held", T.BooleanType()), T.StructField("side", T.IntegerType()),
+    T.StructField("px", T.DoubleType()), T.StructField("pos", T.LongType()),
+])
+FUNCTION = [T.StructField("flat", PIECE), T.StructField("longs", T.ArrayType(PIECE)), T.StructField("shorts", T.ArrayType(PIECE))]
+
+
+def block_transitions(blocks: DataFrame, work: DataFrame, keys: list[str], cfg: ReplayConfig, n: int) -> DataFrame:
+    """(key, blk, combo_id, sl_stop, flat, longs, shorts): what each block of ``work`` makes of any entering state.
+
+    See ``walk.transitions``. A function has a piece per new low or high of the block at most,
+    and neighbours that lead to one state are merged.
+    """
+    group = [*keys, "blk", "bucket"]
+    fields = [work.schema[f] for f in (*keys, "blk", "combo_id", "sl_stop")]
+    schema = T.StructType(fields + FUNCTION)
+    names = schema.fieldNames()
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({f: pd.Series(dtype="object") for f in names})
+        left = left.sort_values("pos", ignore_index=True)
+        walked, first, start, slices = _banded(left, right, cfg)
+        own = Bars(*(x[first:] for x in (walked.open, walked.high, walked.low, walked.close)))
+        parts = []
+        for rows, band, mid, width in slices:
+            flags = flags_of(mid[first:], width[first:], own.high, own.low)
+            some = right.iloc[rows][["combo_id", "sl_stop"]].reset_index(drop=True)
+            made = transitions(own, flags, band, some["sl_stop"].to_numpy(dtype=float), start + first)
+            parts.append(some.assign(**{name: [m[i] for m in made] for i, name in enumerate(("flat", "longs", "shorts"))}))
+        out = pd.concat(parts)
+        for name, value in zip(group, key):
+            out[name] = value
+        return out[names]
+
+    bars = blocks.join(work.select(*[F.col(c).alias(c) for c in group]).distinct(), [*keys, "blk"])
+    return bars.repartition(n, *group).groupBy(*group).cogroup(work.repartition(n, *group).groupBy(*group)).applyInPandas(run, schema)
+
+
+def _applied(longs: Column, shorts: Column, flat: Column, state: Column, stop: Column) -> Column:
+    """The state that a function leaves when entered in ``state``."""
+    price = lambda sign: F.coalesce(sign * (state["px"] * (1 - sign * stop)), F.lit(float("-inf")))
+    first = lambda pieces, level: F.get(F.filter(pieces, lambda p: p["level"] <= level), 0)
+    piece = F.when(state["side"] > 0, first(longs, price(1))).when(state["side"] < 0, first(shorts, price(-1))).otherwise(flat)
+    return F.transform(F.array(piece), lambda p: F.when(p["held"], state).otherwise(p))[0]
+
+
+def _after(second: list[Column], pieces: Column, mine: Column, stop: Column) -> Column:
+    """Pieces of one side, followed by a function (longs, shorts, flat) of which ``mine`` is the same side."""
+    ended = F.filter(pieces, lambda p: ~p["held"])
+    # a position that is still held meets the second function's levels below those it has outlived
+    lowest = F.coalesce(F.array_min(F.transform(ended, lambda p: p["level"])), F.lit(float("inf")))
+    onwards = F.transform(ended, lambda p: _applied(*second, p, stop).withField("level", p["level"]))
+    later = F.when(F.exists(pieces, lambda p: p["held"]), F.filter(mine, lambda p: p["level"] < lowest)).otherwise(F.array())
+    return F.concat(onwards, later)
+
+
+def leaving_states(functions: DataFrame, known: DataFrame, ids: list[str]) -> tuple[DataFrame, int]:
+    """(ids, blk, state) that every block of ``functions`` is left in, and the rounds it took.
+
+    ``known``: (ids, blk, state) of the blocks right before runs of ``functions``. In every round a
+    block's function takes in that of the block it hangs on, so the distance bridged doubles
+    and a run of n blocks needs about log2(n) rounds, each one join of small rows.
+    """
+    opens = functions.withColumn("hang", F.col("blk") - 1)
+    none = F.lit(None)
+    done = known.select(*ids, "blk", "state")
+    rounds = 0
+    while True:
+        rounds += 1
+        ends = done.select(
+            *ids, F.col("blk").alias("hang"), F.col("state").alias("s"), *[none.cast(f.dataType).alias(f"{f.name}0") for f in FUNCTION],
+            none.cast("bigint").alias("hang0"))
+        # a block without functions or known state before it lies behind nothing that is open
+        links = opens.select(*ids, F.col("blk").alias("next"), none.cast(PIECE).alias("s"),
+                             *[F.col(f.name).alias(f"{f.name}0") for f in FUNCTION], F.col("hang").alias("hang0"))
+        before = ends.unionByName(links.withColumnRenamed("next", "hang"))
+        # own columns get other names than those made of them: inside lambdas a name would mean the new column
+        mine = opens.withColumnsRenamed({f.name: f"{f.name}1" for f in FUNCTION} | {"hang": "at"})
+        second = [F.col("longs1"), F.col("shorts1"), F.col("flat1")]
+        stop = F.col("sl_stop")
+        met = F.col("s").isNotNull()
+        joined = mine.join(before.withColumnRenamed("hang", "at"), [*ids, "at"]).select(
+            *ids, "blk", "sl_stop", F.col("hang0").alias("hang"),
+            F.when(met, _applied(*second, F.col("s"), stop)).alias("state"),
+            F.when(~met, _applied(*second, F.col("flat0"), stop)).alias("flat"),
+            F.when(~met, _after(second, F.col("longs0"), F.col("longs1"), stop)).alias("longs"),
+            F.when(~met, _after(second, F.col("shorts0"), F.col("shorts1"), stop)).alias("shorts"))
+        step = settled(joined)
+        done = done.unionByName(step.filter("state is not null").select(*ids, "blk", "state"))
+        opens = step.filter("state is null").drop("state")
+        if opens.isEmpty():
+            return done, rounds
+
+
 def _resolve(blocks, work, done, keys: list[str], cfg: ReplayConfig, log: bool) -> DataFrame:
     """Replay the blocks whose run-up met no forced-flat bar from their true state.
 
-    Each round settles at least the first open block of every run of open blocks.
+    Their transition functions, composed along each run of such blocks, give every entering state at
+    once, so there is one replay more whatever the length of the runs.
     """
-    ids = [*keys, "blk", "combo_id"]
-    parts = [done.filter("resolved")]
-    pending = settled(done.filter(~F.col("resolved")).select(*ids))
-    while not pending.isEmpty():
-        # A block becomes ready when the one before it was settled in the last round.
-        before = parts[-1].select(
-            *keys,
-            (F.col("blk") + 1).alias("blk"),
-            "combo_id",
-            F.col("out_side").alias("in_side"),
-            F.col("out_px").alias("in_px"),
-            F.col("out_pos").alias("in_pos"),
-        )
-        ready = (
-            work.drop("seeded", "in_side", "in_px", "in_pos")
-            .join(pending, ids, "left_semi")
-            .join(before, ids)
-            .withColumn("seeded", F.lit(True))
-        )
-        ready = settled(ready)
-        n = partitions(ready.sparkSession, ready.select(*keys, "blk", "bucket").distinct().count())
-        parts.append(settled(_replay(blocks, ready, keys, cfg, log, n)))
-        pending = settled(pending.join(parts[-1].select(*ids), ids, "left_anti"))
-    return reduce(DataFrame.unionByName, parts)
+    ids = [*keys, "combo_id"]
+    pending = done.filter(~F.col("resolved")).select(*ids, "blk")
+    todo = settled(work.drop("seeded", "in_side", "in_px", "in_pos").join(pending, [*ids, "blk"], "left_semi"))
+    n = partitions(todo.sparkSession, todo.select(*keys, "blk", "bucket").distinct().count())
+    functions = settled(block_transitions(blocks, todo, keys, cfg, n))
+    state = F.struct(F.lit(float("-inf")).alias("level"), F.lit(False).alias("held"), F.col("out_side").alias("side"),
+                     F.col("out_px").alias("px"), F.col("out_pos").alias("pos"))
+    heads = functions.select(*ids, (F.col("blk") - 1).alias("blk"))
+    known = settled(done.filter("resolved").join(heads, [*ids, "blk"], "left_semi").select(*ids, "blk", state.alias("state")))
+    left, _ = leaving_states(functions, known, ids)
+    entering = left.select(*ids, (F.col("blk") + 1).alias("blk"), F.lit(True).alias("seeded"), F.col("state.side").alias("in_side"),
+                           F.col("state.px").alias("in_px"), F.col("state.pos").alias("in_pos"))
+    ready = settled(todo.join(entering, [*ids, "blk"]))
+    return done.filter("resolved").unionByName(_replay(blocks, ready, keys, cfg, log, n))
 
 
 MERGED = tuple(f.name for f in SUMMARY)
