@@ -20,6 +20,7 @@ from bandwalk.llm.texts import raw
 
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
 NONE = np.iinfo(np.int32).max
+RANGE = 0x800  # code points looked at together; divides the surrogates' bounds
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -35,13 +36,16 @@ def code_point_kinds() -> np.ndarray:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-    text = "".join(map(chr, points))
-    where = np.array(points)
     kinds = np.zeros(0x110000, np.uint8)
-    for kind, expression in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
-        for _, (start, end) in Split(Regex(expression), "removed", invert=True).pre_tokenize_str(text):
-            kinds[where[start:end]] = kind
+    rules = [(kind, Split(Regex(x), "removed", invert=True)) for kind, x in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s"))]
+    # a small range at a time: the matches of all code points at once would take hundreds of MB on the driver
+    for low in range(0, 0x110000, RANGE):
+        if 0xD800 <= low < 0xE000:
+            continue
+        text = np.arange(low, low + RANGE, dtype="<u4").tobytes().decode("utf-32-le")
+        for kind, rule in rules:
+            for _, (at, _) in rule.pre_tokenize_str(text):
+                kinds[low + at] = kind
     return kinds
 
 
