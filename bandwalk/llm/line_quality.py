@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,16 +48,22 @@ def solid(text: Column) -> Column:
 def repeat_words(words: Column, window: int = 8) -> Column:
     """Words inside windows of ``window`` words that the text holds twice or more.
 
-    Windows are compared by a 64-bit hash of their words' hashes. Only a text with an equal
-    pair sorts its windows, so the cost is that of a sort at most, however long the text.
+    Windows are compared by a 64-bit hash, made of the hashes of their halves. Only a text with
+    an equal pair sorts its windows, so the cost is that of a sort at most, however long the text.
     """
 
     def bind(value: Column, then) -> Column:
         # evaluates the value once, also inside other lambdas
         return F.transform(F.array(value), then)[0]
 
-    def runs(hashes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashes) - (window - 1)), lambda i: F.xxhash64(F.slice(hashes, i, window)))
+    def joined(hashes: Column, step: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - (step + 1)),
+                           lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + step)))
+
+    def runs(hashes: Column, width: int) -> Column:
+        if 2 * width <= window:
+            return bind(joined(hashes, width), lambda h: runs(h, 2 * width))
+        return joined(hashes, window - width) if width < window else hashes
 
     def covered(grams: Column) -> Column:
         # (hash, place) in order: a place is repeated if a neighbour has its hash
@@ -66,11 +73,21 @@ def repeat_words(words: Column, window: int = 8) -> Column:
             lambda p: F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-window).alias("at")), lambda acc, x: F.struct(
                 (acc["n"] + F.least(F.lit(window), x - acc["at"])).alias("n"), x.alias("at")))["n"]))
 
-    counted = bind(bind(F.transform(words, lambda w: F.xxhash64(w)), runs),
+    counted = bind(bind(F.transform(words, lambda w: F.xxhash64(w)), lambda h: runs(h, 1)),
                    lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(0))
     return F.coalesce(F.when(F.size(words) > window, counted), F.lit(0)).cast("bigint")
 
 
+NOISE = r"[#*$%&<>|=~^\[\]{}]+[ \t-\r]|[!?]{2,}[ \t-\r]"
+
+
+def suspect(text: Column, rules: LineRules) -> Column:
+    """False only if no line of the text can fail: it holds no separator, no noisy word and no phrase."""
+    low = F.lower(text)
+    marked = F.length(F.translate(text, rules.separators, "")) < F.length(text)
+    return reduce(Column.__or__, [low.contains(p) for p in rules.boilerplate], marked | F.concat(text, F.lit(" ")).rlike(NOISE))
+
+
 def has_word(line: Column) -> Column:
     return F.length(F.trim(F.translate(line, BLANKS, " " * len(BLANKS)))) > 0
 
@@ -80,7 +97,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     n = F.size(split_words(line))
     marks = F.length(line) - F.length(F.translate(line, rules.separators, ""))
     navigation = (marks > 0) & (marks * 100 >= n * rules.separator_percent)
-    noisy = F.size(F.split(F.concat(line, F.lit(" ")), r"[#*$%&<>|=~^\[\]{}]+[ \t-\r]|[!?]{2,}[ \t-\r]", -1)) - 1
+    noisy = F.size(F.split(F.concat(line, F.lit(" ")), NOISE, -1)) - 1
     low = F.lower(line)
     # words of the phrases that the line holds; the pattern is only tried where the bare phrase is found
     said = F.lit(0)
@@ -116,7 +133,7 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.transform(F.array(full), lambda f: F.size(f) - F.size(F.array_distinct(f)))[0].cast("bigint").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
-        F.array_join(staying, "\n").alias("stays"))
+        F.when(suspect(F.col("text"), rules), F.array_join(staying, "\n")).otherwise(F.col("text")).alias("stays"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     kept = ~failed & (100 * solid(F.col("stays")) >= rules.kept_percent * F.col("word_chars"))
     return counted.select(
@@ -127,9 +144,10 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
 def quality_sql(rules: LineRules = LineRules()) -> str:
     """The query ``op8`` in DuckDB's SQL."""
     blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    phrases = " or ".join(f"contains(lower(x), '{p}')" for p in rules.boilerplate)
+    edge = r"[^\p{L}\p{N}_]"
+    said = " + ".join(f"case when regexp_matches(low, '(^|{edge}){re.escape(p)}({edge}|$)') then {len(p.split())} else 0 end"
+                      for p in rules.boilerplate)
     words = "list_filter(string_split_regex({}, '[ \\t-\\r]+'), lambda w: w <> '')"
-    noisy = r"[#*$%&<>|=~^\[\]{}]+[ \t-\r]|[!?]{2,}[ \t-\r]"
     return f"""with d as (select row_number() over () as n, doc_id, coalesce(text, '') as t from documents),
       w as (select n, {words.format('t')} as ws, t from d),
       g as (select n, i, hash(list_slice(ws, i, i + 7)) as h, list_slice(ws, i, i + 7) as gram
@@ -139,14 +157,14 @@ def quality_sql(rules: LineRules = LineRules()) -> str:
       reps as (select n, sum(least(8, i - coalesce(before, i - 8))) as r
                from (select n, i, lag(i) over (partition by n order by i) as before from hits) group by n),
       lines as (select n, unnest(string_split(t, chr(10))) as x from d),
-      full_lines as (select n, x, {words.format('x')} as lw from lines where len({words.format('x')}) > 0),
+      full_lines as (select n, x, lower(x) as low, {words.format('x')} as lw from lines where len({words.format('x')}) > 0),
       dup as (select n, count(*) - count(distinct x) as k from full_lines group by n),
       judged as (select n, x,
           (length(x) - length(translate(x, '{rules.separators}', ''))) as marks, len(lw) as m,
-          len(regexp_extract_all(x || ' ', '{noisy}')) as noisy, ({phrases}) as phrase from full_lines),
+          len(regexp_extract_all(x || ' ', '{NOISE}')) as noisy, {said} as said from full_lines),
       good as (select n, sum(length(translate(x, {blanks}, ''))) as c from judged
                where not ((marks > 0 and marks * 100 >= m * {rules.separator_percent}) or noisy * 100 >= m * {rules.noisy_percent}
-                          or (m <= {rules.boilerplate_words} and phrase)) group by n),
+                          or (m <= {rules.boilerplate_words} and said > 0 and said * 100 >= m * {rules.boilerplate_percent})) group by n),
       s as (select d.n, doc_id, cast(len(ws) as bigint) as n_words, length(translate(d.t, {blanks}, '')) as word_chars,
                length(d.t) - length(translate(d.t, '{SYMBOLS}', '')) as n_symbols, coalesce(k, 0) as n_dup_lines,
                cast(coalesce(r, 0) as bigint) as n_repeat_words, coalesce(c, 0) as c
