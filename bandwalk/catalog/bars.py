@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from bandwalk.catalog.base import (
@@ -25,10 +26,11 @@ from bandwalk.catalog.base import (
 from bandwalk.fixtures import BAR_SECONDS_1D, BAR_SECONDS_1H, bars_1d, bars_1h
 from bandwalk.operators import backtest as bt
 from bandwalk.operators import indicators as ind
-from bandwalk.operators.replay import ReplayConfig, replay_trades
+from bandwalk.operators.replay import ReplayConfig, channel_metrics, replay_trades
 from bandwalk.operators.series import with_position
 from bandwalk.operators.signals import fill_price, signals
-from bandwalk.plans.walkforward import evaluate_strategy, final_backtest
+from bandwalk.plans.fold import Fold, fold_bars
+from bandwalk.plans.walkforward import evaluate_strategy, final_backtest, strategy_trades, strategy_with_stops
 from bandwalk.sources.candles import complete, incomplete
 
 
@@ -279,7 +281,7 @@ DIGITS = {"sharpe": 6, "fees_paid": 6, "end_equity": 6}
 def envelope_metrics(spark, sf) -> DataFrame:
     """Flagship: ATR-envelope backtest metrics per symbol on hourly candles."""
     channel = ind.atr_envelope(hourly(spark, sf), 10, 5, 1.0)
-    return rounded(bt.backtest(channel, BAR_SECONDS_1H), **DIGITS)
+    return rounded(channel_metrics(channel, BAR_SECONDS_1H), **DIGITS)
 
 
 query(
@@ -400,7 +402,7 @@ def _(spark, sf):
 @query("metrics_blocked", sql_of("metrics"))
 def _(spark, sf):
     channel = ind.atr_envelope(hourly_blocked(spark, sf), 10, 5, 1.0, block_bars=BLOCK)
-    return rounded(bt.backtest(channel, BAR_SECONDS_1H, block_bars=BLOCK), **DIGITS)
+    return rounded(channel_metrics(channel, BAR_SECONDS_1H, SMALL_BLOCKS), **DIGITS)
 
 
 @query("equity_curve_blocked", sql_of("equity_curve"))
@@ -447,6 +449,112 @@ def _(spark, sf):
     return rounded(out, **DIGITS)
 
 
+# ---- user strategies with stops, and folds of the user's own --------------------------
+
+USER_STOPS = (None, 0.01, 0.002)
+USER_WALK = walk("stopped", ["symbol", "combo_id"], 0.3)
+USER_BARS = [
+    *envelope(BARS_1H, 15, 8, 0.4),
+    ("stopped", "select ch.*, cast(s.i as int) as combo_id, s.sl from ch cross join (values "
+                "(0, cast(null as double)), (1, cast(0.01 as double)), (2, cast(0.002 as double))) s(i, sl)"),
+]
+TOUCH = {"ma_window": 15, "atr_window": 8, "atr_mult": 0.4}
+
+
+@query("user_strategy_stop", ctes(*USER_BARS, *USER_WALK, recursive=True) + walk_metrics(["symbol", "combo_id"], BAR_SECONDS_1H))
+def _(spark, sf):
+    return rounded(strategy_with_stops(bars_1h(spark, sf), touch_strategy, TOUCH, USER_STOPS, BAR_SECONDS_1H), **DIGITS)
+
+
+@query("user_strategy_stop_blocked", sql_of("user_strategy_stop"))
+def _(spark, sf):
+    return rounded(strategy_with_stops(bars_1h(spark, sf), touch_strategy, TOUCH, USER_STOPS, BAR_SECONDS_1H, cfg=SMALL_BLOCKS), **DIGITS)
+
+
+@query(
+    "user_strategy_trades",
+    ctes(*USER_BARS, *USER_WALK, ("closed", "select * from bars_walked where gone"), recursive=True)
+    + """select c.symbol, c.combo_id, c.was as side, e.ts as entry_ts, round(c.p_was, 8) as entry_px, x.ts as exit_ts,
+         round(c.p_out, 8) as exit_px, case when hit then 'stop' else 'signal' end as reason, round(c.ret, 8) as ret
+         from closed c join ix e on e.symbol = c.symbol and e.pos = c.was_pos join ix x on x.symbol = c.symbol and x.pos = c.pos""",
+)
+def _(spark, sf):
+    out = strategy_trades(bars_1h(spark, sf), touch_strategy, TOUCH, USER_STOPS, BAR_SECONDS_1H, cfg=SMALL_BLOCKS)
+    return rounded(out.filter("not is_open").drop("is_open"))
+
+
+def rising_step(state: dict, bars) -> dict:
+    """Longest run of rising closes, and the runs at both ends so that stretches can be merged."""
+    close = bars.column("close").to_numpy()
+    stretch = {"n": len(close), "first": float(close[0]), "last": float(close[-1])}
+    rises = np.concatenate([[False], close[1:] > close[:-1]])
+    falls = np.flatnonzero(~rises)
+    runs = np.diff(np.append(falls, len(close)))  # bars from each bar that does not rise to the next
+    return rising_merge(state, stretch | {"head": int(runs[0]), "tail": int(runs[-1]), "best": int(runs.max())})
+
+
+def rising_merge(a: dict, b: dict) -> dict:
+    if not a["n"] or not b["n"]:
+        return a if a["n"] else b
+    joins = b["first"] > a["last"]
+    return {
+        "n": a["n"] + b["n"], "first": a["first"], "last": b["last"],
+        "head": a["n"] + b["head"] if joins and a["head"] == a["n"] else a["head"],
+        "tail": b["n"] + a["tail"] if joins and b["tail"] == b["n"] else b["tail"],
+        "best": max(a["best"], b["best"], a["tail"] + b["head"] if joins else 0),
+    }
+
+
+RISING = Fold(
+    "n bigint, first double, last double, head bigint, tail bigint, best bigint",
+    lambda: {"n": 0, "first": None, "last": None, "head": 0, "tail": 0, "best": 0}, rising_step, rising_merge,
+)
+
+
+@query(
+    "user_fold",
+    ctes(*indexed(BARS_1H),
+         ("moves", "select *, close > lag(close) over (partition by symbol order by pos) as rises from ix"),
+         ("runs", "select symbol, pos, sum(case when coalesce(rises, false) then 0 else 1 end) over (partition by symbol order by pos) as run from moves"),
+         ("lengths", "select symbol, run, count(*) as n from runs group by symbol, run"))
+    + "select symbol, cast(sum(n) as bigint) as bars, cast(max(n) as bigint) as longest_rise from lengths group by symbol",
+)
+def _(spark, sf):
+    out = fold_bars(hourly_blocked(spark, sf), RISING, ["close"], block_bars=BLOCK)
+    return out.select("symbol", F.col("n").alias("bars"), F.col("best").alias("longest_rise"))
+
+
+def anchor_step(state: dict, bars) -> dict:
+    """A close one percent away from the anchor becomes the anchor; the first close is the first one."""
+    close, at = bars.column("close").to_numpy(), 0
+    anchor, moves = state["anchor"], state["moves"]
+    if anchor is None:
+        anchor, at = float(close[0]), 1
+    while at < len(close):
+        far = np.abs(close[at:] - anchor) >= 0.01 * anchor
+        if not far.any():
+            break
+        at += int(far.argmax())
+        anchor, moves, at = float(close[at]), moves + 1, at + 1
+    return {"anchor": anchor, "moves": moves}
+
+
+ANCHORED = Fold("anchor double, moves bigint", lambda: {"anchor": None, "moves": 0}, anchor_step)
+
+
+@query(
+    "user_fold_ordered",
+    ctes(*indexed(BARS_1H),
+         ("steps", """select symbol, pos, close as anchor, cast(0 as bigint) as moves from ix where pos = 0 union all
+           select s.symbol, i.pos, case when abs(i.close - s.anchor) >= 0.01 * s.anchor then i.close else s.anchor end,
+                  s.moves + case when abs(i.close - s.anchor) >= 0.01 * s.anchor then 1 else 0 end
+           from steps s join ix i on i.symbol = s.symbol and i.pos = s.pos + 1"""), recursive=True)
+    + "select symbol, round(arg_max(anchor, pos), 8) as anchor, max(moves) as moves from steps group by symbol",
+)
+def _(spark, sf):
+    return rounded(fold_bars(hourly(spark, sf), ANCHORED, ["close"]))
+
+
 # ---- missing prices -----------------------------------------------------------------
 
 HOLED = f"""select symbol, ts, open, high, low, case when cast(volume as bigint) % 2 = 0 then null else close end as close, volume

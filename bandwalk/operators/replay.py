@@ -36,11 +36,13 @@ from bandwalk.operators.series import (
     overlapping_blocks,
     seeded_weight,
 )
-from bandwalk.operators.walk import Bars, Steps, Walkers, flags_of, transitions, walk
+from bandwalk.operators.signals import fill_price, signals
+from bandwalk.operators.walk import Bars, Steps, Walkers, flags_of, given_flags, transitions, walk
 from bandwalk.session import settled, wide
 
 MERGE_BLOCKS = 4_096  # block summaries folded at a time
 PARAMS = ("ma_window", "atr_window", "atr_mult", "sl_stop")
+FLAGGED = ("long_entry", "long_exit", "short_entry", "short_exit", "px")
 
 
 @dataclass(frozen=True)
@@ -175,13 +177,17 @@ MARK_CELLS = 1 << 18  # bars x combinations whose equity is held together
 
 
 def _banded(bars: pd.DataFrame, work: pd.DataFrame, cfg: ReplayConfig):
-    """(bars, first own bar, slices): slices of combinations with the (mid, width) lines of their bands.
+    """(bars, first own bar, its position, slices): the combinations of ``work`` with the signals of their bands.
 
-    Combinations that differ only in the stop share a band. A slice is (rows of ``work``, band
-    of each, mid, width).
+    A slice is (rows of ``work``, band of each, function of the first bar to the signals from it on).
+    Combinations that differ only in the stop share a band. Bars that carry their own flags have one.
     """
     own = int(work["blk"].iloc[0]) * cfg.block_bars
     start = max(0, own - cfg.lead)
+    if FLAGGED[0] in bars.columns:
+        given = [bars[c].to_numpy()[:, None] for c in FLAGGED]
+        every = np.arange(len(work)), np.zeros(len(work), np.int64), lambda a: given_flags(*(x[a:] for x in given))
+        return Bars(*(bars[c].to_numpy() for c in ("open", "high", "low", "close"))), own - start, start, [every]
     (mids, mi), (atrs, ai), skip = _lagged_bank(bars, work, start, cfg)
     walked = Bars(*(bars[c].to_numpy()[skip:] for c in ("open", "high", "low", "close")))
     bands, band = np.unique(
@@ -195,8 +201,8 @@ def _banded(bars: pd.DataFrame, work: pd.DataFrame, cfg: ReplayConfig):
         for low in range(0, len(bands), step):
             part = bands[low : low + step]
             rows = order[slice(*np.searchsorted(band[order], [low, low + step]))]
-            width = part[:, 2] * atrs[:, part[:, 1].astype(int)]
-            yield rows, band[rows] - low, mids[:, part[:, 0].astype(int)], width
+            mid, width = mids[:, part[:, 0].astype(int)], part[:, 2] * atrs[:, part[:, 1].astype(int)]
+            yield rows, band[rows] - low, lambda a, m=mid, w=width: flags_of(m[a:], w[a:], walked.high[a:], walked.low[a:])
 
     return walked, own - start, start, slices()
 
@@ -209,8 +215,8 @@ def replay_block(
     walked, first, start, slices = _banded(bars, work, cfg)
     seeded = bool(work["seeded"].iloc[0])
     parts = []
-    for rows, band, mid, width in slices:
-        flags = flags_of(mid, width, walked.high, walked.low)
+    for rows, band, flags_from in slices:
+        flags = flags_from(0)
         n, mine = len(rows), work.iloc[rows]
         side, px, pos = np.zeros(n, np.int64), np.ones(n), np.zeros(n, np.int64)
         exact = np.full(n, start == 0 or seeded)
@@ -476,8 +482,8 @@ def block_transitions(blocks: DataFrame, work: DataFrame, keys: list[str], cfg:
         walked, first, start, slices = _banded(left, right, cfg)
         own = Bars(*(x[first:] for x in (walked.open, walked.high, walked.low, walked.close)))
         parts = []
-        for rows, band, mid, width in slices:
-            flags = flags_of(mid[first:], width[first:], own.high, own.low)
+        for rows, band, flags_from in slices:
+            flags = flags_from(first)
             some = right.iloc[rows][["combo_id", "sl_stop"]].reset_index(drop=True)
             made = transitions(own, flags, band, some["sl_stop"].to_numpy(dtype=float), start + first)
             parts.append(some.assign(**{name: [m[i] for m in made] for i, name in enumerate(("flat", "longs", "shorts"))}))
@@ -568,6 +574,51 @@ def _resolve(blocks, work, done, keys: list[str], cfg: ReplayConfig, log: bool)
     return done.filter("resolved").unionByName(_replay(blocks, ready, keys, cfg, log, n))
 
 
+def flagged_blocks(
+    flagged: DataFrame, stops: Sequence[float | None] = (None,), cfg: ReplayConfig = ReplayConfig(),
+    keys: Sequence[str] = KEYS, log: bool = False,
+) -> DataFrame:
+    """Block summaries (key, blk, combo_id, ...) of any strategy's flags, one per stop (``combo_id`` is its place).
+
+    ``flagged``: ``pos``, ``len``, prices, the four flags and ``px`` per bar; a null flag is false. Bars are
+    shuffled once. Entries of the other leg close and turn a position (see ``walk.given_flags``). An
+    empty frame gives no rows.
+    """
+    keys, spark = list(keys), flagged.sparkSession
+    cfg = replace(cfg, ma_kind="none", atr_kind="none")
+    columns = [*keys, "pos", "len", "open", "high", "low", "close", *(F.coalesce(c, F.lit(False)).alias(c) for c in FLAGGED[:4]), "px"]
+    narrow = flagged.select(*columns)
+    named = T.StructType([narrow.schema[k] for k in keys] + [T.StructField("blk", T.LongType()), T.StructField("combo_id", T.IntegerType())]
+                         + STATE + SUMMARY + ([T.StructField("log", TRADES)] if log else []))
+    names = named.fieldNames()
+
+    def run(key, bars):
+        work = pd.DataFrame({"combo_id": range(len(stops)), "sl_stop": np.array(stops, float), "blk": key[-1], "seeded": False})
+        out = replay_block(bars, work, cfg, log)
+        for name, value in zip((*keys, "blk"), key):
+            out[name] = value
+        return out[names]
+
+    def cut(frame: DataFrame) -> DataFrame:
+        return overlapping_blocks(frame, cfg.lead, cfg.block_bars).drop("own")
+
+    done = settled(cut(narrow).groupBy(*keys, "blk").applyInPandas(run, named))
+    pending = done.filter(~F.col("resolved"))
+    if pending.isEmpty():
+        return done
+    level = F.element_at(F.array(*[F.lit(s).cast("double") for s in stops]), F.col("combo_id") + 1)
+    work = pending.select(*keys, "blk", F.lit(0).alias("bucket"), "combo_id", level.alias("sl_stop"))
+    return _resolve(cut(settled(narrow)), work, done.withColumn("bucket", F.lit(0)), keys, cfg, log)
+
+
+def flagged_metrics(
+    flagged: DataFrame, bar_seconds: int | Column, stops: Sequence[float | None] = (None,), cfg: ReplayConfig = ReplayConfig(),
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Metrics of a strategy's flags for every stop."""
+    return merge_blocks(flagged_blocks(flagged, stops, cfg, keys), bar_seconds, cfg, keys)
+
+
 MERGED = tuple(f.name for f in SUMMARY)
 
 
@@ -632,6 +683,13 @@ def merge_blocks(
     )
 
 
+def channel_metrics(
+    channel: DataFrame, bar_seconds: int | Column, cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Metrics of a channel's touches without a stop: one summary per block of bars, merged."""
+    return flagged_metrics(fill_price(signals(channel)), bar_seconds, cfg=cfg, keys=keys).drop("combo_id")
+
+
 def replay_metrics(
     series: DataFrame, params: DataFrame, bar_seconds: int | Column, cfg: ReplayConfig = ReplayConfig(),
     keys: Sequence[str] = KEYS,
@@ -645,12 +703,13 @@ def replay_trades(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """One row per trade of every combination, stops included; needs ``ts`` in ``series``."""
+    return logged_trades(replay_blocks(series, params, cfg, keys, log=True), series, keys)
+
+
+def logged_trades(blocks: DataFrame, series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The trades in the logs of block summaries, with the times of their bars."""
     keys = list(keys)
-    made = (
-        replay_blocks(series, params, cfg, keys, log=True)
-        .select(*keys, "combo_id", F.explode("log").alias("t"))
-        .select(*keys, "combo_id", "t.*")
-    )
+    made = blocks.select(*keys, "combo_id", F.explode("log").alias("t")).select(*keys, "combo_id", "t.*")
     stamps = series.select(*keys, "pos", "ts")
     return (
         made.join(stamps.withColumnsRenamed({"pos": "entry_pos", "ts": "entry_ts"}), [*keys, "entry_pos"])

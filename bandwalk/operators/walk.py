@@ -64,14 +64,23 @@ def flags_of(mid: np.ndarray, width: np.ndarray, high: np.ndarray, low: np.ndarr
     lower, upper = mid - width, mid + width
     high, low = high[:, None], low[:, None]
     le, lx, se, sx = low <= lower, high >= mid, high >= upper, low <= mid
-    free = ~(le & se)  # both entries at once change nothing
-    open_l, close_l = le & ~lx & free, lx & ~le & free
-    open_s, close_s = se & ~sx & free, sx & ~se & free
+    px = np.where(se, upper, np.where(le, lower, mid))
+    flags = given_flags(le, lx, se, sx, px)
+    return flags._replace(shut=flags.shut & ~np.isnan(mid + width))
+
+
+def given_flags(le: np.ndarray, lx: np.ndarray, se: np.ndarray, sx: np.ndarray, px: np.ndarray) -> Flags:
+    """Signals from entry and exit flags of both legs, each (bar, band).
+
+    Both entries at once change nothing, nor do entry and exit of one leg; an entry of the other
+    leg closes a position and turns it.
+    """
+    free = ~(le & se)
+    open_l, open_s = le & ~lx & free, se & ~sx & free
+    close_l, close_s = (lx & ~le & free) | open_s, (sx & ~se & free) | open_l
     return Flags(
         np.where(open_l, 1, np.where(open_s, -1, 0)).astype(np.int8), _next(open_l | open_s),
-        np.stack([_next(close_l), _next(close_s)]),
-        close_l & close_s & ~np.isnan(mid + width),
-        np.where(se, upper, np.where(le, lower, mid)),
+        np.stack([_next(close_l), _next(close_s)]), close_l & close_s, px,
     )
 
 

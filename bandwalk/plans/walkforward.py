@@ -13,7 +13,7 @@ from bandwalk.defaults import BLOCK_BARS, DEFAULTS, Defaults
 from bandwalk.functions.scalars import composite_score, tf_seconds
 from bandwalk.operators.backtest import equity_curve, metrics, positions
 from bandwalk.operators.params import RESEARCH_SPACE, Axis, param_sample
-from bandwalk.operators.replay import PARAMS, ReplayConfig, replay_metrics
+from bandwalk.operators.replay import PARAMS, ReplayConfig, flagged_blocks, flagged_metrics, logged_trades, replay_metrics
 from bandwalk.operators.series import KEYS, with_position
 from bandwalk.operators.clusters import (
     cluster_centre,
@@ -135,7 +135,7 @@ def evaluate_strategy(
     size: float = DEFAULTS.size, fees: float = DEFAULTS.fees, keys: Sequence[str] = KEYS,
     block_bars: int = BLOCK_BARS,
 ) -> DataFrame:
-    """Metrics of a user strategy.
+    """Metrics of a user strategy without a stop.
 
     ``strategy(series, **params)`` returns the series with the four flags and ``px`` as
     column expressions; everything after that is shared.
@@ -147,6 +147,35 @@ def evaluate_strategy(
     )
 
 
+def strategy_with_stops(
+    bars: DataFrame, strategy: Callable[..., DataFrame], params: dict, stops: Sequence[float | None], bar_seconds: int | Column,
+    n: int | None = None, cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS,
+) -> DataFrame:
+    """Metrics of a user strategy for every stop (``combo_id`` is its place in ``stops``, None is no stop).
+
+    ``strategy`` is as in ``evaluate_strategy``, and with ``n`` windows as in ``strategy_grid``: it is
+    computed once, and all stops walk over the same flags.
+    """
+    keys = list(keys)
+    series = with_position(bars, bar_seconds, keys, block_bars)
+    if n is not None:
+        series = settled(series)
+        segments = rolling_split(series_bounds(series, keys), n, keys=keys)
+        series = settled(assign_segments(series, segments, keys, block_bars))
+        keys += ["split", "set_name"]
+        params = params | {"keys": keys}
+    return flagged_metrics(strategy(series, **params), bar_seconds, stops, cfg, keys)
+
+
+def strategy_trades(
+    bars: DataFrame, strategy: Callable[..., DataFrame], params: dict, stops: Sequence[float | None], bar_seconds: int | Column,
+    cfg: ReplayConfig = ReplayConfig(), keys: Sequence[str] = KEYS, block_bars: int = BLOCK_BARS,
+) -> DataFrame:
+    """One row per trade of a user strategy and stop."""
+    series = settled(with_position(bars, bar_seconds, keys, block_bars))
+    return logged_trades(flagged_blocks(strategy(series, **params), stops, cfg, keys, log=True), series, keys)
+
+
 def strategy_grid(
     bars: DataFrame, strategy: Callable[..., DataFrame], param_sets: Sequence[dict], bar_seconds: int | Column,
     n: int | None = DEFAULTS.n_windows, size: float = DEFAULTS.size, fees: float = DEFAULTS.fees,
