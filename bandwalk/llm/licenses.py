@@ -160,17 +160,13 @@ class Rulebook:
         return {normal(text): name for name, text in self.sentences}
 
     def missing_stems(self) -> list[str]:
-        return [name for name, text in self.sentences if not any(s in spaced(text) for s in self.stems)]
+        return [name for name, text in self.sentences if not any(s in normal(text) for s in self.stems)]
 
 
 def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", _lower(sentence)).strip()
 
 
-def spaced(text: str) -> str:
-    return re.sub("[ \t-\r]+", " ", _lower(text))
-
-
 def _lower(text: str) -> str:
     return text.translate({c: c + 32 for c in range(65, 91)})
 
@@ -194,13 +190,15 @@ def license_scan(docs: DataFrame, book: Rulebook = Rulebook(), id_col: str = "do
     that are not known do not separate a sequence.
 
     Everything happens in one pass within the row, without a shuffle. Null and empty texts
-    have no sentences; ids may be null or repeated; other columns are ignored.
+    have no sentences, long ones are read whole, an empty table gives no rows; ids may be null
+    or repeated; other columns are ignored.
     """
     if book.missing_stems():
         raise ValueError(f"sentences without a stem: {book.missing_stems()}")
     known = book.known()
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
-    stem = "|".join(re.escape(s).replace("\\ ", "[ \\t-\\r]+") for s in book.stems)
+    # as sentences are compared: whatever is no letter or digit may stand between the words of a stem
+    stem = "|".join("[^a-z0-9]+".join(map(re.escape, normal(s).split())) for s in book.stems)
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     ruled = F.array(*[F.struct(F.lit("".join(f"<{s}>" for s in ids)).alias("pattern"), F.lit(lic).alias("license"))
                       for lic, ids in book.rules])

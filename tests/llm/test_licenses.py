@@ -3,9 +3,11 @@
 import re
 import textwrap
 
+import duckdb
 import pytest
+from hypothesis import given, settings, strategies as st
 
-from bandwalk.llm.licenses import ENDS, RULES, SENTENCES, Rulebook, license_scan
+from bandwalk.llm.licenses import ENDS, RULES, SENTENCES, Rulebook, license_scan, scan_sql
 
 BY_NAME = dict(SENTENCES)
 
@@ -59,3 +61,34 @@ def test_rows_stay(spark):
     docs = spark.createDataFrame([(None, "MIT License"), (1, "MIT License"), (1, "MIT License")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.licenses) for r in license_scan(docs).collect()) == [(False, ["MIT"])] * 2 + [(True, ["MIT"])]
     assert license_scan(docs.limit(0)).count() == 0
+
+
+def by_sql(texts):
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    return {i: (n, licenses, left) for i, n, licenses, left in con.execute(
+        f"select doc_id, n_sentences, licenses, n_unmatched from ({scan_sql()})").fetchall()}
+
+
+def agree(spark, texts):
+    got = {i: (len(r.sentences.lines), ",".join(r.licenses), len(r.unmatched)) for i, r in scan(spark, texts).items()}
+    assert got == by_sql(texts)  # the SQL has no prefilter
+    return got
+
+
+def test_words_of_a_stem_may_be_parted_by_any_mark(spark):
+    got = agree(spark, ["# This is free and unencumbered software released into the public\n# domain.", "All rights-reserved.",
+                        "ALL RIGHTS\t--\tRESERVED", "all rightsreserved."])
+    assert [got[i][1] for i in range(4)] == ["Unlicense", "LicenseRef-all-rights-reserved", "LicenseRef-all-rights-reserved", ""]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(SENTENCES), st.sampled_from([" ", "\n", "\n# ", "-", " * ", "\t", "\n// "]), st.integers(1, 5)),
+                min_size=20, max_size=40))
+def test_prefilter_never_changes_the_answer(spark, picks):
+    texts = []
+    for (_, sentence), mark, every in picks:
+        words = sentence.split(" ")
+        texts.append("".join(w + (mark if n % every == 0 else " ") for n, w in enumerate(words, 1)))
+    agree(spark, texts)
