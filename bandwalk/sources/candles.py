@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from bandwalk.defaults import DEFAULTS
 from bandwalk.functions.scalars import tf_seconds
 from bandwalk.operators.series import PRICES
+from bandwalk.sources import snapshots
 
 PAIR = ("exchange", "tf", "symbol")
 
@@ -103,6 +104,9 @@ def read_candle_files(
 
 
 PERIOD = "period"  # calendar month, so an update rewrites months and not histories
+STORED = T.StructType(
+    [T.StructField(k, T.StringType()) for k in PAIR] + CANDLES.fields + [T.StructField(PERIOD, T.IntegerType())]
+)
 
 
 def with_period(candles: DataFrame) -> DataFrame:
@@ -111,16 +115,9 @@ def with_period(candles: DataFrame) -> DataFrame:
 
 
 def write_candles(candles: DataFrame, path: str) -> None:
-    """Store candles as Parquet by pair and month; only touched months are replaced."""
-    (
-        with_period(candles.select(*PAIR, *CANDLES.fieldNames()))
-        .repartition(*PAIR, PERIOD)
-        .sortWithinPartitions(*PAIR, PERIOD, "date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PAIR, PERIOD)
-        .parquet(path)
-    )
+    """Store candles by pair and month as a new version; months that are not touched stay as they are."""
+    rows = with_period(candles.select(*PAIR, *CANDLES.fieldNames()))
+    snapshots.commit(rows, path, [*PAIR, PERIOD], "date")
 
 
 def read_candles(
@@ -128,16 +125,9 @@ def read_candles(
     tfs: Sequence[str] | None = None, symbols: Sequence[str] | None = None,
     keep_period: bool = False,
 ) -> DataFrame:
-    """Stored candles; the filters prune partitions."""
-    schema = T.StructType(
-        CANDLES.fields
-        + [T.StructField(k, T.StringType()) for k in PAIR]
-        + [T.StructField(PERIOD, T.IntegerType())]
-    )
-    df = spark.read.schema(schema).parquet(path)
-    for name, wanted in zip(PAIR, (exchanges, tfs, symbols)):
-        if wanted is not None:
-            df = df.filter(F.col(name).isin(list(wanted)))
+    """Candles of the store's last version, none if it has no version; the filters prune partitions."""
+    wanted = [F.col(name).isin(list(names)) for name, names in zip(PAIR, (exchanges, tfs, symbols)) if names is not None]
+    df = snapshots.read(spark, path, STORED, [*PAIR, PERIOD], *wanted)
     extra = [PERIOD] if keep_period else []
     return with_ts(df).select(*PAIR, *CANDLES.fieldNames(), "ts", *extra)
 
@@ -175,11 +165,12 @@ def upsert_candles(
 ) -> DataFrame:
     """One row per (key, date). Stored rows win over new ones unless ``latest_wins``.
 
-    Among new rows the first (last) arrival wins. ``min_by`` combines map-side, so a
-    candle repeated many times costs one row per task, not a sorted group.
+    Among new rows the first (last) by the column ``arrival`` wins. Without one they have no order of
+    their own, so the smallest (largest) values win and a rerun gives the same rows. ``min_by``
+    combines map-side, so a candle repeated many times costs one row per task, not a sorted group.
     """
     def tagged(df: DataFrame, source: int) -> DataFrame:
-        seq = F.col(arrival) if arrival and arrival in df.columns else F.monotonically_increasing_id()
+        seq = F.col(arrival) if arrival and arrival in df.columns else F.lit(0)
         return df.withColumns({"_src": F.lit(source), "_seq": seq.cast("bigint")})
 
     both = tagged(existing, 0).unionByName(tagged(fresh, 1), allowMissingColumns=True)
@@ -187,7 +178,7 @@ def upsert_candles(
     pick = F.max_by if latest_wins else F.min_by
     return (
         both.groupBy(*keys, "date")
-        .agg(pick(F.struct(*values), F.struct("_src", "_seq")).alias("_v"))
+        .agg(pick(F.struct(*values), F.struct("_src", "_seq", *values)).alias("_v"))
         .select(*keys, "date", "_v.*")
     )
 

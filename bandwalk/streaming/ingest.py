@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,9 +44,10 @@ def deduplicated(stream: DataFrame, delay: str, keys: Sequence[str] = PAIR) -> D
 
 
 def upsert_batch(store: str, latest_wins: bool = False) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: merge a batch into the touched pairs of the store.
+    """``foreachBatch`` writer: merge a batch into the touched months of the store.
 
-    Replaying a batch gives the same store, so a restart after a failure is safe.
+    A batch becomes one version of the store (``sources.snapshots``). A driver lost before that leaves
+    the version before; the replayed batch starts from it, or changes nothing if it was there already.
     """
 
     def write(batch: DataFrame, _epoch: int) -> None:
@@ -55,20 +55,11 @@ def upsert_batch(store: str, latest_wins: bool = False) -> Callable[[DataFrame,
         fresh = settled(batch.drop("ts"))
         if fresh.isEmpty():
             return
-        try:
-            kept = read_candles(spark, store, keep_period=True)
-        except AnalysisException as error:  # the first batch finds no store
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = fresh.limit(0)
-        else:
-            # Month partitions the batch does not touch are neither read nor rewritten.
-            month = [*PAIR, PERIOD]
-            touched = with_period(fresh).select(*[F.col(k).alias(k) for k in month]).distinct()
-            stored = kept.join(touched, month, "left_semi").drop("ts", PERIOD)
-        merged = upsert_candles(stored, fresh, latest_wins)
-        # The store is read and overwritten, so the merge is written aside first.
-        write_candles(settled(merged), store)
+        # Months that the batch does not touch are neither read nor rewritten.
+        month = [*PAIR, PERIOD]
+        touched = with_period(fresh).select(*[F.col(k).alias(k) for k in month]).distinct()
+        stored = read_candles(spark, store, keep_period=True).join(touched, month, "left_semi").drop("ts", PERIOD)
+        write_candles(upsert_candles(stored, fresh, latest_wins), store)
 
     return write
 
