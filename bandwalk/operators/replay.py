@@ -41,6 +41,7 @@ from bandwalk.operators.walk import Bars, Steps, Walkers, flags_of, given_flags,
 from bandwalk.session import settled, wide
 
 MERGE_BLOCKS = 4_096  # block summaries folded at a time
+MOST_COMBOS = 100_000  # combinations sent to the tasks (a few MB); longer lists travel as rows
 PARAMS = ("ma_window", "atr_window", "atr_mult", "sl_stop")
 FLAGGED = ("long_entry", "long_exit", "short_entry", "short_exit", "px")
 
@@ -145,6 +146,38 @@ def carry_table(
     )
 
 
+def wide_carries(series: DataFrame, windows: dict[str, list[int]], cfg: ReplayConfig, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(key, blk >= 1, ma, atr): the state of each window's recursive mean before the block's run-up, one array per kind.
+
+    As ``carry_table``, with one column per window instead of one row per bar and window.
+    """
+    keys = list(keys)
+    cell = F.floor((F.col("pos") + cfg.lead) / cfg.block_bars)
+    last = F.least((cell + 1) * cfg.block_bars - cfg.lead, F.col("len")) - 1
+    order = Window.partitionBy(*keys, "blk").orderBy("pos")
+    ranged = (
+        overlapping_blocks(series.filter(F.col("len") > cfg.block_bars), 1, cfg.block_bars)
+        .withColumn("tr", true_range_of(order))
+        .filter("own")
+        .withColumns({"_cell": cell, "_last": last})
+    )
+    alphas = {"ma": lambda n: 2.0 / (n + 1), "atr": lambda n: 1.0 / n}
+    source = {"ma": "close", "atr": "tr"}
+    columns = [(f"_{kind}_{n}", alphas[kind](n), source[kind]) for kind in windows for n in windows[kind]]
+    sums = ranged.groupBy(*keys, "_cell").agg(
+        *[F.sum(seeded_weight(F.lit(alpha), F.col("pos"), F.col("_last")) * F.col(x)).alias(name) for name, alpha, x in columns])
+    reach = blocks_until_vanished(1.0 / cfg.max_window, cfg.block_bars)
+    past = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(-(reach - 1), 0)
+
+    def carry(name: str, alpha: float) -> Column:
+        decay = (1 - alpha) ** cfg.block_bars
+        return F.aggregate(F.collect_list(name).over(past), F.lit(0.0), lambda acc, x: acc * decay + x).alias(name)
+
+    carried = sums.select(*keys, (F.col("_cell") + 1).cast("long").alias("blk"), *[carry(name, alpha) for name, alpha, _ in columns])
+    return carried.select(*keys, "blk", *[
+        F.array(*[F.col(f"_{kind}_{n}") for n in windows.get(kind, [])]).cast("array<double>").alias(kind) for kind in ("ma", "atr")])
+
+
 def _lagged_bank(bars: pd.DataFrame, work: pd.DataFrame, start: int, cfg: ReplayConfig):
     """Mid and ATR known before each bar, one row per distinct window."""
     close = bars["close"].to_numpy()
@@ -392,6 +425,70 @@ def _replay(
     )
 
 
+def _replay_listed(
+    series: DataFrame, params: DataFrame, combos: pd.DataFrame, cfg: ReplayConfig, keys: list[str], log: bool
+) -> DataFrame:
+    """Block summaries where every series has the same combinations: what moves is bars and one carry row per block."""
+    combos = combos.sort_values("combo_id", ignore_index=True)
+    cfg = replace(cfg, max_window=max(cfg.max_window, 1, *(int(combos[c].max()) for c in ("ma_window", "atr_window") if len(combos))))
+    recursive = {"ma": ("ma_window", cfg.ma_kind == "ema"), "atr": ("atr_window", cfg.atr_kind == "wilder")}
+    windows = {kind: sorted({int(x) for x in combos[column]}) for kind, (column, used) in recursive.items() if used}
+    series = series.select(*keys, "pos", "len", "open", "high", "low", "close")
+    blocks = overlapping_blocks(series, cfg.lead + 1, cfg.block_bars).drop("own")
+    lengths = series.groupBy(*keys).agg(F.max("len").alias("len"))
+    longest, n_blocks = lengths.agg(F.max("len"), F.sum(F.ceil(F.col("len") / cfg.block_bars))).first()
+    buckets = max(1, -(-len(combos) // cfg.combos_per_task))
+    n = partitions(series.sparkSession, int(n_blocks or 0) * buckets)
+    group = [*keys, "blk", "bucket"]
+    schema = T.StructType(
+        [series.schema[k] for k in keys]
+        + [T.StructField("blk", T.LongType()), T.StructField("bucket", T.IntegerType()), params.schema["combo_id"]]
+        + STATE + SUMMARY + ([T.StructField("log", TRADES)] if log else []))
+    names = schema.fieldNames()
+
+    def done_of(key, bars, carries):
+        low = key[-1] * cfg.combos_per_task
+        work = combos.iloc[low : low + cfg.combos_per_task].assign(blk=key[-2], seeded=False, carry_ma=np.nan, carry_atr=np.nan)
+        if len(carries):
+            for kind, of in windows.items():
+                at = np.searchsorted(of, work[recursive[kind][0]].to_numpy())
+                work[f"carry_{kind}"] = np.asarray(carries[kind].iloc[0], float)[at]
+        out = replay_block(bars, work, cfg, log)
+        for name, value in zip(group, key):
+            out[name] = value
+        return out[names]
+
+    def spread(frame: DataFrame) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))) if buckets > 1 else F.lit(0)
+        return frame.withColumn("bucket", every).repartition(n, *group)
+
+    carries = None
+    if windows and (longest or 0) > cfg.block_bars:
+        carries = settled(wide_carries(series, windows, cfg, keys))
+
+        def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            return done_of(key, left, right) if len(left) else pd.DataFrame({f: pd.Series(dtype="object") for f in names})
+
+        made = spread(blocks).groupBy(*group).cogroup(spread(carries).groupBy(*group)).applyInPandas(run, schema)
+    else:
+        made = spread(blocks).groupBy(*group).applyInPandas(lambda key, bars: done_of(key, bars, ()), schema)
+    done = settled(made)
+    pending = done.filter(~F.col("resolved"))
+    if pending.isEmpty():
+        return done
+    work = pending.select(*keys, "blk", "bucket", "combo_id").join(params.select("combo_id", *PARAMS), "combo_id")
+    if carries is not None:
+        work = work.join(carries, [*keys, "blk"], "left")
+    for kind, (column, _) in recursive.items():
+        if kind in windows and carries is not None:
+            place = F.array_position(F.array(*[F.lit(w) for w in windows[kind]]), F.col(column).cast("int"))
+            value = F.get(F.col(kind), (place - 1).cast("int"))
+        else:
+            value = F.lit(None).cast("double")
+        work = work.withColumn(f"carry_{kind}", value)
+    return _resolve(blocks, work, done, keys, cfg, log)
+
+
 def replay_blocks(
     series: DataFrame, params: DataFrame, cfg: ReplayConfig = ReplayConfig(),
     keys: Sequence[str] = KEYS, log: bool = False,
@@ -403,6 +500,11 @@ def replay_blocks(
     four parameters, plus any of the key columns when combinations differ per key.
     """
     keys = list(keys)
+    if not any(k in params.columns for k in keys):
+        # one list of combinations for all series, sent to the tasks if it is small
+        sent = params.select("combo_id", *PARAMS).limit(MOST_COMBOS + 1).toPandas()
+        if 0 < len(sent) <= MOST_COMBOS:
+            return _replay_listed(series, params, sent, cfg, keys, log)
     longest = params.agg(F.max(F.greatest("ma_window", "atr_window"))).first()[0] or 1
     cfg = replace(cfg, max_window=max(cfg.max_window, int(longest)))
     shared = [k for k in keys if k in params.columns]

@@ -49,23 +49,22 @@ def plain(rows: pd.DataFrame, sl, size=0.3, fees=0.001):
     return eq - 1, opened, trades
 
 
-@pytest.mark.parametrize("share", [0.03, 0.3])
-def test_flags_with_stops_equal_a_plain_loop(spark, share):
+@pytest.mark.parametrize("share, cfg", [(0.03, ReplayConfig()), (0.03, ReplayConfig(block_bars=16, runup=3)), (0.3, ReplayConfig(block_bars=9, runup=0))])
+def test_flags_with_stops_equal_a_plain_loop(spark, share, cfg):
     parts = [random_flags(random_bars(s, n, k), k, share) for k, (s, n) in enumerate((("a", 260), ("b", 61), ("c", 1)))]
     frame = spark.createDataFrame(pd.concat(parts).drop(columns=["ts"]))
-    for cfg in (ReplayConfig(), ReplayConfig(block_bars=16, runup=3), ReplayConfig(block_bars=7, runup=0)):
-        got = {(r.symbol, r.combo_id): r for r in flagged_metrics(frame, 3600, STOPS, cfg).collect()}
-        log = flagged_blocks(frame, STOPS, cfg, log=True).select("symbol", "combo_id", F.inline("log")).collect()
-        assert len(got) == 9
-        for rows in parts:
-            for i, sl in enumerate(STOPS):
-                symbol = rows["symbol"].iloc[0]
-                total, opened, trades = plain(rows, sl)
-                assert got[symbol, i].total_return == pytest.approx(total, rel=1e-9, abs=1e-12)
-                assert got[symbol, i].n_trades == opened
-                mine = sorted((t.exit_pos, t.entry_pos, t.side, t.reason, round(t.exit_px, 9)) for t in log
-                              if (t.symbol, t.combo_id) == (symbol, i) and t.reason != "open")
-                assert mine == [(t[2], t[1], t[0], t[6], round(t[4], 9)) for t in trades]
+    got = {(r.symbol, r.combo_id): r for r in flagged_metrics(frame, 3600, STOPS, cfg).collect()}
+    log = flagged_blocks(frame, STOPS, cfg, log=True).select("symbol", "combo_id", F.inline("log")).collect()
+    assert len(got) == 9
+    for rows in parts:
+        for i, sl in enumerate(STOPS):
+            symbol = rows["symbol"].iloc[0]
+            total, opened, trades = plain(rows, sl)
+            assert got[symbol, i].total_return == pytest.approx(total, rel=1e-9, abs=1e-12)
+            assert got[symbol, i].n_trades == opened
+            mine = sorted((t.exit_pos, t.entry_pos, t.side, t.reason, round(t.exit_px, 9)) for t in log
+                          if (t.symbol, t.combo_id) == (symbol, i) and t.reason != "open")
+            assert mine == [(t[2], t[1], t[0], t[6], round(t[4], 9)) for t in trades]
 
 
 def touch(series, keys=("symbol",), width=0.01):

@@ -10,6 +10,7 @@ from bandwalk.operators import replay
 from bandwalk.operators.replay import ReplayConfig, block_transitions, leaving_states, replay_blocks
 from bandwalk.operators.series import with_position
 from bandwalk.operators.walk import Bars, FirstHit, Walkers, flags_of, transitions, walk
+from bandwalk.session import settled
 from tests.helpers import random_bars, to_spark
 from tests.test_replay import GRID, SMALL, check, params
 
@@ -91,3 +92,30 @@ def test_pieces_of_one_state_are_merged(spark):
             states = [(p["held"], p["side"], p["pos"]) for p in pieces]
             assert all(a != b for a, b in zip(states, states[1:]))
             assert [p["level"] for p in pieces] == sorted((p["level"] for p in pieces), reverse=True) and pieces[-1]["level"] == -math.inf
+
+
+def test_listed_combinations_do_not_travel_per_block(spark, monkeypatch):
+    """Stored tables before the result hold blocks, not blocks x combinations; both routes agree."""
+    bars = pd.concat([random_bars("a", 230, 1), random_bars("b", 97, 2), random_bars("c", 1, 3)])
+    series = with_position(to_spark(spark, bars), 3600).cache()
+    stored = []
+
+    def counted(df):
+        out = settled(df)
+        stored.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(replay, "settled", counted)
+    monkeypatch.setattr(replay, "_resolve", lambda blocks, work, done, *a: done)
+    cfg = ReplayConfig(block_bars=24, runup=6, max_window=20, combos_per_task=5)
+    replay_blocks(series, params(spark, GRID), cfg)
+    (carried, n), (made, m) = stored
+    assert carried == ["symbol", "blk", "ma", "atr"] and n == 10 + 5  # one per stretch between run-ups
+    assert "resolved" in made and m == (10 + 5 + 1) * len(GRID)
+    monkeypatch.undo()
+    measure = lambda: replay.replay_metrics(series, params(spark, GRID), 3600, cfg).orderBy("symbol", "combo_id").toPandas()
+    sent = measure()
+    monkeypatch.setattr(replay, "MOST_COMBOS", 0)
+    pd.testing.assert_frame_equal(sent, measure(), rtol=1e-9)
+    none = params(spark, GRID).limit(0)
+    assert replay_blocks(series, none, cfg).count() == 0
