@@ -399,7 +399,8 @@ def near_classes(docs: DataFrame, cfg: Near = Near(), id_col: str = "doc_id", te
     ``class_id`` is the smallest id in the class (null if all are null). Texts without words
     (null, empty, blank) are alike to nothing: node and class_node are null, class_id is
     their own id. Texts of fewer than ``words`` words are one shingle. Repeated rows share a
-    class. Every input row gives one row; other columns are ignored.
+    class. Long texts are read whole. Every input row gives one row, an empty table none; other
+    columns are ignored.
     """
     sketches = settled(sketched(docs, cfg, id_col, text_col))
     nodes = settled(

@@ -216,7 +216,8 @@ def score(docs: DataFrame, model: dict, cfg: Machine = Machine(), id_col: str =
 
     The score is the model's probability of label 1. One pass, no shuffle; the work per text
     is linear in its distinct words. Null and empty texts are scored by their statistics. Ids
-    may be null (never held out) or repeated. A missing ``chars_col`` counts as unknown.
+    may be null (never held out) or repeated. A missing ``chars_col`` counts as unknown. Long texts
+    are read whole, an empty table gives no rows, and columns of ``docs`` cannot clash inside ``row``.
     """
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -236,7 +237,7 @@ def score(docs: DataFrame, model: dict, cfg: Machine = Machine(), id_col: str =
 
 def scored_ids(docs: DataFrame, model: dict, cfg: Machine = Machine(), id_col: str = "doc_id", text_col: str = "text",
                chars_col: str | None = "n_chars") -> DataFrame:
-    """``score`` without the rows: only ids come back from the workers."""
+    """``score`` without the rows: only ids come back from the workers; other columns are ignored."""
     chars = [chars_col] if chars_col and chars_col in docs.columns else []
     narrow = docs.select(id_col, text_col, *chars)
     weights = docs.sparkSession.sparkContext.broadcast(model)

@@ -119,7 +119,7 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
 
     Null texts count as empty (``cleaned`` stays null); without words a document fails. A
     text without line ends is one line, however long. Ids may be null or repeated: every
-    row gives one row. Columns of ``docs`` cannot clash, as they stay inside ``row``.
+    row gives one row, an empty table none. Columns of ``docs`` cannot clash, as they stay inside ``row``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("raw"),

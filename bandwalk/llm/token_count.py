@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str | Col
     strings inside a text count one token each. One pass, no shuffle.
 
     Null and empty texts have 0 bytes and 0 tokens. Long texts are encoded whole. Ids may
-    be null or repeated: every input row gives one row. Other columns are ignored.
+    be null or repeated: every input row gives one row, an empty table none. Other columns are ignored.
     """
     tables = docs.sparkSession.sparkContext.broadcast(Merger(vocabulary))
 

@@ -34,15 +34,16 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     The lists of a query's shards are merged in a tree: per group of shards, then over groups.
 
     Equal ids: each row is a candidate of its own, but no row is a candidate for a query of
-    its own id; equal query ids give one list. Vectors of another length than the query's
-    do not take part for it. Fewer than k candidates give all of them; an empty table none.
+    its own id; equal query ids give one list, that of the smallest of their vectors. Vectors of
+    another length than the query's do not take part for it. Fewer than k candidates give all of
+    them; an empty table none. Other columns of ``rows`` are ignored.
     """
     spark = rows.sparkSession
     n_rows, n_queries = rows.agg(F.count("*"), F.count(F.when(queries, 1))).first()
     tiles = max(1, -(-n_queries // QUERY_TILE))
     shards = max(1, -(-n_rows // SHARD), min(-(-n_rows // CHUNK), spark.sparkContext.defaultParallelism))
     asked = (
-        rows.filter(queries).dropDuplicates(["vec_id"])
+        rows.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
         .select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("tile"),
                 F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "v")
     )

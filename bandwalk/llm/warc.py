@@ -105,7 +105,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     (null is largest) is a response and the others are revisits without payload; if the smallest id
     is there more than once, all but one of its rows are revisits of it. Digests alone decide
     this: they are aggregated before they move, and the html moves once, for the sort. Null
-    html is an empty payload, null urls become ``urn:page:<id>``. Other columns are ignored.
+    html is an empty payload, null urls become ``urn:page:<id>``. A payload is one record however
+    large, and one above ``roll`` fills a file of its own. An empty table gives an empty manifest. Other columns are
+    ignored.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))

@@ -34,6 +34,14 @@ def test_matches_brute_force(spark, monkeypatch, chunk, shard, tile):
     assert sorted(map(tuple, out.collect())) == brute_force(rows, lambda i: i % 10 == 0, 4)
 
 
+def test_a_repeated_query_id_is_asked_by_its_smallest_vector(spark):
+    rows = [(0, [3.0]), (0, [-2.0]), (0, [1.0]), (1, [1.0]), (2, [-1.0])]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
+        out = topk.top_k(topk.quantised(frame), F.col("vec_id") == 0, 1).collect()
+        assert [(r.query_id, r.vec_id, r.score) for r in out] == [(0, 2, 2 * 1024 * 1024)]
+
+
 def test_repeated_ids_and_few_rows(spark):
     rows = [(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [-3.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
