@@ -12,13 +12,21 @@ ORACLE_SQL = None
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; the labels are those of ``sf_dir``."""
+    """Documents that the quality classifier accepts; the labels are those of ``sf_dir``.
+
+    Null and empty texts are scored by their statistics, long ones whole; a null id is only never
+    held out. Repeated rows are all judged alike. An empty table gives none. Columns stay as they are.
+    """
     model = factorisation.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return factorisation.score(docs, model).filter("predicted = 1").select("row.*")
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that they remove."""
+    """Documents that the quality rules keep, without the lines that they remove; ``n_chars`` follows the text.
+
+    Null, empty and blank texts fail. Long texts are judged whole, repeated rows alike, whatever
+    their other columns hold. An empty table gives none.
+    """
     judged = line_quality.line_quality(docs).filter("kept")
     row = F.col("row").withField("text", F.col("cleaned"))
     if "n_chars" in docs.columns:
@@ -48,12 +56,20 @@ def _name(doc_id: Column, node: Column) -> Column:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is a source of its own. Texts without words have size 0 and are repeated as the order
+    of hashes has it. Equal ids tie by size; equal rows are interchangeable. An empty table gives none.
+    """
     return mixing.repeated(mixing.mix(docs))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences, with the columns of the packing query.
+
+    Null and empty texts are one end token, long ones span sequences. Repeated rows, as the mix makes
+    them, are packed each; null ids stay null. An empty table gives none.
+    """
     return packed(docs)
 
 
