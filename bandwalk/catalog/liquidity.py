@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bandwalk.catalog.base import BOOK, MARKETS, ctes, query, rounded
-from bandwalk.fixtures import book, markets
+from bandwalk.fixtures import book, markets, table
 from bandwalk.functions.scalars import num_or_zero
 from bandwalk.operators import liquidity as lq
-from bandwalk.sources.markets import active_markets, find_market, parse_book_reply
+from bandwalk.sources.markets import active_markets, find_market, find_markets, parse_book_reply
 
 B = ("book", BOOK)
 M = ("mk", MARKETS)
@@ -91,6 +91,21 @@ def _(spark, sf):
     return find_market(markets(spark, sf), ["supplier#000000003", "00001", "SUPPLIER", "nothing"])
 
 
+@query("find_markets", ctes(M) + """, q as (select distinct unnest([c_name, substr(c_name, length(c_name) - 1 - c_nationkey % 9), 'Supplier#' || right(c_name, 9)]) as query
+            from customer),
+       c as (select query, mk.*, row_number() over (partition by query order by case when upper(symbol) = upper(query) then 0 else 1 end, market_id, symbol) as rn
+             from q join mk on contains(upper(symbol), upper(query)))
+       select query, market_id, symbol, market_type, status, volume_24h, trades_24h, open_interest from c where rn = 1""")
+def _(spark, sf):
+    """Whole names, endings of one to ten letters and names of suppliers, all made of the customers' names, looked up at once."""
+    name = F.col("c_name")
+    ending = F.substr(name, (F.length(name) - 1 - F.col("c_nationkey") % 9).cast("int"))
+    wanted = table(spark, sf, "customer").select(
+        F.explode(F.array(name, ending, F.concat(F.lit("Supplier#"), F.right(name, F.lit(9))))).alias("query")
+    )
+    return find_markets(markets(spark, sf), wanted)
+
+
 @query("num_or_zero", ctes(M) + """select market_id, coalesce(volume_24h, 0) as volume_24h, coalesce(open_interest, 0) as open_interest,
        cast(coalesce(trades_24h, 0) as double) as trades_24h from mk""")
 def _(spark, sf):

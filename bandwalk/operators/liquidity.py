@@ -1,7 +1,7 @@
 """Order-book liquidity: spread, depth, slippage, score and ranking.
 
-A book has at most a few hundred levels per market and side, so groups keyed by market
-are small however many markets there are.
+A book may be of any depth: its levels are read in blocks of ``BLOCK_LEVELS``, and what one market
+brings together in one place is a row per block. Levels are numbered from 1 without repeats.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bandwalk.defaults import DEFAULTS
 from bandwalk.functions.scalars import num_or_zero
 from bandwalk.operators.ranking import ranked
+from bandwalk.session import settled
+
+BLOCK_LEVELS = 1024
 
 # Fixed values of the score formula.
 SPREAD_POINTS, SPREAD_FULL = 25.0, 0.5
@@ -55,48 +58,27 @@ def depth(book: DataFrame, pcts: Sequence[float] = DEFAULTS.depth_pcts) -> DataF
     )
 
 
-def slippage(book: DataFrame, sizes: Sequence[int] = DEFAULTS.slippage_usd) -> DataFrame:
+def slippage(
+    book: DataFrame, sizes: Sequence[int] = DEFAULTS.slippage_usd, block_levels: int = BLOCK_LEVELS
+) -> DataFrame:
     """Cost of walking the book with a market order of each size, per side and averaged."""
-    order = Window.partitionBy("market_id", "side").orderBy("lvl")
-    usd = F.col("price") * F.col("size")
-    prior = F.coalesce(
-        F.sum(usd).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-    )
-    fill = F.least(F.greatest(F.col("usd") - F.col("prior"), F.lit(0.0)), F.col("level_usd"))
-    per_side = (
-        book.withColumns({"prior": prior, "level_usd": usd})
-        .join(top_of_book(book).select("market_id", "mid"), "market_id")
-        .withColumn("usd", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
-        .withColumn("fill", fill)
-        .groupBy("market_id", "usd", "side")
-        .agg(
-            F.first("mid").alias("mid"),
-            F.sum("fill").alias("spent"),
-            F.sum(F.col("fill") / F.col("price")).alias("base"),
-        )
-        .withColumn(
-            "slip",
-            F.when(F.col("base") == 0, F.lit(100.0)).otherwise(
-                F.abs(F.col("spent") / F.nullif(F.col("base"), F.lit(0.0)) - F.col("mid"))
-                / F.col("mid") * 100
-            ),
-        )
-        .withColumn("fill_pct", F.col("spent") / F.col("usd") * 100)
-    )
 
-    def of(side: str, column: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(column)))
+    def costs(asks: Column, bids: Column) -> Column:
+        buy, sell = ([_cost(side, i, F.col("mid")) for i in range(len(sizes))] for side in (asks, bids))
+        return F.array(*[
+            F.struct(
+                F.lit(int(usd)).alias("usd"),
+                buy[i].alias("slip_buy"),
+                sell[i].alias("slip_sell"),
+                (asks[i]["spent"] / usd * 100).alias("fill_buy"),
+                (bids[i]["spent"] / usd * 100).alias("fill_sell"),
+                ((buy[i] + sell[i]) / 2).alias("slip_avg"),
+            )
+            for i, usd in enumerate(sizes)
+        ])
 
-    return (
-        per_side.groupBy("market_id", "usd")
-        .agg(
-            of("ask", "slip").alias("slip_buy"),
-            of("bid", "slip").alias("slip_sell"),
-            of("ask", "fill_pct").alias("fill_buy"),
-            of("bid", "fill_pct").alias("fill_sell"),
-        )
-        .withColumn("slip_avg", (F.col("slip_buy") + F.col("slip_sell")) / 2)
-    )
+    walked = _walked_book(book, sizes, (), block_levels)
+    return walked.select("market_id", F.inline(costs(F.col("asks"), F.col("bids"))))
 
 
 def _log_points(value: Column, points: float, slope: float) -> Column:
@@ -117,9 +99,9 @@ def liquidity_score(
     )
 
 
-def _walked(levels: Column, usd: float, mid: Column) -> Column:
-    """Cost in percent of mid of filling ``usd`` along the levels of one side."""
-    start = F.struct(*[F.lit(0.0).alias(n) for n in ("prior", "spent", "base")])
+def _filled(levels: Column, usd: float, before: Column) -> Column:
+    """What an order of ``usd`` takes from one side of a block when ``before`` rests ahead of it: USD spent and base bought."""
+    start = F.struct(before.alias("prior"), F.lit(0.0).alias("spent"), F.lit(0.0).alias("base"))
 
     def step(acc: Column, level: Column) -> Column:
         worth = level["price"] * level["size"]
@@ -130,52 +112,99 @@ def _walked(levels: Column, usd: float, mid: Column) -> Column:
             (acc["base"] + fill / level["price"]).alias("base"),
         )
 
-    def cost(acc: Column) -> Column:
-        return F.when(acc["base"] == 0, F.lit(100.0)).otherwise(
-            F.abs(acc["spent"] / F.nullif(acc["base"], F.lit(0.0)) - mid) / mid * 100
-        )
-
-    return F.aggregate(levels, start, step, cost)
+    return F.aggregate(levels, start, step)
 
 
-def _near(asks: Column, bids: Column, mid: Column, pct: float) -> Column:
-    """USD resting within ``pct`` percent of mid on both sides."""
+def _cost(side: Column, i: int, mid: Column) -> Column:
+    """Cost in percent of mid of the ``i``-th order size on one side."""
+    spent, base = side[i]["spent"], side[i]["base"]
+    return F.when(base == 0, F.lit(100.0)).otherwise(F.abs(spent / F.nullif(base, F.lit(0.0)) - mid) / mid * 100)
 
-    def total(levels: Column, inside) -> Column:
-        return F.aggregate(
-            F.filter(levels, inside), F.lit(0.0), lambda acc, o: acc + o["price"] * o["size"]
-        )
 
-    return total(asks, lambda o: o["price"] <= mid * (1 + pct / 100)) + total(
-        bids, lambda o: o["price"] >= mid * (1 - pct / 100)
-    )
+def _resting(levels: Column, inside=None) -> Column:
+    """USD resting on the levels, or on those ``inside``."""
+    kept = F.filter(levels, inside) if inside else levels
+    return F.aggregate(kept, F.lit(0.0), lambda acc, o: acc + o["price"] * o["size"])
 
 
-def liquidity_report(markets: DataFrame, book: DataFrame) -> DataFrame:
-    """Eight figures per market that has a two-sided book.
+def _walked_book(
+    book: DataFrame, sizes: Sequence[float], pcts: Sequence[float], block_levels: int = BLOCK_LEVELS
+) -> DataFrame:
+    """One row per two-sided market: best prices, mid, USD within each percentage (``near``), and per side and order
+    size the USD spent and base bought (``asks``, ``bids``).
 
-    The book is read and shuffled once: a market's levels (a few hundred, what an exchange
-    returns) become one row, and the figures are expressions over it.
+    A block of levels is one row of at most ``block_levels`` levels a side. What rests ahead of each block is a running
+    sum over the market's blocks; then all blocks are walked side by side and their parts added up. The one
+    window runs over narrow rows, one per block.
     """
     level = F.struct("lvl", "price", "size")
 
     def side(name: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("side") == name, level)))
 
-    mid = F.col("mid")
-    figures = (
-        book.groupBy("market_id")
-        .agg(side("ask").alias("asks"), side("bid").alias("bids"))
-        .withColumns({"best_ask": F.get("asks", F.lit(0))["price"], "best_bid": F.get("bids", F.lit(0))["price"]})
+    blocks = settled(
+        book.groupBy("market_id", F.floor((F.col("lvl") - 1) / block_levels).alias("_block"))
+        .agg(side("ask").alias("_asks"), side("bid").alias("_bids"))
+    )
+    along = Window.partitionBy("market_id").orderBy("_block")
+    ahead, whole = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    narrow = blocks.select(
+        "market_id", "_block",
+        *[_resting(F.col(s)).alias(f"{s}_usd") for s in ("_asks", "_bids")],
+        *[F.transform(F.slice(s, 1, 1), lambda o: o["price"]).alias(f"{s}_top") for s in ("_asks", "_bids")],
+    )
+
+    def best(s: str) -> Column:
+        return F.get(F.first(F.when(F.size(f"{s}_top") > 0, F.col(f"{s}_top")), ignorenulls=True).over(whole), F.lit(0))
+
+    carried = (
+        narrow.select(
+            "market_id", "_block",
+            best("_asks").alias("best_ask"), best("_bids").alias("best_bid"),
+            *[F.coalesce(F.sum(f"{s}_usd").over(ahead), F.lit(0.0)).alias(f"{s}_ahead") for s in ("_asks", "_bids")],
+        )
         .filter(F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull())
         .withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
-        .select(
-            "market_id",
-            ((F.col("best_ask") - F.col("best_bid")) / mid * 100).alias("spread"),
-            _near(F.col("asks"), F.col("bids"), mid, 1.0).alias("depth_1pct"),
-            _near(F.col("asks"), F.col("bids"), mid, 5.0).alias("depth_5pct"),
-            ((_walked(F.col("asks"), 10_000, mid) + _walked(F.col("bids"), 10_000, mid)) / 2).alias("slip_10k"),
-        )
+    )
+
+    def near(pct: float) -> Column:
+        high, low = F.col("mid") * (1 + pct / 100), F.col("mid") * (1 - pct / 100)
+        return _resting(F.col("_asks"), lambda o: o["price"] <= high) + _resting(F.col("_bids"), lambda o: o["price"] >= low)
+
+    parts = blocks.join(carried, ["market_id", "_block"]).select(
+        "market_id", "best_bid", "best_ask", "mid",
+        *[near(pct).alias(f"_near_{i}") for i, pct in enumerate(pcts)],
+        *[
+            _filled(F.col(s), usd, F.col(f"{s}_ahead")).alias(f"{s}_{i}")
+            for s in ("_asks", "_bids") for i, usd in enumerate(sizes)
+        ],
+    )
+
+    def taken(s: str) -> Column:
+        return F.array(*[
+            F.struct(*[F.sum(f"{s}_{i}.{part}").alias(part) for part in ("spent", "base")]) for i in range(len(sizes))
+        ])
+
+    return parts.groupBy("market_id").agg(
+        *[F.first(c).alias(c) for c in ("best_bid", "best_ask", "mid")],
+        F.array(*[F.sum(f"_near_{i}") for i in range(len(pcts))]).alias("near"),
+        taken("_asks").alias("asks"), taken("_bids").alias("bids"),
+    )
+
+
+def liquidity_report(markets: DataFrame, book: DataFrame, block_levels: int = BLOCK_LEVELS) -> DataFrame:
+    """Eight figures per market that has a two-sided book.
+
+    The book is read and shuffled once, in blocks of levels (``_walked_book``).
+    """
+    mid, usd = F.col("mid"), 10_000
+    figures = _walked_book(book, (usd,), (1.0, 5.0), block_levels).select(
+        "market_id",
+        ((F.col("best_ask") - F.col("best_bid")) / mid * 100).alias("spread"),
+        F.col("near")[0].alias("depth_1pct"),
+        F.col("near")[1].alias("depth_5pct"),
+        ((_cost(F.col("asks"), 0, mid) + _cost(F.col("bids"), 0, mid)) / 2).alias("slip_10k"),
     )
     joined = markets.join(figures, "market_id").withColumns(
         {

@@ -1,8 +1,10 @@
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from bandwalk.operators import liquidity as lq
-from bandwalk.sources.markets import find_market, parse_book_reply
+from bandwalk.sources.markets import find_market, find_markets, parse_book_reply
 from tests.helpers import np
 
 SCHEMA = "market_id int, side string, lvl int, price double, size double"
@@ -87,3 +89,48 @@ def test_book_reply_and_market_lookup(spark):
     markets = spark.createDataFrame([(1, "WBTC"), (2, "btc"), (3, "BTCX")], "market_id int, symbol string")
     found = {r["query"]: r["market_id"] for r in find_market(markets, ["BTC", "tcx", "eth", "b"]).collect()}
     assert found == {"BTC": 2, "tcx": 3, "b": 1}
+
+
+def test_books_deeper_than_a_block_give_the_same_figures(spark):
+    rows = list(make_book(6).itertuples(index=False, name=None))
+    deep = [(9, s, i + 1, 100.0 + (i + 1) * (0.001 if s == "ask" else -0.001), 0.05) for s in ("ask", "bid") for i in range(5_000)]
+    book = spark.createDataFrame(rows + deep, SCHEMA)
+    order = ["market_id", "usd"]
+    want = lq.slippage(book, block_levels=100_000).orderBy(*order).toPandas()
+    for block in (1, 3, 64):
+        got = lq.slippage(book, block_levels=block).orderBy(*order).toPandas()
+        pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+    names = [(m, f"S{m}", "perp", "active", 10.0, 5, None) for m in (*range(4), 9)]
+    markets = spark.createDataFrame(
+        names, "market_id int, symbol string, market_type string, status string, volume_24h double, trades_24h long, open_interest double"
+    )
+    small = lq.liquidity_report(markets, book, 7).orderBy("market_id").toPandas()
+    pd.testing.assert_frame_equal(small, lq.liquidity_report(markets, book, 100_000).orderBy("market_id").toPandas(), rtol=1e-9)
+    # 10,000 USD take about 2,000 levels of 5 USD; the mean fill is half of that depth away.
+    filled = want[(want["market_id"] == 9) & (want["usd"] == 10_000)].iloc[0]
+    assert filled["slip_buy"] == pytest.approx(1.0, rel=0.02) and filled["fill_buy"] == pytest.approx(100.0)
+
+
+def test_a_table_of_wanted_markets_equals_the_plain_search(spark):
+    rng = np.random.default_rng(5)
+    symbols = ["".join(rng.choice(list("abAB\u00e91-"), rng.integers(0, 9))) for _ in range(300)] + [None]
+    queries = [s for s in symbols[:60]] + ["".join(rng.choice(list("abAB\u00e91-"), rng.integers(0, 6))) for _ in range(200)] + ["zzzz", None]
+    markets = spark.createDataFrame([(i % 150, s, float(i)) for i, s in enumerate(symbols)], "market_id int, symbol string, volume_24h double")
+    got = {r["query"]: (r["market_id"], r["symbol"]) for r in find_markets(markets, spark.createDataFrame([(q,) for q in queries], "query string")).collect()}
+    listed = find_market(markets, [q for q in queries if q is not None], ["market_id", "symbol"])
+    assert got == {r["query"]: (r["market_id"], r["symbol"]) for r in listed.collect()}
+    want = {}
+    for q in {q for q in queries if q is not None}:
+        hits = [(s.upper() != q.upper(), i % 150, s) for i, s in enumerate(symbols) if s is not None and q.upper() in s.upper()]
+        if hits:
+            want[q] = min(hits)[1:]
+    assert got == want
+
+
+def test_many_wanted_markets_are_planned_without_a_cross_product(spark):
+    markets = spark.range(1000).select(F.col("id").cast("int").alias("market_id"), F.format_string("SYM%05d", "id").alias("symbol"))
+    wanted = spark.range(100_000).select(F.format_string("m%05d", "id").alias("query"))
+    found = find_markets(markets, wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert found.count() == 1000
