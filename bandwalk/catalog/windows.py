@@ -46,6 +46,7 @@ from bandwalk.operators.windows import (
 )
 from bandwalk.plans.walkforward import (
     best_trials,
+    research_chain,
     research_windows,
     scan,
     scan_skipped,
@@ -379,6 +380,64 @@ def _(spark, sf):
     return rounded(trial_log(segmented, BAR_SECONDS_1D, d=LOW_BAR), 6)
 
 
+def research_sql() -> str:
+    """From the trial log to the centre of the stable points, then that centre bar by bar on the full history."""
+    near = " + ".join(f"(a.{p}_norm - b.{p}_norm) * (a.{p}_norm - b.{p}_norm)" for p in PARAMS)
+    norm = ", ".join(
+        f"case when max({p}) over s > min({p}) over s then ({p} - min({p}) over s) / cast(max({p}) over s - min({p}) over s as double) else 0 end as {p}_norm"
+        for p in PARAMS
+    )
+    centre = (
+        ctes(
+            *RESEARCH_SQL, MEASURED_SQL, SCORED_SQL,
+            ("norm", f"select *, {norm} from scored where score > -999 window s as (partition by symbol)"),
+            ("topq", """select n.* from norm n join (select symbol, split, quantile_cont(score, 0.7) as cut from norm group by 1, 2) q
+                        using (symbol, split) where score >= cut"""),
+            ("tot", "select symbol, count(distinct split) as n from scored group by symbol"),
+            ("rt", f"""select a.symbol, a.split, {', '.join('a.' + p for p in PARAMS)},
+                       (select count(distinct b.split) from topq b where b.symbol = a.symbol and b.split <> a.split
+                        and sqrt({near}) <= 0.35) / cast(nullif(n - 1, 0) as double) as ratio from topq a join tot using (symbol)"""),
+            ("mid", f"""select symbol, ratio >= 0.7 as green, cast(trunc(median(ma_window)) as int) as ma_window,
+                        cast(trunc(median(atr_window)) as int) as atr_window, median(atr_mult) as atr_mult, median(sl_stop) as sl_stop
+                        from rt where ratio >= 0.5 group by 1, 2"""),
+            recursive=True,
+        )
+        + f"select symbol, {PARAM_COLUMNS} from (select *, row_number() over (partition by symbol order by green desc) as rn from mid) where rn = 1"
+    )
+
+    def mean(column: str, n: str, alpha: str) -> str:
+        weight = f"case when b.pos = 0 then 1.0 else {alpha} end * pow(1 - {alpha}, a.pos - b.pos)"
+        return f"""select a.symbol, a.pos, sum({weight} * b.{column}) as v from centre w
+            join trs a on a.symbol = w.symbol and a.pos >= w.{n} - 1 join trs b on b.symbol = a.symbol and b.pos <= a.pos group by all"""
+
+    return (
+        ctes(
+            *indexed(BARS_1D),
+            ("centre", centre),
+            *tr_of("ix"),
+            ("ma", mean("close", "ma_window", "(2.0::double / (w.ma_window + 1))")),
+            ("wilder", mean("tr", "atr_window", "(1.0::double / w.atr_window)")),
+            ("cb", """select t.symbol, t.pos, t.open, t.high, t.low, t.close, m.v as mid, m.v - c.atr_mult * a.v as lower,
+                      m.v + c.atr_mult * a.v as upper, c.sl_stop as sl
+                      from centre c join trs t on t.symbol = c.symbol left join ma m on m.symbol = t.symbol and m.pos = t.pos - 1
+                      left join wilder a on a.symbol = t.symbol and a.pos = t.pos - 1"""),
+            *walk("cb", ["symbol"], 1.0),
+            ("measured", walk_metrics(["symbol"], BAR_SECONDS_1D)),
+            recursive=True,
+        )
+        + f"select m.*, {PARAM_COLUMNS} from measured m join centre using (symbol)"
+    )
+
+
+@query("research_final", research_sql())
+def _(spark, sf):
+    """The whole research chain: trials per window, stable cluster, its centre on the full history."""
+    out = research_chain(
+        bars_1d(spark, sf), BAR_SECONDS_1D, DEFAULTS.cluster_radius[4], DENSE_GRID, size_of(DENSE_GRID), cfg=SMALL_CFG, d=LOW_BAR
+    )
+    return rounded(out, **DIGITS)
+
+
 @query(
     "best_trials",
     f"""with t as ({TRIALS}), r as (select *, row_number() over (partition by window_id
