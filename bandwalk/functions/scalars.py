@@ -7,8 +7,8 @@ from pyspark.sql import Column, functions as F
 from bandwalk.defaults import DEFAULTS, Defaults
 
 
-def tf_seconds(tf: Column) -> Column:
-    """Seconds of a timeframe such as ``5m``; units m, h, d, w. Any other text is an error."""
+def known_tf_seconds(tf: Column) -> Column:
+    """Seconds of a timeframe such as ``5m``; units m, h, d, w. NULL for any other text."""
     unit = (
         F.when(F.right(tf, F.lit(1)) == "m", 60)
         .when(F.right(tf, F.lit(1)) == "h", 3_600)
@@ -16,8 +16,14 @@ def tf_seconds(tf: Column) -> Column:
         .when(F.right(tf, F.lit(1)) == "w", 604_800)
     )
     seconds = tf.substr(F.lit(1), F.length(tf) - 1).try_cast("bigint") * unit
+    return F.when(seconds > 0, seconds)
+
+
+def tf_seconds(tf: Column) -> Column:
+    """``known_tf_seconds``, with an error for a text that is no timeframe."""
+    seconds = known_tf_seconds(tf)
     unknown = F.raise_error(F.concat(F.lit("unknown timeframe "), F.coalesce(tf, F.lit("NULL"))))
-    return F.when(seconds > 0, seconds).otherwise(unknown.cast("bigint"))
+    return F.when(seconds.isNotNull(), seconds).otherwise(unknown.cast("bigint"))
 
 
 def num_or_zero(value: Column) -> Column:

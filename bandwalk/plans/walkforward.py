@@ -7,10 +7,10 @@ from dataclasses import replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from bandwalk.defaults import BLOCK_BARS, DEFAULTS, Defaults
-from bandwalk.functions.scalars import composite_score, tf_seconds
+from bandwalk.functions.scalars import composite_score, known_tf_seconds
 from bandwalk.operators.backtest import equity_curve, metrics, positions
 from bandwalk.operators.params import RESEARCH_SPACE, Axis, param_sample
 from bandwalk.operators.replay import PARAMS, ReplayConfig, flagged_blocks, flagged_metrics, logged_trades, replay_metrics
@@ -214,32 +214,71 @@ def scan(
 ) -> DataFrame:
     """Walk-forward grid over all pairs that have no stored result yet, as one job.
 
-    The bar length comes from each pair's ``tf`` unless it is given; an unknown timeframe is an
-    error. Candles with a missing price are left out. ``scan_skipped`` names the pairs that
-    give no row.
+    The bar length comes from each pair's ``tf`` unless it is given. Pairs with an unknown timeframe and
+    candles with a missing price are left out. ``scan_skipped`` names the pairs that give no row.
     """
-    if bar_seconds is None:
-        bar_seconds = tf_seconds(F.col("tf"))
     todo = complete(candles)
+    if bar_seconds is None:
+        bar_seconds = known_tf_seconds(F.col("tf"))
+        todo = todo.filter(bar_seconds.isNotNull())
     if results is not None:
         todo = todo.join(results.select(*keys).distinct(), list(keys), "left_anti")
     return walk_forward_grid(todo, params, bar_seconds, cfg=cfg, keys=keys)
 
 
+def _untimed(bar_seconds: int | Column | None) -> Column:
+    return F.lit(False) if bar_seconds is not None else known_tf_seconds(F.col("tf")).isNull()
+
+
 def scan_skipped(
     candles: DataFrame, results: DataFrame | None, n: int = DEFAULTS.n_windows,
-    keys: Sequence[str] = ("exchange", "tf", "symbol"),
+    keys: Sequence[str] = ("exchange", "tf", "symbol"), bar_seconds: int | Column | None = None,
 ) -> DataFrame:
     """Pairs with candles that ``scan`` has no row for: (key, len, reason)."""
     keys = list(keys)
     lengths = candles.groupBy(*keys).agg(
         F.count_if(is_complete()).alias("len")
     )
-    if results is None:
-        return too_short(lengths, n, keys=keys)
-    stored = results.select(*keys).distinct()
+    stored = lengths.limit(0) if results is None else results.select(*keys).distinct()
     done = lengths.join(stored, keys, "left_semi").withColumn("reason", F.lit("stored"))
-    return done.unionByName(too_short(lengths.join(stored, keys, "left_anti"), n, keys=keys))
+    left = lengths.join(stored, keys, "left_anti")
+    untimed = left.filter(_untimed(bar_seconds)).withColumn("reason", F.lit("unknown timeframe"))
+    return done.unionByName(untimed).unionByName(too_short(left.filter(~_untimed(bar_seconds)), n, keys=keys))
+
+
+CHUNKS = 4_096
+
+
+def scan_groups(pairs: DataFrame, group_pairs: int) -> DataFrame:
+    """Add ``group`` to (pair, ``len``): pairs in a fixed order, cut where their cost reaches equal shares.
+
+    A pair costs one share for itself and one, on average, for its bars, and a group two shares a pair of ``group_pairs``. So no group
+    has more than ``2 * group_pairs + 1`` pairs, and one with a long history has few. Group numbers may have gaps.
+    Costs are summed inside hashed chunks of pairs and along one row per chunk.
+    """
+    total = pairs.agg(F.struct(F.count("*").alias("n"), F.sum("len").alias("bars")).alias("_t")).scalar()
+    cost = 1 + F.col("len") * total["n"] / F.nullif(total["bars"], F.lit(0))
+    spread = settled(pairs.select("*", F.coalesce(cost, F.lit(1.0)).alias("_cost"), F.pmod(F.xxhash64(*PAIR), F.lit(CHUNKS)).alias("_chunk")))
+    inside = Window.partitionBy("_chunk").orderBy(*PAIR).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spread.groupBy("_chunk").agg(F.sum("_cost").alias("_sum")).select(
+        "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_offset")
+    )
+    ahead = F.col("_offset") + F.coalesce(F.sum("_cost").over(inside), F.lit(0.0))
+    return (
+        spread.join(offsets, "_chunk")
+        .withColumn("group", F.floor(ahead / (2 * group_pairs)))
+        .drop("_cost", "_chunk", "_offset")
+    )
+
+
+def pairs_only(candles: DataFrame, pairs: Sequence[Row]) -> DataFrame:
+    """Candles of a short list of pairs. The names stand in the plan, so a table partitioned by them opens no other file."""
+    wanted = candles
+    for name in PAIR:
+        wanted = wanted.filter(F.col(name).isin(sorted({p[name] for p in pairs})))
+    listed = candles.sparkSession.createDataFrame([tuple(p[c] for c in PAIR) for p in pairs], ", ".join(f"{c} string" for c in PAIR))
+    return wanted.join(listed, list(PAIR), "left_semi")
 
 
 def scan_to(
@@ -249,8 +288,8 @@ def scan_to(
     """Scan the pairs without a stored result in groups, storing each group when it is done.
 
     A run that was broken off goes on with the pairs that are missing. Pairs too short
-    for a window count as done. Groups follow a hash of the pair, about ``group_pairs`` each;
-    the driver holds their number, not the pairs. Returns the number of groups run.
+    for a window or of an unknown timeframe count as done. Groups have about equal cost (``scan_groups``), and each reads only its own
+    pairs' candles; the driver holds the names of one group. Returns the number of groups run.
     """
     spark = candles.sparkSession
     try:
@@ -259,17 +298,14 @@ def scan_to(
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         stored = candles.select(*PAIR).limit(0)
-    lengths = candles.filter(is_complete()).groupBy(*PAIR).agg(F.count("*").alias("len"))
-    pending = settled(
-        lengths.join(too_short(lengths, keys=PAIR), list(PAIR), "left_anti")
-        .join(stored, list(PAIR), "left_anti").select(*PAIR)
-    )
-    groups = -(-pending.count() // group_pairs)
-    for group in range(groups):
-        chosen = pending.filter(F.pmod(F.xxhash64(*PAIR), F.lit(groups)) == group)
-        part = candles.join(chosen, list(PAIR), "left_semi")
-        write_results(scan(part, None, params, bar_seconds, cfg), path, scan_id)
-    return groups
+    lengths = candles.filter(is_complete() & ~_untimed(bar_seconds)).groupBy(*PAIR).agg(F.count("*").alias("len"))
+    pending = lengths.join(too_short(lengths, keys=PAIR), list(PAIR), "left_anti").join(stored, list(PAIR), "left_anti")
+    grouped = settled(scan_groups(settled(pending), group_pairs))
+    groups = [r["group"] for r in grouped.select("group").distinct().orderBy("group").collect()]
+    for group in groups:
+        chosen = grouped.filter(F.col("group") == group).select(*PAIR).collect()
+        write_results(scan(pairs_only(candles, chosen), None, params, bar_seconds, cfg), path, scan_id)
+    return len(groups)
 
 
 def research_chain(

@@ -6,38 +6,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from bandwalk.sources import snapshots
 from bandwalk.sources.candles import PAIR
 
 
+STORED_BY = ("scan_id", *PAIR)
+
+
 def write_results(results: DataFrame, path: str, scan_id: str) -> None:
-    """One folder per scan and pair; rerunning a pair replaces only that pair."""
-    (
-        results.withColumn("scan_id", F.lit(scan_id))
-        .repartition(*PAIR, "split")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scan_id", *PAIR)
-        .parquet(path)
-    )
+    """Store results by scan and pair as a new version; rerunning a pair replaces only that pair.
+
+    A writer that dies leaves the version before, so a pair is stored as a whole or not at all.
+    """
+    snapshots.commit(results.withColumn("scan_id", F.lit(scan_id)), path, STORED_BY, "split")
 
 
 def read_results(
     spark: SparkSession, path: str, scan_id: str | None = None,
     symbols: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Results of one or all scans; both filters prune partitions.
+    """Results of one or all scans in the store's last version; both filters prune partitions.
 
     Identity columns are text: a symbol ``007`` stays what it is.
     """
-    found = spark.read.parquet(path).schema
-    kept = [f for f in found.fields if f.name not in ("scan_id", *PAIR)]
-    names = [T.StructField(n, T.StringType()) for n in ("scan_id", *PAIR)]
-    df = spark.read.schema(T.StructType(kept + names)).parquet(path)
+    found = spark.read.parquet(f"{path}/data").schema
+    kept = [f for f in found.fields if f.name not in (snapshots.FOLDER, *STORED_BY)]
+    names = [T.StructField(n, T.StringType()) for n in STORED_BY]
+    wanted = []
     if scan_id is not None:
-        df = df.filter(F.col("scan_id") == scan_id)
+        wanted.append(F.col("scan_id") == scan_id)
     if symbols is not None:
-        df = df.filter(F.col("symbol").isin(list(symbols)))
-    return df
+        wanted.append(F.col("symbol").isin(list(symbols)))
+    return snapshots.read(spark, path, T.StructType(kept + names), STORED_BY, *wanted)
 
 
 def parse_result_name(

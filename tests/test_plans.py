@@ -10,7 +10,7 @@ from bandwalk.defaults import DEFAULTS
 from bandwalk.operators.params import Axis, param_grid
 from bandwalk.operators.replay import ReplayConfig, replay_metrics
 from bandwalk.operators.series import with_position
-from bandwalk.plans.walkforward import best_trials, final_backtest, research_chain, scan, scan_skipped, scan_to, walk_forward_grid
+from bandwalk.plans.walkforward import best_trials, final_backtest, research_chain, pairs_only, scan, scan_groups, scan_skipped, scan_to, walk_forward_grid
 from bandwalk.sources.results import read_results
 from tests.helpers import plain_backtest, random_bars, to_spark
 
@@ -99,6 +99,31 @@ def test_a_broken_off_scan_goes_on(spark, bars, tmp_path):
     }
 
 
+def test_groups_have_equal_cost_and_read_their_own_files(spark, bars, tmp_path):
+    pairs = [("x", "1h", f"s{i:03d}", 100_000 if i == 7 else 100) for i in range(400)]
+    frame = spark.createDataFrame(pairs, "exchange string, tf string, symbol string, len long")
+    got = scan_groups(frame, 20).toPandas()
+    assert sorted(got["symbol"]) == [p[2] for p in pairs]
+    sizes = got.groupby("group").size()
+    assert sizes.max() <= 41 and 10 <= len(sizes) <= 21
+    hot = got[got["symbol"] == "s007"]["group"].iloc[0]
+    assert not (got["group"] == hot + 1).any()  # the long history fills the shares of groups after its own
+    pd.testing.assert_frame_equal(
+        got.sort_values("symbol", ignore_index=True),
+        scan_groups(frame.repartition(3), 20).toPandas().sort_values("symbol", ignore_index=True),
+    )
+    path = tmp_path / "candles"
+    to_spark(spark, bars).withColumns({"exchange": F.lit("x"), "tf": F.lit("1h")}).write.partitionBy(*KEYS).parquet(str(path))
+    for part in path.glob("exchange=x/tf=1h/symbol=b/*.parquet"):
+        part.write_bytes(b"not a file of candles")
+    for crc in path.glob("exchange=x/tf=1h/symbol=b/.*.crc"):
+        crc.write_bytes(b"")
+    stored = spark.read.schema(to_spark(spark, bars).drop("symbol").schema.add("exchange", "string").add("tf", "string").add("symbol", "string")).parquet(str(path))
+    assert pairs_only(stored, [{"exchange": "x", "tf": "1h", "symbol": "a"}]).count() == 260
+    with pytest.raises(Exception):
+        stored.select(F.sum("close")).collect()
+
+
 def test_research_chain_ends_in_a_backtest_of_the_centre(spark):
     days = pd.concat([random_bars(s, 420, i, gaps=False) for i, s in enumerate("ab")])
     days["ts"] = pd.Timestamp("2024-01-01") + (days["ts"] - pd.Timestamp("2024-01-01")) * 24

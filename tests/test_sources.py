@@ -9,7 +9,7 @@ import pytest
 
 from bandwalk.operators.params import param_grid
 from bandwalk.operators.series import with_position
-from bandwalk.plans.walkforward import scan
+from bandwalk.plans.walkforward import scan, scan_skipped
 from bandwalk.sources import candles as cd
 from bandwalk.sources import results as rs
 from bandwalk.streaming.ingest import candle_stream, deduplicated, stream_candles
@@ -144,8 +144,9 @@ def test_unknown_timeframes_are_errors(spark):
     pairs = frame(spark, [candle(0, 1), ("x", "1M", *candle(0, 1)[2:])])
     with pytest.raises(Exception, match="unknown timeframe 1M"):
         cd.plan_backfill(pairs.select(*cd.PAIR), pairs, 0, T0 // 1000 + 9 * 3600).collect()
-    with pytest.raises(Exception, match="unknown timeframe 1M"):
-        scan(cd.with_ts(pairs), None, param_grid(spark)).collect()
+    left = scan_skipped(cd.with_ts(pairs), None).collect()
+    assert {r["tf"]: r["reason"] for r in left} == {"1h": "fewer than 13 bars for 10 windows", "1M": "unknown timeframe"}
+    assert scan(cd.with_ts(pairs), None, param_grid(spark)).count() == 0
 
 
 def test_missing_prices_are_reported_and_refused(spark):
