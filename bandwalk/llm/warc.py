@@ -87,7 +87,10 @@ class Shards:
         if self.out is None:
             return
         self.out.close()
-        self.fs.move(self.temporary, f"{self.path}/{self.name()}")
+        final = f"{self.path}/{self.name()}"
+        if self.fs.get_file_info(final).is_file:  # of an earlier attempt, with the same bytes; some stores do not move onto a file
+            self.fs.delete_file(final)
+        self.fs.move(self.temporary, final)
         self.done.append({"file": self.name(), "records": self.count, "bytes": self.size, "sha256": self.sum.hexdigest()})
         self.number, self.out = self.number + 1, None
 
@@ -117,30 +120,30 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         digests.filter(f"size >= {SMALLEST}").groupBy("digest")
         .agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
     )
-    # one mark per (id, digest) that is shared travels with the pages of that id
+    # one mark per (id, digest) that is shared travels with the pages of that id and digest
     marks = digests.join(shared, "digest").select("id", "digest", "first").distinct()
     void = lambda kind: F.lit(None).cast(kind)
     both = rows.select("id", F.lit(1).alias("kind"), "url", "payload", F.sha2("payload", 256).alias("digest"),
                        void("bigint").alias("first")).unionByName(
         marks.select("id", F.lit(0).alias("kind"), void("string").alias("url"), void("binary").alias("payload"), "digest", "first"))
-    ordered = both.repartitionByRange(wide(spark), "id").sortWithinPartitions("id", "kind", "digest", "url")
+    ordered = both.repartitionByRange(wide(spark), "id", "digest").sortWithinPartitions("id", "digest", "kind", "url")
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(folder, roll)
-        now, first, told = None, {}, set()
+        now, first, told = None, None, False
         for batch in batches:
             for row in zip(*(batch.column(c) for c in ("id", "kind", "url", "payload", "digest", "first"))):
                 page, kind, url, body, digest, origin = (x.as_py() for x in row)
-                if (page,) != now:
-                    now, first, told = (page,), {}, set()
+                if (page, digest) != now:
+                    now, first, told = (page, digest), None, False
                 if kind == 0:
-                    first[digest] = origin
+                    first = (origin,)
                     continue
-                revisit = digest in first and (page != first[digest] or digest in told)
-                told.add(digest)
-                shards.write(record(page, url, body, digest, (first[digest],) if revisit else None))
+                revisit = first is not None and (page != first[0] or told)
+                told = True
+                shards.write(record(page, url, body, digest, first if revisit else None))
         shards.close()
         yield pa.RecordBatch.from_pylist(shards.done, schema=pa.schema(
             [("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
