@@ -75,3 +75,20 @@ def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     where = folder(spark)
     assert read_archives(spark, where, write_archives(pages, where)).count() == 0
+
+
+def test_pages_without_id_spread_over_shards(spark):
+    rows = [(None, f"http://n/{i}", f"page {i % 150} " * 30) for i in range(300)] + [(7, "http://n/7", "page 3 " * 30)]
+    where = folder(spark)
+    manifest = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), where)
+    got = read_archives(spark, where, manifest).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
+    assert manifest.count() > 1
+
+
+def test_a_repeated_task_writes_over_its_files(spark):
+    where = folder(spark)
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(5, "page_id")
+    first, again = (sorted(map(tuple, write_archives(pages, where).collect())) for _ in range(2))
+    assert first == again
+    assert len([name for name in os.listdir(where.removeprefix("file:")) if name.endswith(".gz")]) == len(first)
